@@ -31,8 +31,9 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     """Left join the log to one or more ``(key, value)`` lookups.
 
     With several lookups the first non-NULL value wins, in list order (two
-    chained left joins + ``coalesce``).  Lookup keys are de-duplicated so a
-    join never fans out a log row.
+    chained left joins + ``coalesce``).  Lookup keys are expected unique (as
+    the reference's lookups are); like a left join there, a repeated key
+    repeats the log row.
     """
     if isinstance(lookups, DataFrame):
         lookups = [lookups]
@@ -40,8 +41,7 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     tmp = []
     for i, lk in enumerate(lookups):
         name = f"__{value}_{i}"
-        small = (lk.select(F.col(key), F.col(value).alias(name))
-                 .dropDuplicates([key]))
+        small = lk.select(F.col(key), F.col(value).alias(name))
         out = out.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
         tmp.append(name)
     merged = F.coalesce(*[F.col(t) for t in tmp]) if len(tmp) > 1 else F.col(tmp[0])
@@ -52,7 +52,7 @@ def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
                   key: str = "session_id",
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """``target := coalesce(lookup.source, log.target)`` via a left join."""
-    small = lookup.select(F.col(key), F.col(source).alias("__src")).dropDuplicates([key])
+    small = lookup.select(F.col(key), F.col(source).alias("__src"))
     out = log.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 

@@ -51,9 +51,13 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
     is NA) and total time (seconds + ``HH:MM:SS``); plus a ``Total`` row
     whose total time skips NA.
 
-    Two aggregation levels: (observer, session) partials first, then a
-    ``rollup`` over those few rows, so the raw log is shuffled once, already
-    combined map-side.  ``brief`` returns the notebook's three measures
+    Plan: one shuffle of the raw log, already combined map-side, into
+    (observer, session) partials; every per-observer measure is then a
+    plain sum over those rows (a partial is unique per session, so counting
+    sessions needs no distinct).  The ``Total`` row is summed from the
+    per-observer rows; only its distinct-session count goes back to the
+    partials, as one scalar subquery.  No ``Expand`` (rollup) doubles the
+    partials.  ``brief`` returns the notebook's three measures
     (``avg_time_min``) without the total row.
     """
     part = (df.groupBy(observer, SESSION).agg(
@@ -61,37 +65,39 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
         F.sum("total_session_min").alias("s_tsm"), F.count("total_session_min").alias("c_tsm"),
         F.sum(ACT_MIN).alias("s_act"), F.count(ACT_MIN).alias("c_act"),
         F.sum("total_sec").alias("s_sec"), F.count("total_sec").alias("c_sec")))
-    n_keyed = F.sum(F.when(F.col(SESSION).isNotNull(), F.col("n")))
-    measures = [
-        n_distinct(SESSION).alias("sessions"),
-        round_to(F.try_divide(n_keyed.cast("double"),
-                              F.count_distinct(SESSION).cast("double")), 0)
-        .alias("n_activities_avg"),
-        round_to(F.try_divide(F.sum("s_tsm"), F.sum("c_tsm").cast("double")), 2)
-        .alias("avg_time_min" if brief else "avg_session_min"),
-    ]
+    keyed = F.col(SESSION).isNotNull()
+    obs = part.groupBy(observer).agg(
+        F.count(SESSION).alias("k_sess"),
+        F.max(F.when(keyed, 0).otherwise(1)).alias("null_sess"),
+        F.sum(F.when(keyed, F.col("n"))).alias("n_keyed"),
+        *[F.sum(c).alias(c) for c in ("n", "s_tsm", "c_tsm", "s_act", "c_act", "s_sec", "c_sec")])
+
+    def measures(k_sess, null_sess, n_keyed, n, s_tsm, c_tsm, s_act, c_act):
+        return [
+            (k_sess + null_sess).cast("bigint").alias("sessions"),
+            round_to(F.try_divide(n_keyed.cast("double"), k_sess.cast("double")), 0)
+            .alias("n_activities_avg"),
+            round_to(F.try_divide(s_tsm, c_tsm.cast("double")), 2)
+            .alias("avg_time_min" if brief else "avg_session_min"),
+            round_to(F.when(c_act == n, s_act), 2).alias("total_time_min"),
+        ]
+
+    c = F.col
+    per = obs.select(c(observer) if brief else c(observer).cast("string").alias(observer),
+                     *measures(c("k_sess"), c("null_sess"), c("n_keyed"), c("n"), c("s_tsm"),
+                               c("c_tsm"), c("s_act"), c("c_act")),
+                     F.when(c("c_sec") == c("n"), c("s_sec")).alias("total_time_sec"))
     if brief:
-        return part.groupBy(observer).agg(*measures)
-    all_rows = F.sum("n")
-    measures += [
-        round_to(F.when(F.sum("c_act") == all_rows, F.sum("s_act")), 2).alias("total_time_min"),
-    ]
-    if not with_total:
-        out = part.groupBy(observer).agg(
-            *measures,
-            F.when(F.sum("c_sec") == all_rows, F.sum("s_sec")).alias("total_time_sec"))
-        out = out.withColumn(observer, F.col(observer).cast("string"))
-    else:
-        is_total = F.grouping(observer) == 1
-        out = part.rollup(observer).agg(
-            *measures,
-            F.when(is_total, F.coalesce(F.sum("s_sec"), F.lit(0)))
-             .otherwise(F.when(F.sum("c_sec") == all_rows, F.sum("s_sec")))
-             .alias("total_time_sec"),
-            F.when(is_total, F.lit(total_label))
-             .otherwise(F.col(observer).cast("string")).alias("__label"))
-        out = out.drop(observer).withColumnRenamed("__label", observer)
-    out = out.withColumn("total_time_hms", seconds_to_hms("total_time_sec"))
+        return per.select(observer, "sessions", "n_activities_avg", "avg_time_min")
+    if with_total:
+        all_sessions = part.select(F.count_distinct(SESSION)).scalar()
+        total = obs.agg(
+            F.lit(total_label).alias(observer),
+            *measures(all_sessions, F.max("null_sess"), F.sum("n_keyed"), F.sum("n"),
+                      F.sum("s_tsm"), F.sum("c_tsm"), F.sum("s_act"), F.sum("c_act")),
+            F.coalesce(F.sum("s_sec"), F.lit(0)).alias("total_time_sec"))
+        per = per.unionByName(total)
+    out = per.withColumn("total_time_hms", seconds_to_hms("total_time_sec"))
     return out.select(observer, "sessions", "n_activities_avg", "avg_session_min",
                       "total_time_min", "total_time_sec", "total_time_hms")
 

@@ -38,7 +38,18 @@ HOW_BITS = [("how_paper", 1), ("how_desktop", 2), ("how_mobile", 4), ("how_phone
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin repartition a scan that yields fewer splits than the
+    cluster has task slots (a file written as one row group is read by one
+    task).  At scale a scan has far more splits than slots and this is a
+    no-op, so no shuffle is added where it is not needed."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def _session_bounds(df: DataFrame) -> DataFrame:
