@@ -475,5 +475,114 @@ UNION ALL SELECT {ROLE_LABEL.format(default='role')}, count(*)
           FROM (SELECT DISTINCT participant_id, role FROM clean) d GROUP BY role""")
 
 
+# --- the other cleaning chains ----------------------------------------------
+
+DERIVED = r"""CAST(session_end_sec - session_start_sec AS DOUBLE) / 60 AS total_session_min,
+         CAST(active_sec AS DOUBLE) / 60 AS total_activity_min,
+         CASE WHEN floor(session_start_sec / 3600) BETWEEN 7 AND 11 THEN 'morning'
+              WHEN floor(session_start_sec / 3600) BETWEEN 12 AND 16 THEN 'afternoon'
+              WHEN floor(session_start_sec / 3600) BETWEEN 17 AND 20 THEN 'evening'
+              ELSE 'other' END AS time_slot,
+         TRY_CAST(NULLIF(regexp_extract(task_id, '_(\d+)$', 1), '') AS BIGINT) AS task_order"""
+
+
+def norm_ctes(src: str, end_fix: str = "end_norm_sec") -> str:
+    return f"""n0 AS (
+  SELECT *,
+         start_sec - min(start_sec) OVER (PARTITION BY session_id) AS start_norm_sec,
+         end_sec - min(start_sec) OVER (PARTITION BY session_id) AS end_norm_sec
+  FROM {src}
+),
+n1 AS (SELECT * REPLACE ({end_fix} AS end_norm_sec) FROM n0),
+out AS (SELECT *, {hms('start_norm_sec')} AS start_norm_hms, {hms('end_norm_sec')} AS end_norm_hms
+        FROM n1)"""
+
+
+PATIENT_BODY = ("concat_ws(', ', CASE WHEN with_doctor = 1 THEN 'Doctor' END, "
+                "CASE WHEN with_nurse = 1 THEN 'Nurse' END, "
+                "CASE WHEN with_clerk = 1 THEN 'Clerk' END, "
+                "CASE WHEN with_prr = 1 THEN 'Patient Relation Reps' END, "
+                "CASE WHEN with_relative = 1 THEN 'Relative' END, "
+                "CASE WHEN with_ahp = 1 THEN 'Allied Health Professional' END, "
+                "CASE WHEN with_other = 1 THEN 'Other' END)")
+
+PATIENT = SRC + f""",
+psrc AS (
+  SELECT * EXCLUDE (how_paper, how_desktop, how_mobile, how_phone, with_patient),
+         with_patient AS with_no_one
+  FROM src
+),
+p1 AS (
+  SELECT * REPLACE (CASE WHEN session_id = 1203 THEN 'TL8' ELSE participant_id END
+                      AS participant_id,
+                    CASE WHEN session_id = 902 THEN 88580 ELSE session_end_sec END
+                      AS session_end_sec)
+  FROM psrc
+),
+p2 AS (SELECT *, {DERIVED}, {PATIENT_BODY} AS body FROM p1),
+p3 AS (
+  SELECT * EXCLUDE (body),
+         CASE WHEN with_no_one = 1 THEN CASE WHEN body = '' THEN 'No one'
+                                             ELSE body || ', No one' END
+              ELSE body END AS with_whom
+  FROM p2
+),
+{norm_ctes('p3', "CASE WHEN session_id = 902 THEN 13828 ELSE end_norm_sec END")},
+clean AS (SELECT * FROM out)"""
+
+Q["patient_clean_log"] = "WITH " + PATIENT + "\nSELECT * FROM clean"
+
+PROVIDER_SELECT = Q["provider_contact_time"][Q["provider_contact_time"].index("\nSELECT sp.session_id"):]
+PROVIDER_CTES = Q["provider_contact_time"][len("WITH " + CLEAN + ",\n"):
+                                           Q["provider_contact_time"].index("\nSELECT sp.session_id")]
+Q["patient_provider_contact_time"] = "WITH " + PATIENT + ",\n" + PROVIDER_CTES + PROVIDER_SELECT
+
+CLERK_WITH = ("concat_ws(', ', CASE WHEN with_doctor = 1 THEN 'Doctor' END, "
+              "CASE WHEN with_nurse = 1 THEN 'Nurse' END, "
+              "CASE WHEN with_patient = 1 THEN 'Patient' END, "
+              "CASE WHEN with_relative = 1 THEN 'Relative' END, "
+              "CASE WHEN with_ahp = 1 THEN 'Allied Health Professional' END, "
+              "CASE WHEN with_other = 1 THEN 'Other' END)")
+
+Q["clerk_clean_log"] = "WITH " + SRC + f""",
+l1 AS (SELECT c_custkey * 100 + day AS session_id, c_mktsegment AS role
+       {days('c_nationkey < 12')}),
+l2 AS (SELECT c_custkey * 100 + day AS session_id, 'N' || CAST(c_nationkey AS VARCHAR) AS role
+       {days()}),
+c1 AS (
+  SELECT s.* EXCLUDE (with_clerk, with_prr), coalesce(l1.role, l2.role) AS role
+  FROM src s LEFT JOIN l1 ON s.session_id = l1.session_id
+             LEFT JOIN l2 ON s.session_id = l2.session_id
+),
+c2 AS (
+  SELECT *, {DERIVED},
+         coalesce(NULLIF({CLERK_WITH}, ''), 'No one') AS with_whom,
+         coalesce(NULLIF({HOW_LABEL}, ''), 'None') AS how
+  FROM c1
+),
+{norm_ctes('c2')}
+SELECT * FROM out"""
+
+Q["polyclinic_clean_log"] = "WITH " + SRC + f""",
+lp AS (SELECT c_custkey * 100 + day AS session_id,
+              CASE WHEN c_acctbal > 5000 THEN c_name END AS participant_id_2,
+              c_mktsegment AS role {days()}),
+j AS (
+  SELECT s.* EXCLUDE (participant_id),
+         coalesce(lp.participant_id_2, s.participant_id) AS participant_id, lp.role
+  FROM src s LEFT JOIN lp ON s.session_id = lp.session_id
+),
+d AS (
+  SELECT * REPLACE (CASE WHEN what = 'signup' THEN 'sign-up' ELSE what END AS what), {DERIVED}
+  FROM j
+),
+k AS (
+  SELECT *, NULLIF({WITH_LABEL}, '') AS with_whom, NULLIF({HOW_LABEL}, '') AS how
+  FROM d WHERE session_id NOT IN (1003, 1104, 1205)
+),
+{norm_ctes('k')}
+SELECT * FROM out"""
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

@@ -67,18 +67,38 @@ def session_relative_time(df: DataFrame, keys: Sequence[str] = ("session_id",),
 
 def renumber_tasks(df: DataFrame, sessions: Sequence | None = None,
                    order_by: Sequence[str] = ("activity_id",),
-                   col: str = "task_order") -> DataFrame:
+                   col: str = "task_order", pieces: int | None = None) -> DataFrame:
     """Renumber ``task_order`` 1..n inside each session in row order.
 
     ``sessions`` limits it to the listed sessions (the reference fixes one
     session); the other rows keep their number.  Row order is the ingest
-    ordinal by default.
+    ordinal by default; ``order_by`` must be unique inside a session.
+
+    Skew-safe numbering in two phases instead of one window per session:
+
+    1. range-partition on (session, order keys) -- Spark samples the keys,
+       so a session holding a large share of all rows is cut into several
+       contiguous ranges, each numbered locally by its own task;
+    2. the size of every (range, session) piece gives, by a running sum over
+       the few pieces of each session, the offset added to the local number.
     """
-    w = Window.partitionBy("session_id").orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
-    num = F.row_number().over(w).cast("bigint")
+    spark = df.sparkSession
+    keys = ["session_id", *order_by]
+    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    target = df if sessions is None else df.where(F.col("session_id").isin(list(sessions)))
+    ranged = target.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id())
+    local = ranged.withColumn("__local", F.row_number().over(
+        Window.partitionBy("__piece", "session_id").orderBy(*order_by)))
+    sizes = local.groupBy("session_id", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("session_id").orderBy("__piece") \
+        .rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("session_id", "__piece",
+                           F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
+    numbered = (local.join(offsets, ["session_id", "__piece"], "inner")
+                .withColumn(col, (F.col("__local") + F.col("__off")).cast("bigint"))
+                .drop("__piece", "__local", "__off"))
     if sessions is None:
-        return df.withColumn(col, num)
-    target = df.where(F.col("session_id").isin(list(sessions))).withColumn(col, num)
+        return numbered.select(*df.columns)
     # like the reference's ``filter(!id == v)``, a NULL session id is dropped
     rest = df.where(~F.col("session_id").isin(list(sessions)))
-    return rest.unionByName(target)
+    return rest.unionByName(numbered.select(*df.columns))

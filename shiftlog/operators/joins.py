@@ -49,11 +49,13 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
 
 
 def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
-                  key: str = "session_id",
+                  key: str = "session_id", carry: Sequence[str] = (),
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    """``target := coalesce(lookup.source, log.target)`` via a left join."""
-    small = lookup.select(F.col(key), F.col(source).alias("__src"))
-    out = log.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
+    """``target := coalesce(lookup.source, log.target)`` via a left join;
+    ``carry`` lookup columns (e.g. the role) come along in the same join."""
+    small = lookup.select(F.col(key), F.col(source).alias("__src"), *carry)
+    out = log.drop(*[c for c in carry if c in log.columns])
+    out = out.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 
 

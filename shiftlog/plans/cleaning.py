@@ -72,7 +72,12 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
         if ex.apply_raw:
             d = apply_corrections(d, cfg.corrections, "raw", cfg.dataset)
         if lookups is not None:
-            d = attach_role(d, lookups)
+            if cfg.participant_from_lookup:
+                # one join brings the role and the lookup's participant id
+                lk = lookups if isinstance(lookups, DataFrame) else lookups[0]
+                d = prefer_lookup(d, lk, "participant_id", "participant_id_2", carry=["role"])
+            else:
+                d = attach_role(d, lookups)
             if ex.require_role:
                 d = keep_known(d, "role")
         parts.append(d)
@@ -100,13 +105,11 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
 
 def clean_polyclinic_log(exports: Sequence[Export], cfg: CleaningConfig,
                          lookup: DataFrame) -> DataFrame:
-    """Polyclinic chain: as :func:`clean_log`, and with
-    ``participant_from_lookup`` the lookup's ``participant_id_2`` replaces
-    the logged participant when present."""
-    df = clean_log(exports, cfg, lookup.select("session_id", "role"))
-    if cfg.participant_from_lookup:
-        df = prefer_lookup(df, lookup, "participant_id", "participant_id_2")
-    return df
+    """Polyclinic chain: :func:`clean_log` with a lookup holding
+    ``session_id, role, participant_id_2``; with ``participant_from_lookup``
+    the lookup's participant id replaces the logged one when present (the
+    same join that brings the role)."""
+    return clean_log(exports, cfg, lookup)
 
 
 def source_columns(df: DataFrame) -> DataFrame:

@@ -17,8 +17,9 @@ from shiftlog.operators import breakdowns as B
 from shiftlog.operators import summaries as S
 from shiftlog.operators.enrich import renumber_tasks, session_relative_time
 from shiftlog.operators.joins import attach_role, prefer_lookup
-from shiftlog.plans.cleaning import Export, clean_log
-from shiftlog.plans.sites import (EVENT_LOCATION_COLUMNS, EVENT_ROLE_LABELS, EVENTS)
+from shiftlog.plans.cleaning import Export, clean_log, clean_polyclinic_log
+from shiftlog.plans.sites import (EVENT_LOCATION_COLUMNS, EVENT_ROLE_LABELS, EVENTS,
+                                  EVENTS_CLERK, EVENTS_PATIENT, EVENTS_POLYCLINIC)
 from shiftlog.session import scratch_dir
 from shiftlog.sources.forms import FORMS
 from shiftlog.functions.labels import fold_flags
@@ -44,6 +45,25 @@ def events_log(spark: SparkSession, sf_dir: str) -> DataFrame:
                      role_lookup_from_customer(spark, sf_dir))
 
 
+def patient_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Patient-form view of the source log: no tool flags, and the
+    ``No one`` flag where the staff form has ``Patient``."""
+    return (source_log(spark, sf_dir)
+            .drop("how_paper", "how_desktop", "how_mobile", "how_phone")
+            .withColumnRenamed("with_patient", "with_no_one"))
+
+
+def patient_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clean_log([Export(patient_source(spark, sf_dir))], EVENTS_PATIENT)
+
+
+def clerk_lookups(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [role_lookup_from_customer(spark, sf_dir, where=F.col("c_nationkey") < 12),
+            role_lookup_from_customer(
+                spark, sf_dir,
+                role_expr=F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))]
+
+
 # ---------------------------------------------------------------------------
 # Sources and sinks
 
@@ -106,13 +126,35 @@ def q_clean_log(spark, sf_dir):
 
 
 def q_role_two_lookups(spark, sf_dir):
-    first = role_lookup_from_customer(spark, sf_dir, where=F.col("c_nationkey") < 12)
-    second = role_lookup_from_customer(
-        spark, sf_dir, role_expr=F.concat(F.lit("N"), F.col("c_nationkey").cast("string")))
-    return attach_role(source_log(spark, sf_dir), [first, second]) \
+    return attach_role(source_log(spark, sf_dir), clerk_lookups(spark, sf_dir)) \
         .select("activity_id", "session_id", "role")
 
 
+def q_patient_clean_log(spark, sf_dir):
+    """Patient chain: fixes before the derived columns (a session ending
+    past midnight), patient labels, a fix after normalisation."""
+    return patient_log(spark, sf_dir)
+
+
+def q_patient_provider_contact_time(spark, sf_dir):
+    return S.provider_contact_time(patient_log(spark, sf_dir))
+
+
+def q_clerk_clean_log(spark, sf_dir):
+    """Clerk chain: clerk flags, two role lookups (first non-NULL wins),
+    notebook labels."""
+    drop = ["with_clerk", "with_prr"]
+    return clean_log([Export(source_log(spark, sf_dir).drop(*drop))], EVENTS_CLERK,
+                     clerk_lookups(spark, sf_dir))
+
+
+def q_polyclinic_clean_log(spark, sf_dir):
+    """Polyclinic chain: own exclusions, participant taken from the lookup
+    when it has one."""
+    return clean_polyclinic_log([Export(source_log(spark, sf_dir))], EVENTS_POLYCLINIC,
+                                participant_lookup_from_customer(spark, sf_dir))
+
+
 def q_prefer_lookup_participant(spark, sf_dir):
     lk = participant_lookup_from_customer(spark, sf_dir)
     return prefer_lookup(source_log(spark, sf_dir), lk, "participant_id", "participant_id_2") \

@@ -72,6 +72,27 @@ EVENTS = CleaningConfig(
     exclude_tasks=["1_801_7"],
 )
 
+# The other chains over the same events-derived log.
+EVENTS_PATIENT = CleaningConfig(
+    dataset="events_patient",
+    form="patient",
+    corrections=[
+        Correction("events_patient", "raw", "session_id", 1203, "participant_id", "TL8"),
+        Correction("events_patient", "raw", "session_id", 902, "session_end_sec", 88580),
+        Correction("events_patient", "normalised", "session_id", 902, "end_norm_sec", 13828),
+    ],
+)
+
+EVENTS_CLERK = CleaningConfig(dataset="events_clerk", form="clerk", labels="notebook")
+
+EVENTS_POLYCLINIC = CleaningConfig(
+    dataset="events_polyclinic",
+    form="staff_v1",
+    recodes={"what": {"signup": "sign-up"}},
+    exclude_sessions=[1003, 1104, 1205],
+    participant_from_lookup=True,
+)
+
 # Location columns of the reference's hospital matrix
 # (column name, location text), and of the events log.
 HOSPITAL_LOCATIONS = [

@@ -193,3 +193,21 @@ def test_streaming_ingest_matches_batch_chain(spark, tmp_path):
     cols = [c for c in batch.columns if c != "activity_id"]
     assert sorted(map(tuple, got.select(*cols).collect()), key=str) == \
         sorted(map(tuple, batch.select(*cols).collect()), key=str)
+
+
+def test_renumber_tasks_hot_session_split_across_pieces(spark):
+    # one session holds a third of all rows; numbering must stay exact
+    from pyspark.sql import Window
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 97 + 2)
+         .cast("long").alias("session_id"),
+        (F.lit(10_000) - F.col("id")).alias("activity_id"),
+        F.lit(0).cast("long").alias("task_order"))
+    out = renumber_tasks(df, pieces=8)
+    want = df.withColumn("task_order", F.row_number().over(
+        Window.partitionBy("session_id").orderBy("activity_id")).cast("bigint"))
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
+    pieces = (df.repartitionByRange(8, "session_id", "activity_id")
+              .where(F.col("session_id") == 1)
+              .select(F.spark_partition_id().alias("p")).distinct().count())
+    assert pieces > 1
