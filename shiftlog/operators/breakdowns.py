@@ -42,22 +42,19 @@ def _grouped(df: DataFrame, keys: Sequence[str], role: str | None,
 
 def activity_share(df: DataFrame, key: str = "what", role: str | None = None,
                    roles: Sequence[str] | None = None, label_threshold: float = 2.7) -> DataFrame:
-    """Minutes per activity (NA skipped, unrounded) and their share of the
+    """Minutes per activity (NA skipped, kept to 6 places) and their share of the
     total, 1 place; plus the chart columns: ``pct_label`` (text above the
     threshold), ``display_rank`` (order by share) and ``activity_total_min``
     (the title total, 1 place).
 
-    The rank is a window over the aggregated categories only (one row per
-    category per slice).
+    Total, share and rank are windows over the aggregated categories only
+    (one row per category per slice), so the log is scanned once.
     """
     agg, part = _grouped(df, [key], role, [agg_sum(ACT_MIN, na="skip").alias("activity_time")],
                          roles)
     agg = agg.withColumn("pct_time", round_to(grand_total_share(agg, "activity_time", part,
                                                                 na="skip"), 1))
-    if part:
-        total = F.sum("activity_time").over(Window.partitionBy(*part))
-    else:
-        total = agg.select(F.sum("activity_time")).scalar()
+    total = F.sum("activity_time").over(Window.partitionBy(*part))
     rank_w = Window.partitionBy(*part).orderBy(F.col("pct_time").desc_nulls_last(),
                                                F.col(key).asc_nulls_last())
     return agg.select(*part, key, round_to("activity_time", 6).alias("activity_time"), "pct_time",

@@ -22,15 +22,18 @@ ACT_MIN = "total_activity_min"
 
 
 def grand_total_share(agg: DataFrame, value: str, part: Sequence[str] = (),
-                      na: str = "propagate") -> Column:
-    """``100 * value / sum(value)`` over the aggregated rows.
-
-    With no partition the grand total is an uncorrelated scalar subquery
-    (one partial/final aggregate, no single-partition window); with
-    ``part`` it is a window over the aggregated rows of each part.
+                      na: str = "propagate", total: str = "window") -> Column:
+    """``100 * value / sum(value)`` over the aggregated rows (per ``part``).
+
+    ``agg`` is an aggregate keyed by a category (activity, subcategory,
+    location): its rows number the categories, not the data, so the total
+    is a window over those rows and the data is scanned once.  For keys of
+    unbounded cardinality pass ``total="subquery"``: the grand total is
+    then an uncorrelated scalar subquery (a partial/final aggregate), at
+    the price of a second scan of the aggregated columns.
     """
     v = F.col(value)
-    if part:
+    if part or total == "window":
         w = Window.partitionBy(*part)
         if na == "propagate":
             tot = F.when(F.count(v).over(w) == F.count(F.lit(1)).over(w), F.sum(v).over(w))
@@ -56,8 +59,9 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
     plain sum over those rows (a partial is unique per session, so counting
     sessions needs no distinct).  The ``Total`` row is summed from the
     per-observer rows; only its distinct-session count goes back to the
-    partials, as one scalar subquery.  No ``Expand`` (rollup) doubles the
-    partials.  ``brief`` returns the notebook's three measures
+    partials, as one scalar subquery.  The rollup runs over the
+    per-observer rows, so no ``Expand`` doubles the partials.  ``brief``
+    returns the notebook's three measures
     (``avg_time_min``) without the total row.
     """
     part = (df.groupBy(observer, SESSION).agg(
@@ -83,20 +87,31 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
         ]
 
     c = F.col
-    per = obs.select(c(observer) if brief else c(observer).cast("string").alias(observer),
-                     *measures(c("k_sess"), c("null_sess"), c("n_keyed"), c("n"), c("s_tsm"),
-                               c("c_tsm"), c("s_act"), c("c_act")),
-                     F.when(c("c_sec") == c("n"), c("s_sec")).alias("total_time_sec"))
     if brief:
-        return per.select(observer, "sessions", "n_activities_avg", "avg_time_min")
-    if with_total:
-        all_sessions = part.select(F.count_distinct(SESSION)).scalar()
-        total = obs.agg(
-            F.lit(total_label).alias(observer),
-            *measures(all_sessions, F.max("null_sess"), F.sum("n_keyed"), F.sum("n"),
+        return obs.select(c(observer), *measures(c("k_sess"), c("null_sess"), c("n_keyed"),
+                                                  c("n"), c("s_tsm"), c("c_tsm"), c("s_act"),
+                                                  c("c_act")))[
+            [observer, "sessions", "n_activities_avg", "avg_time_min"]]
+    if not with_total:
+        per = obs.select(c(observer).cast("string").alias(observer),
+                         *measures(c("k_sess"), c("null_sess"), c("n_keyed"), c("n"),
+                                   c("s_tsm"), c("c_tsm"), c("s_act"), c("c_act")),
+                         F.when(c("c_sec") == c("n"), c("s_sec")).alias("total_time_sec"))
+    else:
+        # rollup over the per-observer rows (one per observer): the Total row
+        # comes from the same aggregate, so the log is shuffled once
+        is_total = F.grouping(observer) == 1
+        distinct_sessions = part.select(F.count_distinct(SESSION)).scalar()
+        k_sess = F.when(is_total, distinct_sessions).otherwise(F.sum("k_sess"))
+        per = obs.rollup(observer).agg(
+            F.when(is_total, F.lit(total_label))
+             .otherwise(c(observer).cast("string")).alias("__label"),
+            *measures(k_sess, F.max("null_sess"), F.sum("n_keyed"), F.sum("n"),
                       F.sum("s_tsm"), F.sum("c_tsm"), F.sum("s_act"), F.sum("c_act")),
-            F.coalesce(F.sum("s_sec"), F.lit(0)).alias("total_time_sec"))
-        per = per.unionByName(total)
+            F.when(is_total, F.coalesce(F.sum("s_sec"), F.lit(0)))
+             .otherwise(F.when(F.sum("c_sec") == F.sum("n"), F.sum("s_sec")))
+             .alias("total_time_sec"))
+        per = per.drop(observer).withColumnRenamed("__label", observer)
     out = per.withColumn("total_time_hms", seconds_to_hms("total_time_sec"))
     return out.select(observer, "sessions", "n_activities_avg", "avg_session_min",
                       "total_time_min", "total_time_sec", "total_time_hms")

@@ -46,10 +46,12 @@ def spread(df: DataFrame) -> DataFrame:
     cluster has task slots (a file written as one row group is read by one
     task).  At scale a scan has far more splits than slots and this is a
     no-op, so no shuffle is added where it is not needed."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a Connect session)
+        return df
+    return df.repartition(slots) if splits < slots else df
 
 
 def _session_bounds(df: DataFrame) -> DataFrame:
