@@ -19,8 +19,8 @@ def fold_flags(flags: Sequence[tuple[str, str]], empty: str | None = None,
     the joined text ends in that label without a separator (patient form's
     ``No one``, which the reference pastes without ``", "``).
     """
-    parts = F.array(*[F.when(F.col(c) == 1, F.lit(label)) for c, label in flags])
-    body = F.array_join(F.filter(parts, lambda x: x.isNotNull()), sep)
+    # concat_ws skips NULL parts: one codegen'd expression, no array lambda
+    body = F.concat_ws(sep, *[F.when(F.col(c) == 1, F.lit(label)) for c, label in flags])
     if tail is not None:
         tcol, tlabel = tail
         tail_txt = F.when(F.col(tcol) == 1, F.lit(tlabel)).otherwise(F.lit(""))

@@ -37,12 +37,13 @@ def seconds_to_hms(sec: ColumnOrName) -> Column:
     s = _c(sec)
     sign = F.when(s < 0, F.lit("-")).otherwise(F.lit(""))
     a = F.abs(s)
-    return F.when(
-        s.isNotNull(),
-        F.concat(sign, F.format_string("%02d:%02d:%02d",
-                                       (a / 3600).cast("bigint"),
-                                       ((a % 3600) / 60).cast("bigint"),
-                                       a % 60)))
+    hours = F.floor(a / 3600).cast("string")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")  # noqa: E731 - 0..59 only
+    # built from lpad / concat (codegen'd) rather than a per-row formatter;
+    # hours are never cut, they only get a leading zero below 10
+    return F.concat(sign, F.when(F.length(hours) < 2, F.concat(F.lit("0"), hours))
+                    .otherwise(hours),
+                    F.lit(":"), two(F.floor((a % 3600) / 60)), F.lit(":"), two(a % 60))
 
 
 def minutes(sec: ColumnOrName) -> Column:
