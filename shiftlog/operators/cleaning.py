@@ -23,6 +23,20 @@ def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in mapping.items() if k in have})
 
 
+def select_renamed(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
+    """``select(new = old, ...)``: keep and rename in one projection."""
+    return df.select(*[F.col(old).alias(new) for new, old in mapping.items()])
+
+
+def union_all(frames: Sequence[DataFrame], fill_missing: bool = False) -> DataFrame:
+    """Union by column name: strict (same column set, ``rbind``) or filling
+    absent columns with NULL (``bind_rows``)."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=fill_missing)
+    return out
+
+
 def keep_known(df: DataFrame, col: str) -> DataFrame:
     """Rows whose ``col`` is not NULL (``filter(!is.na(col))``)."""
     return df.where(F.col(col).isNotNull())

@@ -25,15 +25,27 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
+def _left_join(log: DataFrame, small: DataFrame, key: str, null_safe: bool,
+               max_broadcast_rows: int) -> DataFrame:
+    small = broadcast_if_small(small, max_broadcast_rows)
+    if not null_safe:
+        return log.join(small, key, "left")
+    # NULL key matches NULL key, as in the reference's joins
+    rk = f"__rk_{key}"
+    small = small.withColumnRenamed(key, rk)
+    return log.join(small, log[key].eqNullSafe(small[rk]), "left").drop(rk)
+
+
 def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
-                key: str = "session_id", value: str = "role",
+                key: str = "session_id", value: str = "role", null_safe: bool = False,
                 max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
     """Left join the log to one or more ``(key, value)`` lookups.
 
     With several lookups the first non-NULL value wins, in list order (two
     chained left joins + ``coalesce``).  Lookup keys are expected unique (as
     the reference's lookups are); like a left join there, a repeated key
-    repeats the log row.
+    repeats the log row.  ``null_safe=True`` also matches a NULL key to a
+    NULL key (the reference's join semantics; SQL's ``=`` never does).
     """
     if isinstance(lookups, DataFrame):
         lookups = [lookups]
@@ -42,7 +54,7 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     for i, lk in enumerate(lookups):
         name = f"__{value}_{i}"
         small = lk.select(F.col(key), F.col(value).alias(name))
-        out = out.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
+        out = _left_join(out, small, key, null_safe, max_broadcast_rows)
         tmp.append(name)
     merged = F.coalesce(*[F.col(t) for t in tmp]) if len(tmp) > 1 else F.col(tmp[0])
     return out.withColumn(value, merged).drop(*tmp)

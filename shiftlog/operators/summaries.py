@@ -48,7 +48,8 @@ def grand_total_share(agg: DataFrame, value: str, part: Sequence[str] = (),
 # Observer summary (A1-A4)
 
 def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool = True,
-                     brief: bool = False, observer: str = "observer_id") -> DataFrame:
+                     brief: bool = False, observer: str = "observer_id",
+                     per: str = "row") -> DataFrame:
     """Per observer: distinct sessions, mean activities per session, mean
     session length (over activity rows), total activity minutes (NA if any
     is NA) and total time (seconds + ``HH:MM:SS``); plus a ``Total`` row
@@ -63,12 +64,23 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
     per-observer rows, so no ``Expand`` doubles the partials.  ``brief``
     returns the notebook's three measures
     (``avg_time_min``) without the total row.
+
+    ``per="row"`` averages session length over activity rows, as the
+    reference does (long sessions weigh more); ``per="session"`` averages
+    it over sessions.
     """
     part = (df.groupBy(observer, SESSION).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("total_session_min").alias("s_tsm"), F.count("total_session_min").alias("c_tsm"),
         F.sum(ACT_MIN).alias("s_act"), F.count(ACT_MIN).alias("c_act"),
         F.sum("total_sec").alias("s_sec"), F.count("total_sec").alias("c_sec")))
+    if per == "session":
+        # one value per session: its mean over the session's rows
+        part = part.withColumns({
+            "s_tsm": F.try_divide(F.col("s_tsm"), F.col("c_tsm").cast("double")),
+            "c_tsm": F.when(F.col("c_tsm") > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")})
+    elif per != "row":
+        raise ValueError("per must be 'row' or 'session'")
     keyed = F.col(SESSION).isNotNull()
     obs = part.groupBy(observer).agg(
         F.count(SESSION).alias("k_sess"),

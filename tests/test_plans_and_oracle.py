@@ -132,3 +132,49 @@ def test_report_bundles_write_and_read(spark, log, tmp_path):
     assert ov["location_long"].count() == ov["location_matrix"].count() * 5
     clerk = overview_bundle(log, EVENT_LOCATION_COLUMNS, role=None)
     assert "role_slice" not in clerk["activity_share"].columns
+
+
+PASS_THROUGH = ("ProjectExec", "FilterExec", "WholeStageCodegenExec", "InputAdapter",
+                "ShuffleExchangeExec", "SortExec", "WindowExec", "UnionExec", "ExpandExec")
+AGGREGATES = ("HashAggregateExec", "ObjectHashAggregateExec", "SortAggregateExec")
+
+
+def _children(node):
+    seq = node.children()
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _single_partition_feeds(node, out):
+    """Collect, for every SinglePartition exchange and every window without a
+    partition spec, the first operator below it that is not a pass-through
+    (it must be an aggregate, not a scan of raw rows)."""
+    name = node.getClass().getSimpleName()
+    single = (name == "ShuffleExchangeExec"
+              and "SinglePartition" in node.outputPartitioning().toString())
+    global_window = name == "WindowExec" and node.partitionSpec().isEmpty()
+    if single or global_window:
+        stack = _children(node)
+        while stack:
+            n = stack.pop()
+            nm = n.getClass().getSimpleName()
+            if nm in AGGREGATES:
+                continue
+            if nm in PASS_THROUGH:
+                stack.extend(_children(n))
+            else:
+                out.append(nm)
+    for c in _children(node):
+        _single_partition_feeds(c, out)
+
+
+@pytest.mark.parametrize("name", sorted(E.queries()))
+def test_no_single_partition_step_over_raw_rows(spark, name):
+    if "roundtrip" in name:
+        pytest.skip("writes files while building the plan")
+    df = E.queries()[name](spark, SF)
+    plan = df._jdf.queryExecution().executedPlan()
+    if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+        plan = plan.inputPlan()
+    bad = []
+    _single_partition_feeds(plan, bad)
+    assert not bad, f"single-partition exchange fed by {bad}"

@@ -211,3 +211,29 @@ def test_renumber_tasks_hot_session_split_across_pieces(spark):
               .where(F.col("session_id") == 1)
               .select(F.spark_partition_id().alias("p")).distinct().count())
     assert pieces > 1
+
+
+def test_null_safe_role_join_and_union_helpers(spark):
+    from shiftlog.operators.cleaning import select_renamed, union_all
+    log = spark.createDataFrame([(1,), (None,)], "session_id long")
+    lk = spark.createDataFrame([(1, "Nurse"), (None, "Other")], "session_id long, role string")
+    plain = sorted(map(tuple, attach_role(log, lk).collect()), key=str)
+    safe = sorted(map(tuple, attach_role(log, lk, null_safe=True).collect()), key=str)
+    assert plain == sorted([(1, "Nurse"), (None, None)], key=str)
+    assert safe == sorted([(1, "Nurse"), (None, "Other")], key=str)
+    a = spark.createDataFrame([(1, "x")], "k long, v string")
+    b = spark.createDataFrame([(2,)], "k long")
+    assert union_all([a, b], fill_missing=True).count() == 2
+    assert select_renamed(a, {"key": "k"}).columns == ["key"]
+
+
+def test_observer_mean_per_session(spark):
+    from shiftlog.operators.summaries import observer_summary
+    df = spark.createDataFrame(
+        [(1, 10, 60.0, 1.0, 60), (1, 10, 60.0, 1.0, 60), (1, 10, 60.0, 1.0, 60),
+         (1, 11, 30.0, 1.0, 60)],
+        "observer_id long, session_id long, total_session_min double, "
+        "total_activity_min double, total_sec long")
+    row = {r.observer_id: r for r in observer_summary(df).collect()}["1"]
+    ses = {r.observer_id: r for r in observer_summary(df, per="session").collect()}["1"]
+    assert row.avg_session_min == 52.5 and ses.avg_session_min == 45.0
