@@ -207,6 +207,8 @@ CLEAN_COLS = ("activity_id, " + SRC_COLS + ", role, total_session_min, total_act
               "start_norm_hms, end_norm_hms")
 Q["clean_log"] = with_clean(f"SELECT {CLEAN_COLS} FROM clean")
 Q["processed_log_roundtrip"] = Q["clean_log"]
+Q["streaming_clean_log"] = with_clean(
+    f"SELECT {CLEAN_COLS.replace('activity_id, ', '', 1)} FROM clean")
 
 # --- joins and derived columns ----------------------------------------------
 Q["role_two_lookups"] = with_src(f""",

@@ -112,6 +112,21 @@ def q_report_bundle_roundtrip(spark, sf_dir):
         "sheet_description", cat.select(F.max("description")).scalar())
 
 
+def q_streaming_clean_log(spark, sf_dir):
+    """Exports dropped in a folder (whole days per file, so sessions stay
+    whole), cleaned by the streaming ingest, read back from its output."""
+    from shiftlog.streaming.ingest import read_ingested, start_ingest
+    base = scratch_dir(spark, "stream")
+    (to_export(source_log(spark, sf_dir).repartition("session_date"), "staff_v1")
+     .write.option("header", True).csv(f"{base}/inbox"))
+    q = start_ingest(spark, f"{base}/inbox", EVENTS, f"{base}/out", f"{base}/checkpoint",
+                     lookups=role_lookup_from_customer(spark, sf_dir))
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(f"ingest failed: {q.exception()}")
+    return read_ingested(spark, f"{base}/out").drop("activity_id", "batch_id")
+
+
 def q_processed_log_roundtrip(spark, sf_dir):
     log = events_log(spark, sf_dir)
     path = write_processed(log, scratch_dir(spark, "processed"))

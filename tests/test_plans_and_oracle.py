@@ -169,7 +169,7 @@ def _single_partition_feeds(node, out):
 
 @pytest.mark.parametrize("name", sorted(E.queries()))
 def test_no_single_partition_step_over_raw_rows(spark, name):
-    if "roundtrip" in name:
+    if "roundtrip" in name or name.startswith("streaming"):
         pytest.skip("writes files while building the plan")
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan()
