@@ -120,7 +120,8 @@ def tool_long(tool_table: DataFrame, key: str = "what", tools=TOOLS) -> DataFram
 
 def location_summary(df: DataFrame, key: str = "location", item: str = "what",
                      order: str = "sorted", role: str | None = None,
-                     roles: Sequence[str] | None = None) -> DataFrame:
+                     roles: Sequence[str] | None = None,
+                     approx_distinct: bool = False) -> DataFrame:
     """Per location: distinct sessions, minutes (NA if any, 2 places) and
     the distinct activities seen there as one text (NA shown as ``NA``).
 
@@ -130,7 +131,7 @@ def location_summary(df: DataFrame, key: str = "location", item: str = "what",
     location -- bounded by the number of activity categories.
     """
     label = F.coalesce(F.col(item), F.lit("NA"))
-    measures = [n_distinct(SESSION).alias("n_sessions"),
+    measures = [n_distinct(SESSION, approx_distinct).alias("n_sessions"),
                 round_to(agg_sum(ACT_MIN), 2).alias("total_time_min")]
     if order == "sorted":
         measures.append(F.array_join(F.array_sort(F.collect_set(label)), ", ")
@@ -205,11 +206,13 @@ OVERVIEW = [("Unique sessions", SESSION), ("Unique observers", "observer_id"),
             ("Unique HCWs", "participant_id")]
 
 
-def dataset_overview(df: DataFrame, headcount: DataFrame | None = None) -> DataFrame:
+def dataset_overview(df: DataFrame, headcount: DataFrame | None = None,
+                     approx_distinct: bool = False) -> DataFrame:
     """``(metric, count)`` rows: distinct sessions, observers and
     participants (NA counted as a value), then the headcount rows.
-    One aggregate, unpivoted; no driver round trip."""
-    one = df.agg(*[n_distinct(c).alias(name) for name, c in OVERVIEW])
+    One aggregate, unpivoted; no driver round trip.  ``approx_distinct``
+    uses HyperLogLog++ sketches instead of exact distinct counts."""
+    one = df.agg(*[n_distinct(c, approx_distinct).alias(name) for name, c in OVERVIEW])
     long = one.unpivot([], [name for name, _ in OVERVIEW], "metric", "count")
     if headcount is not None:
         long = long.unionByName(headcount.select("metric", F.col("count").cast("bigint")))

@@ -12,7 +12,6 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from shiftlog.functions.timefmt import seconds_to_hms
 from shiftlog.operators.cleaning import (Correction, apply_corrections, drop_columns,
@@ -110,15 +109,3 @@ def clean_polyclinic_log(exports: Sequence[Export], cfg: CleaningConfig,
     the lookup's participant id replaces the logged one when present (the
     same join that brings the role)."""
     return clean_log(exports, cfg, lookup)
-
-
-def source_columns(df: DataFrame) -> DataFrame:
-    """Canonical source columns only (drops derived ones), for re-export."""
-    keep = [c for c in df.columns if c not in (
-        "total_session_min", "total_activity_min", "time_slot", "task_order", "with_whom",
-        "how", "start_norm_sec", "end_norm_sec", "start_norm_hms", "end_norm_hms")]
-    return df.select(*keep)
-
-
-__all__ = ["Export", "CleaningConfig", "clean_log", "clean_polyclinic_log", "source_columns",
-           "F"]

@@ -237,3 +237,11 @@ def test_observer_mean_per_session(spark):
     row = {r.observer_id: r for r in observer_summary(df).collect()}["1"]
     ses = {r.observer_id: r for r in observer_summary(df, per="session").collect()}["1"]
     assert row.avg_session_min == 52.5 and ses.avg_session_min == 45.0
+
+
+def test_slice_and_fill(spark):
+    from shiftlog.operators.cleaning import fill_null, slice_by
+    df = spark.createDataFrame([("Nurse", None), ("Physician", 2.0), (None, None)],
+                               "role string, m double")
+    assert slice_by(df, "role", "Nurse").count() == 1
+    assert sorted(r.m for r in fill_null(df, 0.0, ["m"]).collect()) == [0.0, 0.0, 2.0]

@@ -127,3 +127,12 @@ def test_headcount_and_overview(log):
     assert hc == {"- Nurses": 1, "Physician": 1, None: 1}
     ov = {r.metric: r["count"] for r in B.dataset_overview(log).collect()}
     assert ov == {"Unique sessions": 4, "Unique observers": 2, "Unique HCWs": 1}
+
+
+def test_approx_distinct_option(log):
+    exact = {r.what: r.total_sessions for r in S.activity_summary(log).collect()}
+    approx = {r.what: r.total_sessions for r in
+              S.activity_summary(log, approx_distinct=True).collect()}
+    assert approx == exact                       # tiny sets are exact in HLL++
+    ov = {r.metric: r["count"] for r in B.dataset_overview(log, approx_distinct=True).collect()}
+    assert ov["Unique sessions"] == 4
