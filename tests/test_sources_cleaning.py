@@ -245,3 +245,64 @@ def test_slice_and_fill(spark):
                                "role string, m double")
     assert slice_by(df, "role", "Nurse").count() == 1
     assert sorted(r.m for r in fill_null(df, 0.0, ["m"]).collect()) == [0.0, 0.0, 2.0]
+
+
+def test_patient_export_chain(spark, tmp_path):
+    import csv
+    import io
+    from shiftlog.sources.forms import get_form
+    f = get_form("patient")
+    canon = [c for _, c, _ in f.columns]
+    rows = [
+        dict(observer_id=1, session_id=10300, task_id="1_10300_1", participant_id="x",
+             session_date="d", session_start_sec="22:00:00", session_end_sec="23:00:00",
+             start_sec="22:10:00", end_sec="22:40:00", total_sec="00:30:00",
+             active_sec="00:30:00", what="Waiting Time", subcategory="0",
+             with_doctor=0, with_nurse=0, with_no_one=1),
+        dict(observer_id=1, session_id=10300, task_id="1_10300_2", participant_id="x",
+             session_date="d", session_start_sec="22:00:00", session_end_sec="23:00:00",
+             start_sec="22:40:00", end_sec="23:10:00", total_sec="00:30:00",
+             active_sec="00:30:00", what="Consultation", subcategory="0",
+             with_doctor=1, with_nurse=1, with_no_one=0),
+        dict(observer_id=2, session_id=10301, task_id="2_10301_1", participant_id="y",
+             session_date="d", session_start_sec="09:00:00", session_end_sec="10:00:00",
+             start_sec="09:00:00", end_sec="09:30:00", total_sec="00:30:00",
+             active_sec="00:30:00", what="Waiting Time", subcategory="0",
+             with_doctor=0, with_nurse=0, with_no_one=0),
+    ]
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    w.writerow(f.raw_names)
+    for r in rows:
+        w.writerow([r.get(c, "") for c in canon])
+    log = read_activity_log(spark, _write(tmp_path, "p.csv", out.getvalue()), "patient")
+    from shiftlog.plans.sites import REFERENCE_PATIENT
+    clean = clean_log([Export(log)], REFERENCE_PATIENT)
+    assert "how" not in clean.columns and "role" not in clean.columns
+    got = {r.task_id: r for r in clean.collect()}
+    assert got["1_10300_1"].with_whom == "No one"
+    assert got["1_10300_2"].with_whom == "Doctor, Nurse"
+    assert got["2_10301_1"].with_whom == ""
+    s = got["1_10300_1"]
+    assert s.session_end_sec == 88580 and s.total_session_min == (88580 - 79200) / 60
+    assert {r.end_norm_hms for r in got.values() if r.session_id == 10300} == {"03:50:28"}
+    from shiftlog.operators.summaries import provider_contact_time, waiting_time
+    pc = {r.session_id: r for r in provider_contact_time(clean).collect()}
+    assert pc[10300].dr_nurse_min == 30.0 and pc[10300].dr_nurse_pct == 50.0
+    assert pc[10301].dr_nurse_min == 0.0
+    wt = {r.session_id: r.waiting_pct for r in waiting_time(clean).collect()}
+    assert wt == {10300: 50.0, 10301: 100.0}
+
+
+def test_clerk_export_two_lookups(spark, tmp_path):
+    from shiftlog.sources.forms import get_form
+    f = get_form("clerk")
+    assert [c for c, _ in f.with_flags] == ["with_doctor", "with_nurse", "with_patient",
+                                            "with_relative", "with_ahp", "with_other"]
+    log = read_activity_log(spark, _write(tmp_path, "c.csv", staff_csv("clerk")), "clerk")
+    a = spark.createDataFrame([(501, "Clerk")], "session_id long, role string")
+    b = spark.createDataFrame([(501, "Other"), (502, "Nurse")], "session_id long, role string")
+    clean = clean_log([Export(log)], CleaningConfig(dataset="c", form="clerk",
+                                                    labels="notebook"), [a, b])
+    roles = {r.session_id: r.role for r in clean.select("session_id", "role").collect()}
+    assert roles == {501: "Clerk", 502: "Nurse", 503: None, 504: None}
