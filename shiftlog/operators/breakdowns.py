@@ -210,10 +210,17 @@ def dataset_overview(df: DataFrame, headcount: DataFrame | None = None,
                      approx_distinct: bool = False) -> DataFrame:
     """``(metric, count)`` rows: distinct sessions, observers and
     participants (NA counted as a value), then the headcount rows.
-    One aggregate, unpivoted; no driver round trip.  ``approx_distinct``
-    uses HyperLogLog++ sketches instead of exact distinct counts."""
-    one = df.agg(*[n_distinct(c, approx_distinct).alias(name) for name, c in OVERVIEW])
-    long = one.unpivot([], [name for name, _ in OVERVIEW], "metric", "count")
+
+    One global aggregate per metric, unioned: each scans a single column
+    and deduplicates it map-side.  (Three exact distinct counts in one
+    aggregate would make Spark expand every row once per distinct column
+    first.)  No driver round trip.  ``approx_distinct`` uses HyperLogLog++
+    sketches instead of exact distinct counts."""
+    parts = [df.agg(n_distinct(c, approx_distinct).alias("count"))
+             .select(F.lit(name).alias("metric"), "count") for name, c in OVERVIEW]
+    long = parts[0]
+    for p in parts[1:]:
+        long = long.unionByName(p)
     if headcount is not None:
         long = long.unionByName(headcount.select("metric", F.col("count").cast("bigint")))
     return long
