@@ -178,3 +178,7 @@ def test_no_single_partition_step_over_raw_rows(spark, name):
     bad = []
     _single_partition_feeds(plan, bad)
     assert not bad, f"single-partition exchange fed by {bad}"
+    text = plan.toString()
+    for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
+               "ArrowEvalPython", "PythonUDF"):
+        assert op not in text, f"{name} plan contains {op}"
