@@ -190,13 +190,16 @@ def activity_summary(df: DataFrame, key: str = "what", per_session: bool = False
 # ---------------------------------------------------------------------------
 # Waiting time and provider contact per session (A9, A10)
 
-def waiting_time(df: DataFrame, waiting_value: str = "Waiting Time", key: str = "what") -> DataFrame:
+def waiting_time(df: DataFrame, waiting_value: str = "Waiting Time", key: str = "what",
+                 sort: bool = False) -> DataFrame:
     """Per session that has at least one waiting activity: waiting minutes,
     session minutes (both NA if any input is NA, rounded to 2) and
     ``waiting_pct`` = 100 * waiting / session from the rounded values.
 
     One ``groupBy(session)`` with conditional sums; equal to the
     reference's (session, activity) sums followed by a per-session total.
+    ``sort=True`` orders by session (a global sort: a range shuffle of one
+    row per session, so it is opt-in).
     """
     is_wait = F.coalesce(F.col(key) == F.lit(waiting_value), F.lit(False))
     x = F.col(ACT_MIN)
@@ -210,12 +213,13 @@ def waiting_time(df: DataFrame, waiting_value: str = "Waiting Time", key: str =
         "total_session_min": round_to(F.col("total_session_min"), 2),
     })
     pct = F.try_divide(F.col("waiting_time_min") * 100, F.col("total_session_min"))
-    return agg.select(SESSION, F.lit(waiting_value).alias(key), "waiting_time_min",
-                      "total_session_min", round_to(pct, 2).alias("waiting_pct"))
+    out = agg.select(SESSION, F.lit(waiting_value).alias(key), "waiting_time_min",
+                     "total_session_min", round_to(pct, 2).alias("waiting_pct"))
+    return out.orderBy(SESSION, F.col("waiting_time_min").desc_nulls_last()) if sort else out
 
 
 def provider_contact_time(df: DataFrame, pattern: str = "Nurse|Doctor",
-                          label: str = "with_whom") -> DataFrame:
+                          label: str = "with_whom", sort: bool = False) -> DataFrame:
     """Per session: minutes with a provider (companion label matching
     ``pattern``, case-insensitive), the session's minutes and the summed
     per-label percentages.  Every session of the log appears; sessions
@@ -251,7 +255,8 @@ def provider_contact_time(df: DataFrame, pattern: str = "Nurse|Doctor",
     out = out.withColumn("total_session_min",
                          F.when(F.col("__ntot") == F.col("__nhit"), F.col("total_session_min")))
     out = out.select(SESSION, "dr_nurse_min", "total_session_min", "dr_nurse_pct")
-    return out.na.fill(0.0, subset=["dr_nurse_min", "total_session_min", "dr_nurse_pct"])
+    out = out.na.fill(0.0, subset=["dr_nurse_min", "total_session_min", "dr_nurse_pct"])
+    return out.orderBy(SESSION, F.col("dr_nurse_min").desc()) if sort else out
 
 
 # ---------------------------------------------------------------------------

@@ -136,3 +136,10 @@ def test_approx_distinct_option(log):
     assert approx == exact                       # tiny sets are exact in HLL++
     ov = {r.metric: r["count"] for r in B.dataset_overview(log, approx_distinct=True).collect()}
     assert ov["Unique sessions"] == 4
+
+
+def test_sorted_session_reports(log):
+    ids = [r.session_id for r in S.waiting_time(log, sort=True).collect()]
+    assert ids == sorted(ids)
+    ids = [r.session_id for r in S.provider_contact_time(log, sort=True).collect()]
+    assert ids == sorted(ids)
