@@ -23,26 +23,61 @@ def _typed(raw: str, kind: str):
     return c
 
 
+# Canonical columns an export must have; the rest may be absent (NULL).
+REQUIRED = ("observer_id", "session_id", "task_id", "session_start_sec", "session_end_sec",
+            "start_sec", "end_sec", "active_sec", "what")
+
+
+def _header(spark: SparkSession, paths: list[str], sep: str = ",") -> list[str] | None:
+    """First line of the first file (one tiny job), BOM stripped."""
+    first = (spark.read.option("sep", sep).option("header", False).option("encoding", "UTF-8")
+             .csv(paths[0]).limit(1).collect())
+    if not first:
+        return None
+    return [(v or "").strip().lstrip("\ufeff") for v in first[0]]
+
+
 def read_activity_log(spark: SparkSession, path: str | Sequence[str], form: str | Form,
-                      ordinal: bool = True) -> DataFrame:
+                      ordinal: bool = True, keep_unknown: bool = False) -> DataFrame:
     """Scan one or many exports of one form into the canonical layout.
 
-    The scan uses an explicit all-STRING schema (no inference pass) and the
-    header is checked against it, so a reordered or renamed export fails
-    instead of shifting columns.  H:M:S columns become LONG seconds (values
-    past 24 h are kept, bad text becomes NULL).  ``path`` may be a folder,
-    a glob or a list, so many exports load in parallel.  ``ordinal`` adds
+    Columns are matched by header name, as the reference's reader does: the
+    header is read once and the scan gets an explicit all-STRING schema in
+    that order (no inference pass), so reordered columns are fine, absent
+    optional columns come back NULL and a missing required column fails.
+    H:M:S columns become LONG seconds (values past 24 h are kept, bad text
+    becomes NULL).  ``path`` may be a folder, a glob or a list, so many
+    exports of one layout load in parallel.  ``ordinal`` adds
     ``activity_id``, increasing in file order (the row order the reference
-    relies on when it renumbers tasks).
+    relies on when it renumbers tasks).  ``keep_unknown`` passes columns the
+    form does not know through as text.
     """
     f = get_form(form) if isinstance(form, str) else form
     paths = [path] if isinstance(path, str) else list(path)
-    raw = (spark.read.schema(f.raw_schema())
-           .option("header", True).option("enforceSchema", False)
-           .option("mode", "PERMISSIVE")
-           .csv(paths))
-    cols = [_typed(r, kind).alias(canon) for r, canon, kind in f.columns
-            if canon not in f.dropped]
+    header = _header(spark, paths) or f.raw_names
+    by_raw = {r: (canon, kind) for r, canon, kind in f.columns}
+    present = {by_raw[h][0] for h in header if h in by_raw}
+    missing = [c for c in REQUIRED if c not in present]
+    if missing:
+        raise ValueError(f"export {paths[0]} lacks required columns {missing} "
+                         f"for form {f.name!r}")
+    schema = StructType([StructField(h, StringType(), True) for h in header])
+    # enforceSchema=False: every file's header is checked against the first
+    # one, so an export with another column order fails instead of shifting
+    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
+           .option("mode", "PERMISSIVE").csv(paths))
+    have = set(header)
+    cols = []
+    for r, canon, kind in f.columns:
+        if canon in f.dropped:
+            continue
+        if r in have:
+            cols.append(_typed(r, kind).alias(canon))
+        else:
+            typ = {"hms": "bigint", "long": "bigint", "int": "int"}.get(kind, "string")
+            cols.append(F.lit(None).cast(typ).alias(canon))
+    if keep_unknown:
+        cols += [F.col(f"`{h}`") for h in header if h not in by_raw]
     if ordinal:
         cols = [F.monotonically_increasing_id().alias("activity_id")] + cols
     return raw.select(*cols)
@@ -81,12 +116,7 @@ def read_lookup(spark: SparkSession, path: str | Sequence[str],
     """
     columns = columns or {"health_professional_desc": "role"}
     paths = [path] if isinstance(path, str) else list(path)
-    header = (spark.read.option("sep", sep).option("header", False)
-              .option("encoding", "UTF-8").csv(paths[0]).limit(1).collect())
-    if not header:
-        names = [key] + list(columns)
-    else:
-        names = [(v or "").strip().lstrip("﻿") for v in header[0]]
+    names = _header(spark, paths, sep) or [key] + list(columns)
     schema = StructType([StructField(n, StringType(), True) for n in names])
     df = (spark.read.schema(schema).option("sep", sep).option("header", True)
           .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)

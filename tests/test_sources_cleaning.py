@@ -306,3 +306,29 @@ def test_clerk_export_two_lookups(spark, tmp_path):
                                                     labels="notebook"), [a, b])
     roles = {r.session_id: r.role for r in clean.select("session_id", "role").collect()}
     assert roles == {501: "Clerk", 502: "Nurse", 503: None, 504: None}
+
+
+def test_export_columns_matched_by_name(spark, tmp_path):
+    import csv
+    import io
+    text = staff_csv()
+    rows = list(csv.reader(io.StringIO(text)))
+    # reorder columns and drop optional ones (comments, the multitask block)
+    head = rows[0]
+    keep = [i for i, h in enumerate(head) if h not in ("Comments", "multi with")]
+    order = list(reversed(keep))
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    for r in rows:
+        w.writerow([r[i] for i in order])
+    a = read_activity_log(spark, _write(tmp_path, "a.csv", text), "staff_v1", ordinal=False)
+    b = read_activity_log(spark, _write(tmp_path, "b.csv", out.getvalue()), "staff_v1",
+                          ordinal=False)
+    cols = [c for c in a.columns if c not in ("comments", "multi_with")]
+    assert sorted(map(tuple, a.select(*cols).collect())) == \
+        sorted(map(tuple, b.select(*cols).collect()))
+    assert b.where(F.col("comments").isNotNull()).count() == 0
+    bad = "\n".join(",".join(r[1:]) for r in rows)      # no "observer id" column
+    import pytest
+    with pytest.raises(ValueError, match="observer_id"):
+        read_activity_log(spark, _write(tmp_path, "c.csv", bad), "staff_v1")
