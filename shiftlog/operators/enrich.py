@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from shiftlog.functions.labels import fold_flags
 from shiftlog.functions.timefmt import minutes, seconds_to_hms, time_slot, trailing_number
+from shiftlog.operators.joins import HOT_ROWS, join_back
 
 
 def derive_times(df: DataFrame) -> DataFrame:
@@ -38,21 +39,23 @@ def add_labels(df: DataFrame, with_flags: Sequence[tuple[str, str]],
 
 
 def session_relative_time(df: DataFrame, keys: Sequence[str] = ("session_id",),
-                          hms: bool = True) -> DataFrame:
+                          hms: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Start / end of each activity relative to the first activity start of
     its session.
 
     ``keys`` defaults to the session id; the reference groups by the
     (session start, session end) clock pair, available as
     ``keys=("session_start_sec", "session_end_sec")``.  The origin is an
-    aggregate joined back on the keys rather than a window, so a session
-    holding a large share of all rows is pre-aggregated map-side and the
-    join can be split by AQE's skew handling instead of sorting one huge
+    aggregate (combined map-side) joined back on the keys rather than a
+    window, and the join back is skew-safe (:func:`join_back`): a session
+    holding a large share of all rows gets its origin by broadcast and its
+    rows are spread over many tasks, instead of one task sorting a huge
     window partition.
     """
     keys = list(keys)
-    origin = df.groupBy(*keys).agg(F.min("start_sec").alias("__origin"))
-    out = df.join(origin, keys, "left")
+    origin = df.groupBy(*keys).agg(F.min("start_sec").alias("__origin"),
+                                   F.count(F.lit(1)).alias("__rows"))
+    out = join_back(df, origin, keys, hot_rows=hot_rows)
     out = out.withColumns({
         "start_norm_sec": F.col("start_sec") - F.col("__origin"),
         "end_norm_sec": F.col("end_sec") - F.col("__origin"),

@@ -71,6 +71,54 @@ def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 
 
+# Keys with more rows than this are "hot": there are at most rows / HOT_ROWS
+# of them, so their aggregate rows are a small table by construction.
+HOT_ROWS = 2_000_000
+HOT_SALTS = 64
+
+
+def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str = "__rows",
+              hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+    """``df LEFT JOIN agg USING keys`` for a per-key aggregate ``agg`` (one
+    row per key, with its row count in ``rows_col``), safe when one key
+    holds a large share of ``df``.
+
+    A plain shuffle join would send every row of a hot key to one task, and
+    Spark's adaptive skew split does not apply when one join side ends in an
+    aggregate.  Instead:
+
+    * hot keys (more than ``hot_rows`` rows; at most ``len(df) / hot_rows``
+      of them) take their values from a broadcast of those few aggregate
+      rows -- no shuffle;
+    * their rows carry a salt 1..``salts`` (a hash of the row), so in the
+      shuffle join that serves all other keys they spread over many tasks
+      and match nothing;
+    * all other rows (salt 0) join the aggregate normally.
+
+    One scan of ``df``; the aggregate is computed once (its exchange is
+    reused by both uses).
+    """
+    keys = list(keys)
+    vals = [c for c in agg.columns if c not in keys and c != rows_col]
+    hot = (agg.where(F.col(rows_col) > hot_rows)
+           .select(*keys, F.lit(True).alias("__is_hot"),
+                   *[F.col(v).alias(f"__hot_{v}") for v in vals]))
+    x = df.join(F.broadcast(hot), keys, "left")
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    x = x.withColumn("__salt", F.when(F.col("__is_hot"),
+                                      F.pmod(row_hash, F.lit(salts)) + 1).otherwise(F.lit(0))
+                     .cast("bigint"))
+    # salt 0 for the other keys, -1 (matched by nothing) for hot ones; taken
+    # from the data so the optimizer cannot fold it out of the join keys
+    cold_salt = F.when(F.col(rows_col) > hot_rows, F.lit(-1)).otherwise(F.lit(0))
+    cold = agg.select(*keys, cold_salt.cast("bigint").alias("__salt"),
+                      *[F.col(v).alias(f"__cold_{v}") for v in vals])
+    out = x.join(cold, [*keys, "__salt"], "left")
+    return out.select(*df.columns,
+                      *[F.coalesce(F.col(f"__hot_{v}"), F.col(f"__cold_{v}")).alias(v)
+                        for v in vals])
+
+
 def complete_keys(agg: DataFrame, spine: DataFrame, key: str = "session_id",
                   fill=0) -> DataFrame:
     """Every key of ``spine`` appears once; keys missing from ``agg`` get

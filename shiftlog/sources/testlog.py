@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiftlog.operators.joins import join_back
+
 # Location names used for k % 6 = 0..4 (5 -> NULL).
 EVENT_LOCATIONS = ["Corridors", "Workstation", "Treatment Room", "Waiting Area", "Other"]
 
@@ -55,12 +57,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def _session_bounds(df: DataFrame) -> DataFrame:
-    """Attach min start / max end per session (aggregate, then join back:
-    partial aggregation keeps a huge session cheap)."""
+    """Attach min start / max end per session (aggregate combined map-side,
+    then a skew-safe join back)."""
     bounds = (df.groupBy("session_id")
               .agg(F.min("start_sec").alias("session_start_sec"),
-                   F.max("end_sec").alias("session_end_sec")))
-    return df.join(bounds, "session_id", "left")
+                   F.max("end_sec").alias("session_end_sec"),
+                   F.count(F.lit(1)).alias("__rows")))
+    return join_back(df, bounds, ["session_id"])
 
 
 LOG_COLUMNS = ["activity_id", "observer_id", "session_id", "task_id", "participant_id",

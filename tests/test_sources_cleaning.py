@@ -332,3 +332,52 @@ def test_export_columns_matched_by_name(spark, tmp_path):
     import pytest
     with pytest.raises(ValueError, match="observer_id"):
         read_activity_log(spark, _write(tmp_path, "c.csv", bad), "staff_v1")
+
+
+def test_join_back_hot_key_is_salted_and_exact(spark):
+    df = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500 + 2)
+         .cast("long").alias("session_id"),
+        F.col("id").alias("activity_id"), (F.col("id") % 1000).alias("start_sec"),
+        (F.col("id") % 1000 + 5).alias("end_sec"))
+    hot = session_relative_time(df, hms=False, hot_rows=1000)
+    plain = session_relative_time(df, hms=False)           # no key over the default bound
+    assert sorted(map(tuple, hot.collect())) == sorted(map(tuple, plain.collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = session_relative_time(df, hms=False, hot_rows=1000) \
+            ._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    # the shuffle join is keyed on (session, salt): a hot session spreads out
+    assert "hashpartitioning(session_id" in plan and "__salt" in plan
+    assert "SortMergeJoin [session_id" in plan and ", __salt" in plan
+
+
+def test_lookup_join_hot_session_split_by_aqe(spark):
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(30000).select(
+            F.when(F.col("id") % 3 == 0, F.lit(1)).otherwise(F.col("id") % 500 + 2)
+             .cast("long").alias("session_id"), F.col("id").alias("activity_id"))
+        lk = spark.range(600).select(F.col("id").alias("session_id"),
+                                     F.concat(F.lit("r"), F.col("id").cast("string")).alias("role"))
+        out = attach_role(df, lk, max_broadcast_rows=0)
+        assert out.where(F.col("role") == "r1").count() == 10000
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
