@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from shiftlog.operators import breakdowns as B
 from shiftlog.operators import summaries as S
@@ -143,3 +144,19 @@ def test_sorted_session_reports(log):
     assert ids == sorted(ids)
     ids = [r.session_id for r in S.provider_contact_time(log, sort=True).collect()]
     assert ids == sorted(ids)
+
+
+def test_na_total_sorts_last_and_negative_session_kept(spark, log):
+    with_na = log.unionByName(log.limit(1).selectExpr(
+        *[c if c != "what" else "'Broken' AS what" for c in log.columns])
+        .withColumn("total_activity_min", F.lit(None).cast("double")))
+    rows = S.activity_summary(with_na).collect()
+    assert rows[-1].what == "Broken" and rows[-1].total_time_min is None    # N9
+    assert [r.total_time_min for r in rows[:-1]] == sorted(
+        [r.total_time_min for r in rows[:-1]], reverse=True)
+    # a session that crosses midnight uncorrected keeps its negative length
+    from shiftlog.operators.enrich import derive_times
+    df = spark.createDataFrame([(1, 23 * 3600, 3600, "1_1_1", 60)],
+                               "session_id long, session_start_sec long, session_end_sec long, "
+                               "task_id string, active_sec long")
+    assert derive_times(df).first().total_session_min == -1320.0
