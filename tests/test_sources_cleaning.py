@@ -381,3 +381,20 @@ def test_lookup_join_hot_session_split_by_aqe(spark):
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
+
+
+def test_command_line_site_run(spark, tmp_path):
+    from shiftlog.__main__ import main
+    from shiftlog.sources.sinks import read_report
+    v1 = _write(tmp_path, "v1.csv", staff_csv("staff_v1"))
+    v2 = _write(tmp_path, "v2.csv", staff_csv("staff_v2"))
+    lk = _write(tmp_path, "lk.csv", lookup_csv())
+    out = str(tmp_path / "reports")
+    paths = main(["--site", "hospital_staff", "--export", f"staff_v1={v1}",
+                  "--export", f"staff_v2={v2}", "--lookup", lk, "--out", out, "--overview"])
+    assert {"processed", "report_summary", "observer_summary", "sessions_times",
+            "activity_summary", "session_detail", "overview_location_matrix"} <= set(paths)
+    got = read_report(spark, {k: paths[k] for k in ("observer_summary", "processed")})
+    # v1 keeps all 6 rows; v2 keeps only rows whose session has a role (501, 502)
+    assert got["processed"].count() == 6 + 4
+    assert got["observer_summary"].where(F.col("observer_id") == "Total").count() == 1
