@@ -374,16 +374,20 @@ FROM (SELECT *, {r('(t / NULLIF(sum(t) OVER (PARTITION BY role_slice), 0)) * 100
               coalesce(sum({X}), 0) AS t
        FROM clean GROUP BY GROUPING SETS ((role, what), (what)))""")
 
+LABEL = "regexp_replace(CAST(pct_time AS VARCHAR), '\\.0$', '') || '%' AS pct_label"
+
 Q["subcategory_share"] = with_clean(f"""
+SELECT *, {LABEL} FROM (
 SELECT what, subcategory, {r('t', 6)} AS activity_time,
        {r('(t / NULLIF(sum(t) OVER (PARTITION BY what), 0)) * 100', 0)} AS pct_time
-FROM g""", f"""g AS (SELECT what, subcategory, coalesce(sum({X}), 0) AS t FROM clean
+FROM g) x""", f"""g AS (SELECT what, subcategory, coalesce(sum({X}), 0) AS t FROM clean
        WHERE subcategory <> '0' GROUP BY what, subcategory)""")
 
 Q["subcategory_share_by_role"] = with_clean(f"""
+SELECT *, {LABEL} FROM (
 SELECT role_slice, what, subcategory, {r('t', 6)} AS activity_time,
        {r('(t / NULLIF(sum(t) OVER (PARTITION BY role_slice, what), 0)) * 100', 1)} AS pct_time
-FROM g""", f"""g AS (SELECT CASE WHEN grouping(role) = 1 THEN 'All' ELSE role END AS role_slice,
+FROM g) x""", f"""g AS (SELECT CASE WHEN grouping(role) = 1 THEN 'All' ELSE role END AS role_slice,
               what, subcategory, coalesce(sum({X}), 0) AS t
        FROM clean WHERE subcategory <> '0'
        GROUP BY GROUPING SETS ((role, what, subcategory), (what, subcategory)))""")

@@ -48,10 +48,14 @@ def pct_text(pct: ColumnOrName) -> Column:
     return F.regexp_replace(_c(pct).cast("string"), r"\.0$", "")
 
 
-def pct_label(pct: ColumnOrName, threshold: float) -> Column:
-    """Chart label: ``'<pct>%'`` above the threshold, else empty text."""
+def pct_label(pct: ColumnOrName, threshold: float | None = None) -> Column:
+    """Chart label: ``'<pct>%'``; with a threshold only above it, else
+    empty text."""
     c = _c(pct)
-    return F.when(c > F.lit(threshold), F.concat(pct_text(c), F.lit("%"))).otherwise(F.lit(""))
+    text = F.concat(pct_text(c), F.lit("%"))
+    if threshold is None:
+        return text
+    return F.when(c > F.lit(threshold), text).otherwise(F.lit(""))
 
 
 def heat(minutes_col: ColumnOrName) -> Column:

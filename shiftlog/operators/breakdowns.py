@@ -65,15 +65,18 @@ def activity_share(df: DataFrame, key: str = "what", role: str | None = None,
 
 def subcategory_share(df: DataFrame, key: str = "what", sub: str = "subcategory",
                       digits: int = 0, role: str | None = None,
-                      roles: Sequence[str] | None = None) -> DataFrame:
+                      roles: Sequence[str] | None = None,
+                      label_threshold: float | None = None) -> DataFrame:
     """Rows with a subcategory only; minutes per (activity, subcategory) and
     the share inside the activity (0 places half-even in the general
-    section, 1 place in role slices)."""
+    section, 1 place in role slices), with the pie label (every slice, or
+    only above ``label_threshold``)."""
     agg, part = _grouped(where_has_subcategory(df, sub), [key, sub], role,
                          [agg_sum(ACT_MIN, na="skip").alias("activity_time")], roles)
     share = grand_total_share(agg, "activity_time", [*part, key], na="skip")
-    return agg.select(*part, key, sub, round_to("activity_time", 6).alias("activity_time"),
-                      round_to(share, digits).alias("pct_time"))
+    out = agg.select(*part, key, sub, round_to("activity_time", 6).alias("activity_time"),
+                     round_to(share, digits).alias("pct_time"))
+    return out.withColumn("pct_label", pct_label("pct_time", label_threshold))
 
 
 # ---------------------------------------------------------------------------
