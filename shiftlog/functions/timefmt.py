@@ -24,12 +24,14 @@ def hms_to_seconds(text: ColumnOrName) -> Column:
     and never throws under ANSI mode.
     """
     t = F.trim(_c(text))
-    parts = F.split(t, ":")
-    ok = t.rlike(r"^\d+:\d{1,2}:\d{1,2}(\.\d+)?$")
-    h = F.try_element_at(parts, F.lit(1)).try_cast("bigint")
-    m = F.try_element_at(parts, F.lit(2)).try_cast("bigint")
-    s = F.floor(F.try_element_at(parts, F.lit(3)).try_cast("double")).cast("bigint")
-    return F.when(ok & (m < 60) & (s < 60), h * 3600 + m * 60 + s)
+    h = F.substring_index(t, ":", 1).try_cast("bigint")
+    m = F.substring_index(F.substring_index(t, ":", 2), ":", -1).try_cast("bigint")
+    s = F.floor(F.substring_index(t, ":", -1).try_cast("double")).cast("bigint")
+    colons = F.length(t) - F.length(F.replace(t, F.lit(":"), F.lit("")))
+    # exactly three numeric parts, minutes and seconds within a clock's
+    # range; plain string functions, no regex and no array per value
+    ok = (colons == 2) & (h >= 0) & m.between(0, 59) & s.between(0, 59)
+    return F.when(ok, h * 3600 + m * 60 + s)
 
 
 def seconds_to_hms(sec: ColumnOrName) -> Column:

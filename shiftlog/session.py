@@ -25,6 +25,11 @@ def get_spark(master: str | None = None, app: str = "shiftlog",
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # HotSpot does not JIT methods over 8000 bytes of bytecode; Spark's
+        # docs advise this limit so a stage whose generated method would be
+        # larger (the wide typed projection of an export scan) runs its
+        # operators' own compiled code instead of one interpreted method.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("SHIFTLOG_DRIVER_MEMORY", "8g"))
     )
