@@ -1,9 +1,12 @@
 """Cleaning chains: exports -> one cleaned, enriched activity log.
 
 One lazy plan per chain: scans, staged corrections, role joins, derived
-columns, exclusions, labels and session-relative time.  The only shuffles
-are the role joins (broadcast when the lookup is checked small) and the
-session-origin aggregate of the relative times.
+columns, exclusions, labels and session-relative time.  Shuffles: the role
+joins (none when the lookup is checked small enough to broadcast), the
+session-origin aggregate (combined map-side) and its skew-safe join back.
+At scale the log moves once, keyed on the session; locally AQE turns the
+join back into a broadcast at runtime, after the log's shuffle is already
+written -- the price of a plan that needs no up-front count of sessions.
 """
 
 from __future__ import annotations
