@@ -39,7 +39,8 @@ def add_labels(df: DataFrame, with_flags: Sequence[tuple[str, str]],
 
 
 def session_relative_time(df: DataFrame, keys: Sequence[str] = ("session_id",),
-                          hms: bool = True, hot_rows: int = HOT_ROWS) -> DataFrame:
+                          hms: bool = True, hot_rows: int = HOT_ROWS,
+                          hot: DataFrame | None = None) -> DataFrame:
     """Start / end of each activity relative to the first activity start of
     its session.
 
@@ -50,12 +51,13 @@ def session_relative_time(df: DataFrame, keys: Sequence[str] = ("session_id",),
     window, and the join back is skew-safe (:func:`join_back`): a session
     holding a large share of all rows gets its origin by broadcast and its
     rows are spread over many tasks, instead of one task sorting a huge
-    window partition.
+    window partition.  ``hot`` (with a salted ``df``) reuses the salting of
+    an earlier join, so the rows are not shuffled a second time.
     """
     keys = list(keys)
     origin = df.groupBy(*keys).agg(F.min("start_sec").alias("__origin"),
                                    F.count(F.lit(1)).alias("__rows"))
-    out = join_back(df, origin, keys, hot_rows=hot_rows)
+    out = join_back(df, origin, keys, hot_rows=hot_rows, hot=hot)
     out = out.withColumns({
         "start_norm_sec": F.col("start_sec") - F.col("__origin"),
         "end_norm_sec": F.col("end_sec") - F.col("__origin"),

@@ -26,19 +26,28 @@ def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS
 
 
 def _left_join(log: DataFrame, small: DataFrame, key: str, null_safe: bool,
-               max_broadcast_rows: int) -> DataFrame:
-    small = broadcast_if_small(small, max_broadcast_rows)
+               max_broadcast_rows: int, hot: DataFrame | None = None) -> DataFrame:
+    if row_count_at_most(small, max_broadcast_rows):
+        small, on = F.broadcast(small), [key]          # a broadcast join has no skew
+    elif hot is not None and SALT in log.columns:
+        small, on = salt_side(small, hot, [key]), [key, SALT]
+    else:
+        on = [key]
     if not null_safe:
-        return log.join(small, key, "left")
+        return log.join(small, on, "left")
     # NULL key matches NULL key, as in the reference's joins
-    rk = f"__rk_{key}"
-    small = small.withColumnRenamed(key, rk)
-    return log.join(small, log[key].eqNullSafe(small[rk]), "left").drop(rk)
+    renamed = {c: f"__rk_{c}" for c in on}
+    small = small.withColumnsRenamed(renamed)
+    cond = log[key].eqNullSafe(small[renamed[key]])
+    if SALT in on:
+        cond = cond & (log[SALT] == small[renamed[SALT]])
+    return log.join(small, cond, "left").drop(*renamed.values())
 
 
 def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
                 key: str = "session_id", value: str = "role", null_safe: bool = False,
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                hot: DataFrame | None = None) -> DataFrame:
     """Left join the log to one or more ``(key, value)`` lookups.
 
     With several lookups the first non-NULL value wins, in list order (two
@@ -46,6 +55,9 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     the reference's lookups are); like a left join there, a repeated key
     repeats the log row.  ``null_safe=True`` also matches a NULL key to a
     NULL key (the reference's join semantics; SQL's ``=`` never does).
+    With ``hot`` (see :func:`hot_keys`) and a salted log (:func:`add_salt`)
+    a lookup too large to broadcast is joined on (key, salt), so a hot
+    session's rows spread over many tasks.
     """
     if isinstance(lookups, DataFrame):
         lookups = [lookups]
@@ -54,7 +66,7 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     for i, lk in enumerate(lookups):
         name = f"__{value}_{i}"
         small = lk.select(F.col(key), F.col(value).alias(name))
-        out = _left_join(out, small, key, null_safe, max_broadcast_rows)
+        out = _left_join(out, small, key, null_safe, max_broadcast_rows, hot)
         tmp.append(name)
     merged = F.coalesce(*[F.col(t) for t in tmp]) if len(tmp) > 1 else F.col(tmp[0])
     return out.withColumn(value, merged).drop(*tmp)
@@ -62,12 +74,13 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
 
 def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
                   key: str = "session_id", carry: Sequence[str] = (),
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
+                  hot: DataFrame | None = None) -> DataFrame:
     """``target := coalesce(lookup.source, log.target)`` via a left join;
     ``carry`` lookup columns (e.g. the role) come along in the same join."""
     small = lookup.select(F.col(key), F.col(source).alias("__src"), *carry)
     out = log.drop(*[c for c in carry if c in log.columns])
-    out = out.join(broadcast_if_small(small, max_broadcast_rows), key, "left")
+    out = _left_join(out, small, key, False, max_broadcast_rows, hot)
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 
 
@@ -75,10 +88,47 @@ def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
 # of them, so their aggregate rows are a small table by construction.
 HOT_ROWS = 2_000_000
 HOT_SALTS = 64
+SALT = "__salt"
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys holding more than ``hot_rows`` rows of ``df`` -- at most
+    ``len(df) / hot_rows`` of them, a small table by construction.  One
+    partially aggregated count over the key columns."""
+    return (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+            .where(F.col("__rows") > hot_rows).select(*keys))
+
+
+def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__is_hot"))),
+                   list(keys), "left")
+
+
+def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str],
+             salts: int = HOT_SALTS) -> DataFrame:
+    """Rows of hot keys get ``__salt`` 1..``salts`` (a hash of the row, so a
+    re-run assigns the same salt); all other rows get 0."""
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    return (_mark_hot(df, hot, keys)
+            .withColumn(SALT, F.when(F.col("__is_hot"), F.pmod(row_hash, F.lit(salts)) + 1)
+                        .otherwise(F.lit(0)).cast("bigint"))
+            .drop("__is_hot"))
+
+
+def salt_side(side: DataFrame, hot: DataFrame, keys: Sequence[str],
+              salts: int = HOT_SALTS) -> DataFrame:
+    """The other side of a salted join: each row once with salt 0, and rows
+    of hot keys once more for every salt 1..``salts``."""
+    zero = F.lit(0).cast("bigint")
+    copies = F.when(F.col("__is_hot"), F.sequence(zero, F.lit(salts).cast("bigint"))) \
+        .otherwise(F.array(zero))
+    return (_mark_hot(side, hot, keys)
+            .select(*side.columns, F.explode(copies).alias(SALT)))
 
 
 def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str = "__rows",
-              hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS) -> DataFrame:
+              hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS,
+              hot: DataFrame | None = None) -> DataFrame:
     """``df LEFT JOIN agg USING keys`` for a per-key aggregate ``agg`` (one
     row per key, with its row count in ``rows_col``), safe when one key
     holds a large share of ``df``.
@@ -97,9 +147,17 @@ def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str
 
     One scan of ``df``; the aggregate is computed once (its exchange is
     reused by both uses).
+
+    When ``df`` already carries a salt (:func:`add_salt` with ``hot``), the
+    aggregate is salted the same way and joined on (keys, salt): the
+    partitioning of an earlier salted join is reused, so the rows of ``df``
+    are not shuffled again.
     """
     keys = list(keys)
     vals = [c for c in agg.columns if c not in keys and c != rows_col]
+    if hot is not None and SALT in df.columns:
+        side = salt_side(agg.select(*keys, *vals), hot, keys, salts)
+        return df.join(side, [*keys, SALT], "left")
     hot = (agg.where(F.col(rows_col) > hot_rows)
            .select(*keys, F.lit(True).alias("__is_hot"),
                    *[F.col(v).alias(f"__hot_{v}") for v in vals]))

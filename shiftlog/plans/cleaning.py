@@ -15,13 +15,15 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shiftlog.functions.timefmt import seconds_to_hms
 from shiftlog.operators.cleaning import (Correction, apply_corrections, drop_columns,
                                          exclude_keys, keep_known, recode)
 from shiftlog.operators.enrich import (add_labels, derive_times, renumber_tasks,
                                        session_relative_time)
-from shiftlog.operators.joins import attach_role, prefer_lookup
+from shiftlog.operators.joins import (DEFAULT_MAX_BROADCAST_ROWS, HOT_ROWS, SALT, add_salt,
+                                      attach_role, hot_keys, prefer_lookup)
 from shiftlog.sources.forms import DROPPED_AFTER_CLEANING, Form, get_form
 
 
@@ -46,6 +48,8 @@ class CleaningConfig:
     relative_keys: Sequence[str] = ("session_id",)
     renumber_sessions: Sequence[int] = ()
     participant_from_lookup: bool = False   # polyclinic notebook: lookup id wins
+    hot_rows: int = HOT_ROWS          # sessions with more rows are salted across tasks
+    max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS   # lookups up to this are broadcast
 
 
 def _label_empties(cfg: CleaningConfig, f: Form) -> tuple[str | None, str | None]:
@@ -60,12 +64,18 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
               lookups: DataFrame | Sequence[DataFrame] | None = None) -> DataFrame:
     """Run the cleaning chain over one or more exports of the same site.
 
-    Stages, in the reference's order: raw corrections -> role join (and
-    the optional known-role filter) -> strict union by name -> derived
-    columns -> derived-stage corrections and recodes -> exclusions ->
-    late corrections (derived columns stay as they were) -> task
-    renumbering -> labels -> session-relative time -> normalised-stage
-    corrections -> drop of the multitask / interruption block.
+    Stages, in the reference's order: raw corrections -> strict union by
+    name -> role join (and the per-export known-role filter) -> derived
+    columns -> derived-stage corrections and recodes -> exclusions -> late
+    corrections (derived columns stay as they were) -> task renumbering ->
+    labels -> session-relative time -> normalised-stage corrections -> drop
+    of the multitask / interruption block.
+
+    Sessions holding more than ``cfg.hot_rows`` rows are found once (one
+    count per session) and their rows salted; the role join (when the
+    lookup is too large to broadcast) and the session-origin join are both
+    keyed on (session, salt), so the log is shuffled once and a hot session
+    is spread over many tasks.
     """
     f = get_form(cfg.form)
     parts = []
@@ -73,19 +83,22 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
         d = ex.df
         if ex.apply_raw:
             d = apply_corrections(d, cfg.corrections, "raw", cfg.dataset)
-        if lookups is not None:
-            if cfg.participant_from_lookup:
-                # one join brings the role and the lookup's participant id
-                lk = lookups if isinstance(lookups, DataFrame) else lookups[0]
-                d = prefer_lookup(d, lk, "participant_id", "participant_id_2", carry=["role"])
-            else:
-                d = attach_role(d, lookups)
-            if ex.require_role:
-                d = keep_known(d, "role")
-        parts.append(d)
+        parts.append(d.withColumn("__require_role", F.lit(bool(ex.require_role))))
     df = parts[0]
     for p in parts[1:]:
         df = df.unionByName(p)
+    hot = hot_keys(df, ["session_id"], cfg.hot_rows)
+    df = add_salt(df, hot, ["session_id"])
+    if lookups is not None:
+        if cfg.participant_from_lookup:
+            # one join brings the role and the lookup's participant id
+            lk = lookups if isinstance(lookups, DataFrame) else lookups[0]
+            df = prefer_lookup(df, lk, "participant_id", "participant_id_2", carry=["role"],
+                               hot=hot, max_broadcast_rows=cfg.max_broadcast_rows)
+        else:
+            df = attach_role(df, lookups, hot=hot, max_broadcast_rows=cfg.max_broadcast_rows)
+        df = df.where(~F.col("__require_role") | F.col("role").isNotNull())
+    df = df.drop("__require_role")
     df = derive_times(df)
     df = apply_corrections(df, cfg.corrections, "derived", cfg.dataset)
     for col, mapping in cfg.recodes.items():
@@ -97,12 +110,14 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
         df = renumber_tasks(df, cfg.renumber_sessions)
     empty_with, empty_how = _label_empties(cfg, f)
     df = add_labels(df, f.with_flags, f.how_flags, empty_with, empty_how, f.no_one_flag)
-    df = session_relative_time(df, cfg.relative_keys)
+    by_session = list(cfg.relative_keys) == ["session_id"]
+    df = session_relative_time(df, cfg.relative_keys, hot_rows=cfg.hot_rows,
+                               hot=hot if by_session else None)
     fixed = apply_corrections(df, cfg.corrections, "normalised", cfg.dataset)
     if fixed is not df:
         df = fixed.withColumns({"start_norm_hms": seconds_to_hms("start_norm_sec"),
                                 "end_norm_hms": seconds_to_hms("end_norm_sec")})
-    return drop_columns(df, DROPPED_AFTER_CLEANING)
+    return drop_columns(df, (*DROPPED_AFTER_CLEANING, SALT))
 
 
 def clean_polyclinic_log(exports: Sequence[Export], cfg: CleaningConfig,

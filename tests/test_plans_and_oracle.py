@@ -174,7 +174,7 @@ def test_no_single_partition_step_over_raw_rows(spark, name):
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan()
     if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-        plan = plan.inputPlan()
+        plan = plan.executedPlan()
     bad = []
     _single_partition_feeds(plan, bad)
     assert not bad, f"single-partition exchange fed by {bad}"
@@ -182,3 +182,49 @@ def test_no_single_partition_step_over_raw_rows(spark, name):
     for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython",
                "ArrowEvalPython", "PythonUDF"):
         assert op not in text, f"{name} plan contains {op}"
+
+
+def _exchanges_over_wide_scans(node, min_cols, out):
+    """Count shuffle exchanges whose input reaches a scan of >= min_cols
+    columns without passing another exchange."""
+    name = node.getClass().getSimpleName()
+    if name == "ShuffleExchangeExec":
+        stack = _children(node)
+        while stack:
+            n = stack.pop()
+            nm = n.getClass().getSimpleName()
+            if nm in ("ShuffleExchangeExec", "BroadcastExchangeExec"):
+                continue
+            if nm == "FileSourceScanExec" and n.output().size() >= min_cols:
+                out.append(node.outputPartitioning().toString())
+                break
+            stack.extend(_children(n))
+    for c in _children(node):
+        _exchanges_over_wide_scans(c, min_cols, out)
+
+
+def test_cleaning_shuffles_the_log_once_at_scale(spark, tmp_path):
+    """With every join past its broadcast bound (as at scale), the log is
+    shuffled once: the lookup join and the session-origin join share the
+    (session, salt) partitioning."""
+    import dataclasses
+    from shiftlog.plans.cleaning import Export, clean_log
+    from shiftlog.plans.sites import EVENTS
+    from shiftlog.sources.testlog import activity_log_from_events, role_lookup_from_customer
+    path = str(tmp_path / "src")
+    activity_log_from_events(spark, SF).write.parquet(path)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = clean_log([Export(spark.read.parquet(path))],
+                       dataclasses.replace(EVENTS, max_broadcast_rows=0),
+                       role_lookup_from_customer(spark, SF))
+        plan = df._jdf.queryExecution().executedPlan()
+        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            plan = plan.executedPlan()
+        wide = []
+        _exchanges_over_wide_scans(plan, 20, wide)
+        assert len(wide) == 1 and "__salt" in wide[0], wide
+        assert "SortMergeJoin" in plan.toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
