@@ -1,9 +1,12 @@
-"""Lookup joins.
+"""Lookup joins and skew-safe joins of per-key aggregates.
 
 A lookup is broadcast only after its row count is checked against a bound
-(one cheap count of the lookup, not of the log); past the bound the join is
-left to the planner (sort-merge, with AQE free to switch to a broadcast at
-runtime and to split skewed partitions).
+(one cheap count of the lookup, not of the log); past the bound it is a
+shuffle join.  Keys holding more than ``HOT_ROWS`` rows ("hot" sessions: at
+most rows / ``HOT_ROWS`` of them) are found by one count, their rows are
+salted (:func:`add_salt`), and shuffle joins are keyed on (key, salt) with the
+other side's hot rows copied per salt (:func:`salt_side`), so one key never
+lands in one task and several joins share one partitioning.
 """
 
 from __future__ import annotations
