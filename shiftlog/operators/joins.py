@@ -103,8 +103,16 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
 
 
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__is_hot"))),
-                   list(keys), "left")
+    """Adds ``__is_hot``: the row's key is hot, or NULL (NULL keys match
+    nothing in an equi-join, so spreading them is free and keeps a mass of
+    NULL keys out of one task)."""
+    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))),
+                     list(keys), "left")
+    any_null = F.lit(False)
+    for k in keys:
+        any_null = any_null | F.col(k).isNull()
+    return marked.withColumn("__is_hot", F.coalesce(F.col("__hot"), F.lit(False)) | any_null) \
+                 .drop("__hot")
 
 
 def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str],

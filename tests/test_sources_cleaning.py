@@ -398,3 +398,21 @@ def test_command_line_site_run(spark, tmp_path):
     # v1 keeps all 6 rows; v2 keeps only rows whose session has a role (501, 502)
     assert got["processed"].count() == 6 + 4
     assert got["observer_summary"].where(F.col("observer_id") == "Total").count() == 1
+
+
+def test_salting_spreads_null_keys_and_keeps_null_safe_matches(spark):
+    from shiftlog.operators.joins import SALT, add_salt, hot_keys
+    log = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 7)
+         .cast("long").alias("session_id"), F.col("id").alias("activity_id"))
+    hot = hot_keys(log, ["session_id"], hot_rows=10_000)          # nothing is hot
+    salted = add_salt(log, hot, ["session_id"])
+    null_salts = {r[0] for r in salted.where(F.col("session_id").isNull())
+                  .select(SALT).distinct().collect()}
+    assert len(null_salts) > 10                                 # NULL keys spread out
+    lk = spark.createDataFrame([(None, "x"), (1, "Nurse")], "session_id long, role string")
+    plain = attach_role(salted, lk, hot=hot, max_broadcast_rows=0)
+    safe = attach_role(salted, lk, hot=hot, max_broadcast_rows=0, null_safe=True)
+    assert plain.where(F.col("role") == "x").count() == 0
+    assert safe.where(F.col("role") == "x").count() == 1000
+    assert safe.count() == plain.count() == 3000
