@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from shiftlog.functions.timefmt import seconds_to_hms
 from shiftlog.operators.cleaning import (Correction, apply_corrections, drop_columns,
-                                         exclude_keys, keep_known, recode)
+                                         exclude_keys, recode)
 from shiftlog.operators.enrich import (add_labels, derive_times, renumber_tasks,
                                        session_relative_time)
 from shiftlog.operators.joins import (DEFAULT_MAX_BROADCAST_ROWS, HOT_ROWS, SALT, add_salt,

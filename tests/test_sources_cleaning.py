@@ -240,10 +240,11 @@ def test_observer_mean_per_session(spark):
 
 
 def test_slice_and_fill(spark):
-    from shiftlog.operators.cleaning import fill_null, slice_by
+    from shiftlog.operators.cleaning import fill_null, keep_known, slice_by
     df = spark.createDataFrame([("Nurse", None), ("Physician", 2.0), (None, None)],
                                "role string, m double")
     assert slice_by(df, "role", "Nurse").count() == 1
+    assert keep_known(df, "role").count() == 2
     assert sorted(r.m for r in fill_null(df, 0.0, ["m"]).collect()) == [0.0, 0.0, 2.0]
 
 
