@@ -18,6 +18,7 @@ from shiftlog.plans.cleaning import Export, clean_log
 from shiftlog.plans.reports import overview_bundle, patient_bundle, staff_bundle, write_bundle
 from shiftlog.session import get_spark
 from shiftlog.sources.readers import read_activity_log, read_lookup
+from shiftlog.sources.sinks import stage
 
 SITES = {
     "hospital_staff": (sites.REFERENCE_HOSPITAL_STAFF, staff_bundle, sites.HOSPITAL_LOCATIONS),
@@ -45,7 +46,10 @@ def main(argv=None) -> dict[str, str]:
     exports = []
     for i, spec in enumerate(args.export):
         form, path = spec.split("=", 1)
-        df = read_activity_log(spark, path, form)
+        # typed scan staged once as parquet: the chain's branches then read
+        # only their columns, and lineage stops at the staged copy
+        df = stage(read_activity_log(spark, path, form),
+                   f"{args.out.rstrip('/')}/staged/export_{i}")
         # as the reference: corrections on the first export, role required
         # on later versions (rows without a role belong to another site)
         exports.append(Export(df, require_role=i > 0 and bool(args.lookup),

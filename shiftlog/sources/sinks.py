@@ -24,6 +24,19 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet",
     return path
 
 
+def stage(df: DataFrame, path: str) -> DataFrame:
+    """Write a typed scan once as parquet and continue from the written copy.
+
+    The cleaning plan reads its input in several branches (main rows,
+    per-session counts, session origins); from CSV each branch would parse
+    every column again, from parquet each reads only its columns.  The copy
+    in shared storage also cuts the lineage: a lost executor re-reads
+    parquet instead of re-parsing exports.
+    """
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_report(bundle: Mapping[str, DataFrame], base_path: str, fmt: str = "parquet",
                  mode: str = "overwrite") -> dict[str, str]:
     """Write each named report table to ``{base_path}/{name}``.
