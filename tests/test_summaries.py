@@ -118,6 +118,8 @@ def test_location_outputs(log):
     m = {r.what: r for r in B.location_matrix(log, [("a", "A"), ("b", "B")]).collect()}
     assert m["Direct Care"].a == 40.0 and m["Direct Care"].b == 0.0
     assert m[None].a == 0.0 and m[None].n_act == 1
+    shown = B.location_matrix(log, [("a", "A"), ("b", "B")], show=["b"])
+    assert shown.columns == ["what", "total_time", "n_act", "b"]      # A16 subset
     assert B.location_long(B.location_matrix(log, [("a", "A"), ("b", "B")]),
                            [("a", "A"), ("b", "B")]).count() == 2 * 3
 
