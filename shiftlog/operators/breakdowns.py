@@ -14,7 +14,7 @@ from shiftlog.functions.aggregates import agg_sum, n_distinct
 from shiftlog.functions.labels import label_roles
 from shiftlog.functions.rounding import heat, pct_label, round_to
 from shiftlog.operators.cleaning import tool_used, where_has_subcategory
-from shiftlog.operators.summaries import ACT_MIN, SESSION, grand_total_share
+from shiftlog.operators.summaries import ACT_MIN, SESSION, grand_total_share, sort_small
 
 ALL = "All"
 
@@ -154,9 +154,9 @@ def location_summary(df: DataFrame, key: str = "location", item: str = "what",
         cond = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*part, key]]
         agg = a.join(b, cond, "left").select(*[F.col(f"a.{c}") for c in agg.columns],
                                              F.col("b.activities_list"))
-    return agg.select(*part, key, "n_sessions", "total_time_min", "activities_list") \
-              .orderBy(*[F.col(p).asc_nulls_last() for p in part],
-                       F.col("total_time_min").desc_nulls_last())
+    return sort_small(agg.select(*part, key, "n_sessions", "total_time_min", "activities_list"),
+                      *[F.col(p).asc_nulls_last() for p in part],
+                      F.col("total_time_min").desc_nulls_last())
 
 
 def location_matrix(df: DataFrame, locations: Sequence[tuple[str, str]], key: str = "what",

@@ -21,6 +21,14 @@ SESSION = "session_id"
 ACT_MIN = "total_activity_min"
 
 
+def sort_small(agg: DataFrame, *order) -> DataFrame:
+    """Order a category-level aggregate (one row per activity, location,
+    role slice -- tens of rows): it fits one task, so it is sorted there
+    rather than through a sampled range shuffle.  Not for per-session
+    tables, whose size grows with the data (those use ``orderBy``)."""
+    return agg.coalesce(1).sortWithinPartitions(*order)
+
+
 def grand_total_share(agg: DataFrame, value: str, part: Sequence[str] = (),
                       na: str = "propagate", total: str = "window") -> Column:
     """``100 * value / sum(value)`` over the aggregated rows (per ``part``).
@@ -182,8 +190,8 @@ def activity_summary(df: DataFrame, key: str = "what", per_session: bool = False
     lead = part + [key, "total_sessions"] + (["avg_act_session"] if per_session else [])
     agg = agg.select(*lead, *MIN_COLS, "pct_time")
     if sort:
-        agg = agg.orderBy(*[F.col(p).asc_nulls_last() for p in part],
-                          F.col("total_time_min").desc_nulls_last())
+        agg = sort_small(agg, *[F.col(p).asc_nulls_last() for p in part],
+                         F.col("total_time_min").desc_nulls_last())
     return agg
 
 
