@@ -279,17 +279,19 @@ def session_times(df: DataFrame, cols: Sequence[str] = SESSION_COLS) -> DataFram
     (NA if any activity's total time is NA), in seconds and ``HH:MM:SS``.
 
     The sum is per session id even when other columns vary inside a
-    session: distinct rows are aggregated first and the per-session total
-    is a window over those few rows.
+    session.  One shuffle: a ``groupBy(session)`` that sums the total time
+    and collects the session's distinct descriptions (a handful per session,
+    deduplicated map-side), then one output row per description.
     """
-    cols = list(cols)
-    part = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"),
-                                 F.count("total_sec").alias("__c"),
-                                 F.sum("total_sec").alias("__s"))
-    w = Window.partitionBy(SESSION)
-    total = F.when(F.sum("__c").over(w) == F.sum("__n").over(w), F.sum("__s").over(w))
-    out = part.withColumn("total_session_sec", total.cast("bigint"))
-    return out.select(*cols, "total_session_sec",
+    others = [c for c in cols if c != SESSION]
+    agg = df.groupBy(SESSION).agg(
+        F.collect_set(F.struct(*others)).alias("__descs"),
+        F.when(F.count("total_sec") == F.count(F.lit(1)), F.sum("total_sec"))
+         .cast("bigint").alias("total_session_sec"))
+    out = agg.select(SESSION, "total_session_sec", F.explode("__descs").alias("__d"))
+    return out.select(*[F.col(SESSION) if c == SESSION else F.col("__d")[c].alias(c)
+                        for c in cols],
+                      "total_session_sec",
                       seconds_to_hms("total_session_sec").alias("total_session_hms"))
 
 
