@@ -99,9 +99,14 @@ def renumber_tasks(df: DataFrame, sessions: Sequence | None = None,
         .rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("session_id", "__piece",
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    numbered = (local.join(offsets, ["session_id", "__piece"], "inner")
+    # null-safe on the session: rows without a session are numbered as one
+    # group, as a window would
+    offsets = offsets.withColumnsRenamed({"session_id": "__o_session", "__piece": "__o_piece"})
+    cond = (local["session_id"].eqNullSafe(offsets["__o_session"])
+            & (local["__piece"] == offsets["__o_piece"]))
+    numbered = (local.join(offsets, cond, "inner")
                 .withColumn(col, (F.col("__local") + F.col("__off")).cast("bigint"))
-                .drop("__piece", "__local", "__off"))
+                .drop("__piece", "__local", "__off", "__o_session", "__o_piece"))
     if sessions is None:
         return numbered.select(*df.columns)
     # like the reference's ``filter(!id == v)``, a NULL session id is dropped

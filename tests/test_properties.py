@@ -60,3 +60,20 @@ def test_fold_flags_matches_paste_model(spark, rows):
             .collect()
     assert [g.a for g in got] == [r_paste_label(r, None) for r in rows]
     assert [g.b for g in got] == [r_paste_label(r, "No one") for r in rows]
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([1, 1, 1, 2, 3, 4, 5, None]),
+                          st.integers(0, 10_000)), min_size=1, max_size=300, unique_by=lambda t: t[1]),
+       st.integers(1, 9))
+def test_renumber_matches_window(spark, rows, pieces):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    from shiftlog.operators.enrich import renumber_tasks
+    df = spark.createDataFrame([(s, a, 0) for s, a in rows],
+                               "session_id long, activity_id long, task_order long")
+    got = renumber_tasks(df, pieces=pieces)
+    want = df.withColumn("task_order", F.row_number().over(
+        Window.partitionBy("session_id").orderBy("activity_id")).cast("bigint"))
+    assert sorted(map(tuple, got.collect()), key=str) == \
+        sorted(map(tuple, want.collect()), key=str)
