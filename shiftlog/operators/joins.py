@@ -78,12 +78,12 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
 def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
                   key: str = "session_id", carry: Sequence[str] = (),
                   max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
-                  hot: DataFrame | None = None) -> DataFrame:
+                  hot: DataFrame | None = None, null_safe: bool = False) -> DataFrame:
     """``target := coalesce(lookup.source, log.target)`` via a left join;
     ``carry`` lookup columns (e.g. the role) come along in the same join."""
     small = lookup.select(F.col(key), F.col(source).alias("__src"), *carry)
     out = log.drop(*[c for c in carry if c in log.columns])
-    out = _left_join(out, small, key, False, max_broadcast_rows, hot)
+    out = _left_join(out, small, key, null_safe, max_broadcast_rows, hot)
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 
 
@@ -137,12 +137,28 @@ def salt_side(side: DataFrame, hot: DataFrame, keys: Sequence[str],
             .select(*side.columns, F.explode(copies).alias(SALT)))
 
 
+def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                    extra: Sequence[str] = ()) -> DataFrame:
+    """``left LEFT JOIN right`` on ``keys`` (NULL matches NULL, as a
+    grouping treats NULL as one group) and ``extra`` (plain equality)."""
+    renamed = {c: f"__r_{c}" for c in [*keys, *extra]}
+    r = right.withColumnsRenamed(renamed)
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(r[renamed[k]])
+        cond = c if cond is None else cond & c
+    for e in extra:
+        cond = cond & (left[e] == r[renamed[e]])
+    return left.join(r, cond, "left").drop(*renamed.values())
+
+
 def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str = "__rows",
               hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS,
               hot: DataFrame | None = None) -> DataFrame:
     """``df LEFT JOIN agg USING keys`` for a per-key aggregate ``agg`` (one
     row per key, with its row count in ``rows_col``), safe when one key
-    holds a large share of ``df``.
+    holds a large share of ``df``.  Keys match null-safely: a NULL key is
+    a group of its own, as in the aggregate.
 
     A plain shuffle join would send every row of a hot key to one task, and
     Spark's adaptive skew split does not apply when one join side ends in an
@@ -168,11 +184,11 @@ def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str
     vals = [c for c in agg.columns if c not in keys and c != rows_col]
     if hot is not None and SALT in df.columns:
         side = salt_side(agg.select(*keys, *vals), hot, keys, salts)
-        return df.join(side, [*keys, SALT], "left")
-    hot = (agg.where(F.col(rows_col) > hot_rows)
-           .select(*keys, F.lit(True).alias("__is_hot"),
-                   *[F.col(v).alias(f"__hot_{v}") for v in vals]))
-    x = df.join(F.broadcast(hot), keys, "left")
+        return _null_safe_left(df, side, keys, [SALT])
+    hot_rows_agg = (agg.where(F.col(rows_col) > hot_rows)
+                    .select(*keys, F.lit(True).alias("__is_hot"),
+                            *[F.col(v).alias(f"__hot_{v}") for v in vals]))
+    x = _null_safe_left(df, F.broadcast(hot_rows_agg), keys)
     row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
     x = x.withColumn("__salt", F.when(F.col("__is_hot"),
                                       F.pmod(row_hash, F.lit(salts)) + 1).otherwise(F.lit(0))
@@ -182,7 +198,7 @@ def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str
     cold_salt = F.when(F.col(rows_col) > hot_rows, F.lit(-1)).otherwise(F.lit(0))
     cold = agg.select(*keys, cold_salt.cast("bigint").alias("__salt"),
                       *[F.col(v).alias(f"__cold_{v}") for v in vals])
-    out = x.join(cold, [*keys, "__salt"], "left")
+    out = _null_safe_left(x, cold, keys, ["__salt"])
     return out.select(*df.columns,
                       *[F.coalesce(F.col(f"__hot_{v}"), F.col(f"__cold_{v}")).alias(v)
                         for v in vals])

@@ -94,9 +94,14 @@ def clean_log(exports: Sequence[Export], cfg: CleaningConfig,
             # one join brings the role and the lookup's participant id
             lk = lookups if isinstance(lookups, DataFrame) else lookups[0]
             df = prefer_lookup(df, lk, "participant_id", "participant_id_2", carry=["role"],
-                               hot=hot, max_broadcast_rows=cfg.max_broadcast_rows)
+                               hot=hot, max_broadcast_rows=cfg.max_broadcast_rows,
+                               null_safe=True)
         else:
-            df = attach_role(df, lookups, hot=hot, max_broadcast_rows=cfg.max_broadcast_rows)
+            # null-safe like the reference's joins, and with the same key
+            # expressions as the session-origin join below, so both share one
+            # partitioning of the log
+            df = attach_role(df, lookups, hot=hot, max_broadcast_rows=cfg.max_broadcast_rows,
+                             null_safe=True)
         df = df.where(~F.col("__require_role") | F.col("role").isNotNull())
     df = df.drop("__require_role")
     df = derive_times(df)
