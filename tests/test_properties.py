@@ -1,5 +1,7 @@
 """Property checks: each generates a batch of cases and runs one Spark job."""
 
+import os
+
 import duckdb
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -9,7 +11,7 @@ from shiftlog.functions.labels import fold_flags
 from shiftlog.functions.rounding import round_to
 from shiftlog.functions.timefmt import hms_to_seconds, seconds_to_hms
 
-SETTINGS = settings(max_examples=5, deadline=None,
+SETTINGS = settings(max_examples=int(os.environ.get("PROPERTY_EXAMPLES", "5")), deadline=None,
                     suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
@@ -105,3 +107,60 @@ def test_relative_time_matches_window(spark, rows, hot_rows):
     assert sorted(map(tuple, plain.collect())) == w_rows
     assert sorted(map(tuple, salted.collect())) == w_rows
     assert SALT not in plain.columns
+
+
+def _model_observer_summary(rows):
+    """R semantics: per observer (NA a group) and a Total row."""
+    from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal
+
+    def rnd(x, d):
+        if x is None:
+            return None
+        q = Decimal(repr(x)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
+        mode = ROUND_HALF_EVEN if d == 0 else ROUND_HALF_UP
+        return float(q.quantize(Decimal(1).scaleb(-d), mode))
+
+    def summarise(rs, total):
+        sess = {r[1] for r in rs}
+        keyed = [r for r in rs if r[1] is not None]
+        kdist = {r[1] for r in keyed}
+        tsm = [r[2] for r in rs if r[2] is not None]
+        act = [r[3] for r in rs]
+        sec = [r[4] for r in rs]
+        return (len(sess),
+                rnd(len(keyed) / len(kdist), 0) if kdist else None,
+                rnd(sum(tsm) / len(tsm), 2) if tsm else None,
+                rnd(sum(act), 2) if None not in act else None,
+                sum(s for s in sec if s is not None) if total
+                else (sum(sec) if None not in sec else None))
+
+    out = {}
+    for obs in {r[0] for r in rows}:
+        out[None if obs is None else str(obs)] = summarise([r for r in rows if r[0] == obs],
+                                                           False)
+    out["Total"] = summarise(rows, True)
+    return out
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([1, 2, None]), st.sampled_from([10, 11, 12, None]),
+                          st.one_of(st.none(), st.integers(0, 600).map(lambda s: s / 60)),
+                          st.one_of(st.integers(0, 600).map(lambda s: s / 60), st.none()),
+                          st.one_of(st.integers(0, 600), st.none())),
+                min_size=1, max_size=60))
+def test_observer_summary_matches_r_model(spark, rows):
+    from shiftlog.operators.summaries import observer_summary
+    df = spark.createDataFrame(rows, "observer_id long, session_id long, "
+                                     "total_session_min double, total_activity_min double, "
+                                     "total_sec long")
+    got = {r.observer_id: (r.sessions, r.n_activities_avg, r.avg_session_min,
+                           r.total_time_min, r.total_time_sec)
+           for r in observer_summary(df).collect()}
+    want = _model_observer_summary(rows)
+    assert set(got) == set(want)
+    for k, w in want.items():
+        g = got[k]
+        assert g[0] == w[0] and g[4] == w[4], (k, g, w)
+        for a, b in zip(g[1:4], w[1:4]):
+            assert (a is None and b is None) or (a is not None and b is not None
+                                                 and abs(a - b) < 1e-9), (k, g, w)
