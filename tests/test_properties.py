@@ -164,3 +164,44 @@ def test_observer_summary_matches_r_model(spark, rows):
         for a, b in zip(g[1:4], w[1:4]):
             assert (a is None and b is None) or (a is not None and b is not None
                                                  and abs(a - b) < 1e-9), (k, g, w)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([10, 11, None]), st.sampled_from(["d1", None]),
+                          st.sampled_from(["p1", "p2", None]),
+                          st.one_of(st.integers(0, 600), st.none()),
+                          st.sampled_from(["Waiting Time", "Care", None]),
+                          st.one_of(st.integers(0, 600).map(lambda s: s / 60), st.none())),
+                min_size=1, max_size=60))
+def test_session_tables_match_models(spark, rows):
+    from shiftlog.operators.summaries import session_times, waiting_time
+    df = spark.createDataFrame(
+        [(s, d, p, 1, "morning", 0, 100, sec, w, m) for s, d, p, sec, w, m in rows],
+        "session_id long, session_date string, participant_id string, observer_id long, "
+        "time_slot string, session_start_sec long, session_end_sec long, total_sec long, "
+        "what string, total_activity_min double")
+    # session times: distinct descriptions (NULL fields included), NA-propagating sum
+    want = set()
+    for s in {r[0] for r in rows}:
+        secs = [r[3] for r in rows if r[0] == s]
+        tot = None if None in secs else sum(secs)
+        for r in rows:
+            if r[0] == s:
+                want.add((r[1], 1, "morning", s, r[2], 0, 100, tot))
+    got = [tuple(r)[:8] for r in session_times(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    # waiting time: sessions with a waiting row; NA-propagating sums, rounded
+    wt = {r.session_id: r for r in waiting_time(df).collect()}
+    waited = {r[0] for r in rows if r[4] == "Waiting Time"}
+    assert set(wt) == waited
+    for s in waited:
+        mins = [r[5] for r in rows if r[0] == s and r[4] == "Waiting Time"]
+        allm = [r[5] for r in rows if r[0] == s]
+        w = None if None in mins else sum(mins)
+        t = None if None in allm else sum(allm)
+        assert (wt[s].waiting_time_min is None) == (w is None)
+        assert (wt[s].total_session_min is None) == (t is None)
+        if w is not None:
+            assert abs(wt[s].waiting_time_min - w) < 0.006
+        if t is not None:
+            assert abs(wt[s].total_session_min - t) < 0.006
