@@ -205,3 +205,40 @@ def test_session_tables_match_models(spark, rows):
             assert abs(wt[s].waiting_time_min - w) < 0.006
         if t is not None:
             assert abs(wt[s].total_session_min - t) < 0.006
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from([10, 11, 12, None]),
+                          st.sampled_from(["Doctor", "nurse, Other", "Relative", "", None]),
+                          st.one_of(st.integers(1, 600).map(lambda s: s / 60), st.none())),
+                min_size=1, max_size=60))
+def test_provider_contact_matches_model(spark, rows):
+    import re
+    from shiftlog.operators.summaries import provider_contact_time
+
+    def r2(x):
+        return None if x is None else round(x + 0.0, 2)
+
+    def psum(xs):
+        return None if any(x is None for x in xs) else sum(xs)
+
+    df = spark.createDataFrame(rows, "session_id long, with_whom string, "
+                                     "total_activity_min double")
+    got = {r.session_id: r for r in provider_contact_time(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for s in {r[0] for r in rows}:
+        labels = {r[1] for r in rows if r[0] == s}
+        t = {lab: psum([r[2] for r in rows if r[0] == s and r[1] == lab]) for lab in labels}
+        tot = r2(psum(list(t.values())))
+        hits = [lab for lab in labels
+                if lab is not None and re.search("(?i)nurse|doctor", lab)]
+        if not hits:
+            want = (0.0, 0.0, 0.0)
+        else:
+            ts = [r2(t[lab]) for lab in hits]
+            pcts = [None if (x is None or tot is None) else r2(x * 100 / tot) for x in ts]
+            m, p = psum(ts), psum(pcts)
+            want = (0.0 if m is None else m, 0.0 if tot is None else tot,
+                    0.0 if p is None else p)
+        g = (got[s].dr_nurse_min, got[s].total_session_min, got[s].dr_nurse_pct)
+        assert all(abs(a - b) < 0.011 for a, b in zip(g, want)), (s, g, want)
