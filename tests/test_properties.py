@@ -242,3 +242,52 @@ def test_provider_contact_matches_model(spark, rows):
                     0.0 if p is None else p)
         g = (got[s].dr_nurse_min, got[s].total_session_min, got[s].dr_nurse_pct)
         assert all(abs(a - b) < 0.011 for a, b in zip(g, want)), (s, g, want)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["Care", "Wait", None]), st.sampled_from([1, 2, None]),
+                          st.sampled_from(["A", "B", None]),
+                          st.one_of(st.integers(1, 600).map(lambda s: s / 60), st.none())),
+                min_size=1, max_size=60))
+def test_activity_and_location_summaries_match_model(spark, rows):
+    from shiftlog.operators.breakdowns import location_summary
+    from shiftlog.operators.summaries import activity_summary
+
+    def psum(xs):
+        return None if any(x is None for x in xs) else sum(xs)
+
+    df = spark.createDataFrame([(w, s, loc, m, i) for i, (w, s, loc, m) in enumerate(rows)],
+                               "what string, session_id long, location string, "
+                               "total_activity_min double, activity_id long")
+    got = {r.what: r for r in activity_summary(df).collect()}
+    whats = {r[0] for r in rows}
+    assert set(got) == whats
+    totals = {}
+    for w in whats:
+        rs = [r for r in rows if r[0] == w]
+        assert got[w].total_sessions == len({r[1] for r in rs})        # NA counts once
+        tot = psum([r[3] for r in rs])
+        assert (got[w].total_time_min is None) == (tot is None)
+        if tot is not None:
+            assert abs(got[w].total_time_min - tot) < 0.006
+            mins = [r[3] for r in rs]
+            assert abs(got[w].max_time_min - max(mins)) < 0.006
+        totals[w] = got[w].total_time_min
+    grand = psum(list(totals.values()))
+    for w in whats:
+        if grand and totals[w] is not None:
+            assert abs(got[w].pct_time - round(totals[w] / grand * 100, 1)) < 0.051
+        else:
+            assert got[w].pct_time is None
+    for order in ("sorted", "first"):
+        loc = {r.location: r for r in location_summary(df, order=order).collect()}
+        assert set(loc) == {r[2] for r in rows}
+        for place, r in loc.items():
+            rs = [x for x in rows if x[2] == place]
+            names = [("NA" if x[0] is None else x[0]) for x in rs]
+            if order == "sorted":
+                expect = ", ".join(sorted(set(names)))
+            else:
+                expect = ", ".join(dict.fromkeys(names))        # first-appearance order
+            assert r.activities_list == expect
+            assert r.n_sessions == len({x[1] for x in rs})
