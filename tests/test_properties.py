@@ -291,3 +291,41 @@ def test_activity_and_location_summaries_match_model(spark, rows):
                 expect = ", ".join(dict.fromkeys(names))        # first-appearance order
             assert r.activities_list == expect
             assert r.n_sessions == len({x[1] for x in rs})
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["Care", None]), st.sampled_from([1, 2, None]),
+                          st.sampled_from(["A", None]), st.sampled_from([0, 1, None]),
+                          st.sampled_from([0, 1, None]), st.sampled_from(["Nurse", None]),
+                          st.sampled_from(["p1", "p2", None]),
+                          st.one_of(st.integers(1, 600).map(lambda s: s / 60), st.none())),
+                min_size=1, max_size=60))
+def test_tool_matrix_headcount_overview_match_models(spark, rows):
+    from shiftlog.operators import breakdowns as B
+    df = spark.createDataFrame(
+        [(w, s, loc, p, d, 0, 0, role, part, 1, m) for w, s, loc, p, d, role, part, m in rows],
+        "what string, session_id long, location string, how_paper int, how_desktop int, "
+        "how_mobile int, how_phone int, role string, participant_id string, "
+        "observer_id long, total_activity_min double")
+    # tool time: rows with a tool flag set; NULL flags / minutes skipped
+    tools = {r.what: r for r in B.tool_time(df).collect()}
+    used = [r for r in rows if r[3] == 1 or r[4] == 1]
+    assert set(tools) == {r[0] for r in used}
+    for w, t in tools.items():
+        rs = [r for r in used if r[0] == w]
+        paper = sum(r[7] for r in rs if r[3] == 1 and r[7] is not None)
+        total = sum(r[7] for r in rs if r[7] is not None)
+        assert abs(t.paper_time - paper) < 0.051 and abs(t.total_time - total) < 0.051
+    # location matrix: NULL location contributes to no location column
+    m = {r.what: r for r in B.location_matrix(df, [("a", "A")]).collect()}
+    for w, r in m.items():
+        rs = [x for x in rows if x[0] == w]
+        a = sum(x[7] for x in rs if x[2] == "A" and x[7] is not None)
+        assert abs(r.a - a) < 0.051 and r.n_act == len(rs)
+    # headcount and overview: NULL counted as a value / a group
+    hc = {r.metric: r["count"] for r in B.headcount_by_role(df).collect()}
+    pairs = {(r[6], r[5]) for r in rows}
+    assert hc == {role: len({p for p, rr in pairs if rr == role}) for _, role in pairs}
+    ov = {r.metric: r["count"] for r in B.dataset_overview(df).collect()}
+    assert ov == {"Unique sessions": len({r[1] for r in rows}), "Unique observers": 1,
+                  "Unique HCWs": len({r[6] for r in rows})}
