@@ -329,3 +329,37 @@ def test_tool_matrix_headcount_overview_match_models(spark, rows):
     ov = {r.metric: r["count"] for r in B.dataset_overview(df).collect()}
     assert ov == {"Unique sessions": len({r[1] for r in rows}), "Unique observers": 1,
                   "Unique HCWs": len({r[6] for r in rows})}
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from(["Care", "Wait", None]),
+                          st.sampled_from(["0", "S1", "S2", None]),
+                          st.one_of(st.integers(1, 600).map(lambda s: s / 60), st.none())),
+                min_size=1, max_size=60))
+def test_shares_match_model(spark, rows):
+    from shiftlog.operators.breakdowns import activity_share, subcategory_share
+    df = spark.createDataFrame(rows, "what string, subcategory string, "
+                                     "total_activity_min double")
+    # activity share: NA minutes skipped, share of the grand total, rank by share
+    got = {r.what: r for r in activity_share(df).collect()}
+    t = {w: sum(r[2] for r in rows if r[0] == w and r[2] is not None) for w in {r[0] for r in rows}}
+    grand = sum(t.values())
+    assert set(got) == set(t)
+    for w, r in got.items():
+        assert abs(r.activity_time - t[w]) < 1e-6
+        if grand:
+            assert abs(r.pct_time - t[w] / grand * 100) < 0.051
+        assert abs(r.activity_total_min - grand) < 0.051
+    ranks = sorted(got.values(), key=lambda r: r.display_rank)
+    assert [r.display_rank for r in ranks] == list(range(1, len(ranks) + 1))
+    assert all(a.pct_time >= b.pct_time for a, b in zip(ranks, ranks[1:])
+               if a.pct_time is not None and b.pct_time is not None)
+    # subcategory share: rows with a subcategory other than "0", share within activity
+    kept = [r for r in rows if r[1] is not None and r[1] != "0"]
+    sub = {(r.what, r.subcategory): r for r in subcategory_share(df, digits=1).collect()}
+    assert set(sub) == {(r[0], r[1]) for r in kept}
+    for (w, s), r in sub.items():
+        part = sum(x[2] for x in kept if x[0] == w and x[1] == s and x[2] is not None)
+        whole = sum(x[2] for x in kept if x[0] == w and x[2] is not None)
+        if whole:
+            assert abs(r.pct_time - part / whole * 100) < 0.051
