@@ -9,6 +9,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shiftlog.session import scratch_dir
 
@@ -58,3 +59,9 @@ def int_lists(values, offsets, kind=None) -> pa.ListArray:
     """Arrow list array over one flat numpy array."""
     flat = pa.array(values, kind or pa.int32())
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+
+
+def extended(df: DataFrame, **kinds: str) -> T.StructType:
+    """The schema of ``df`` with more columns, given as name=type."""
+    more = [T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()]
+    return T.StructType([*df.schema.fields, *more])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlog.llm import packing
+from shiftlog.llm import bpe_words, licenses, packing, quality, sharding, token_counts
 from shiftlog.llm.common import table
 
 
@@ -36,6 +37,68 @@ def with_list_digest(df: DataFrame, column: str, name: str, kind: str, digest) -
     return df.mapInArrow(run, schema)
 
 
+RANKS = "byte_bpe_multi_50k.tiktoken"
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits made from
+    its own text: the middle is replaced by the beginning, the end is put in
+    at a quarter, and a passage at three quarters is deleted."""
+    path = public_tokenizers.path(RANKS)
+    docs = token_counts.build_trees(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), path,
+        public_tokenizers.PATTERN)
+    n = F.char_length("text")
+    edits = F.array(*(
+        F.struct(F.floor(n * at).cast("int").alias("start"), F.lit(length).alias("length"),
+                 insert.alias("insert"))
+        for at, length, insert in ((0.5, 24, F.substring("text", 1, 20)),
+                                   (0.25, 0, F.substring("text", -16, 16)),
+                                   (0.75, 12, F.lit(None).cast("string")))))
+    done = token_counts.apply_edits(docs.withColumn("edits", edits), path,
+                                    public_tokenizers.PATTERN)
+    return done.select("doc_id", token_counts.n_tokens("tree").cast("long").alias("n_tokens"),
+                       token_counts.n_tokens("edited_tree").cast("long").alias("n_tokens_edited"),
+                       F.char_length("edited_text").cast("long").alias("n_chars_edited"),
+                       "n_reencoded")
+
+
+def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(RANKS)
+    encoded = bpe_words.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+    decoded = bpe_words.decode(encoded, path).select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+    return (with_list_digest(decoded, "ids", "ids_sha256", "string",
+                             lambda ids: hashlib.sha256(ids).hexdigest())
+            .select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """24 shards whose bytes are near equal; ``slot`` is the row's place in
+    its shard and ``virtual_slot`` the slot it hashes to."""
+    placed = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard",
+                         F.col("place").cast("long").alias("slot"),
+                         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+                         "map_version")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    n = F.when(F.col("sentence_ids")[0] == "", 0).otherwise(F.size("sentence_ids"))
+    return found.select("doc_id", n.cast("long").alias("n_sentences"),
+                        F.concat_ws(",", "licenses").alias("licenses"), "kind")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", quality.held_out().alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"),
                           public_tokenizers.path("byte_bpe_50k.json"))
@@ -44,7 +107,14 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_bpe_words": op2_bpe_words,
+    "op3_virtual_slots": op3_virtual_slots,
+    "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_quality": op8_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op5_license_scan": licenses.scan_sql(),
+}
