@@ -7,12 +7,18 @@ meet once and are encoded once.  The ids go back to the blocks, where the
 documents are put together by position.  A block sends a word once however
 often it occurs, so frequent words do not make a hot key.
 
+Words and positions are made in two passes over the texts, which moves less
+than carrying the positions past the word shuffle.  A block is named by a
+digest of its texts: should the passes ever cut different blocks, the second
+one finds no words and the job fails.
+
 Decoding joins ids with the table of token bytes.  The table has one row per
 token of the vocabulary, so every task holds it (a broadcast join).
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,19 +26,19 @@ import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlog.llm.bpe import encoder, read_file, runs
-from shiftlog.llm.common import extended, int_lists, rows_of, text_of
+from shiftlog.llm.bpe import encoder, ranks_of, read_file, runs
+from shiftlog.llm.common import extended, rows_of, text_of
 
 #: Characters of text in a block: bounds a worker's memory and a block's rows.
 BLOCK_CHARS = 6_000_000
 #: Bytes of text for each word bucket; the number of buckets follows the input.
 BUCKET_BYTES = 8_000_000
 
-_DEALT = "bucket long, block long, doc_ids array<long>, sizes array<int>, payload binary"
+_WORDS = "bucket long, block string, sizes array<int>, payload binary"
+_PLACES = "block string, buckets long, doc_ids array<long>, sizes array<int>, payload binary"
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -55,11 +61,11 @@ class _Block:
     def __init__(self, pattern):
         self.find, self.words, self.of_run = pattern.findall, {}, {}
         self.docs, self.sizes, self.parts, self.chars = [], [], [], 0
+        self.digest = hashlib.blake2b(digest_size=12)
 
     def numbers(self, run: str) -> bytes:
-        words, n = self.words, []
-        for w in self.find(run):
-            n.append(words.setdefault(w, len(words)))
+        words = self.words
+        n = [words.setdefault(w, len(words)) for w in self.find(run)]
         out = self.of_run[run] = np.array(n, "<u4").tobytes()
         return out
 
@@ -70,63 +76,80 @@ class _Block:
         self.sizes.append(len(part) // 4)
         self.parts.append(part)
         self.chars += len(text)
+        self.digest.update(b"%d " % len(part))
+        self.digest.update(text.encode())
 
-    def rows(self, block: int, buckets: int) -> Iterator[tuple]:
-        """Word rows by bucket, most frequent first, and the document row,
-        where word ``i`` of bucket ``b`` is number ``i * buckets + b``."""
+    def deal(self, buckets: int):
+        """Word codes, their order by bucket and frequency, each bucket's first
+        place in that order, and the sequence renumbered so that word ``i`` of
+        bucket ``b`` is ``i * buckets + b``."""
         seq = np.frombuffer(b"".join(self.parts), "<u4")
         coded = [w.encode() for w in self.words]
         of = np.array([zlib.crc32(w) % buckets for w in coded], np.int64)
-        count = np.bincount(seq, minlength=len(coded))
-        order = np.lexsort((-count, of))
+        order = np.lexsort((-np.bincount(seq, minlength=len(coded)), of))
         starts = np.searchsorted(of[order], np.arange(buckets + 1))
         number = np.empty(len(coded), np.int64)
         number[order] = (np.arange(len(coded)) - starts[of[order]]) * buckets + of[order]
+        return coded, order, starts, number[seq]
+
+    def word_rows(self, buckets: int) -> list[tuple]:
+        coded, order, starts, _ = self.deal(buckets)
+        rows, name = [], self.digest.hexdigest()
         for b in np.flatnonzero(np.diff(starts)):
             own = [coded[i] for i in order[starts[b]:starts[b + 1]]]
-            yield (int(b), block, None, [len(w) for w in own], _squeeze(b"".join(own)))
-        yield (buckets + block % buckets, block, self.docs, self.sizes, _planes(number[seq]))
+            rows.append((int(b), name, [len(w) for w in own], _squeeze(b"".join(own))))
+        return rows
+
+    def place_rows(self, buckets: int) -> list[tuple]:
+        *_, starts, seq = self.deal(buckets)
+        return [(self.digest.hexdigest(), int((np.diff(starts) > 0).sum()), self.docs, self.sizes,
+                 _planes(seq))]
+
+
+_LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
+_WORDS_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.string()), ("sizes", _INTS),
+                          ("payload", pa.binary())])
+_PLACES_ARROW = pa.schema([("block", pa.string()), ("buckets", pa.int64()), ("doc_ids", _LONGS),
+                           ("sizes", _INTS), ("payload", pa.binary())])
 
 
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)],
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)],
                                       schema=schema)
 
 
-_DEALT_ARROW = pa.schema([("bucket", pa.int64()), ("block", pa.int64()),
-                          ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int32())),
-                          ("payload", pa.binary())])
+def _blocks(texts: DataFrame, pattern: str, kind: str, schema: pa.Schema, rows) -> DataFrame:
+    """``rows(block)`` of each block of documents that a task reads."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pre_tokens = regex.compile(pattern)
+        block = _Block(pre_tokens)
+        for batch in batches:
+            for doc, text in zip(*rows_of(batch, "doc_id", "text")):
+                block.add(doc, text)
+                if block.chars >= BLOCK_CHARS:
+                    yield _batch(rows(block), schema)
+                    block = _Block(pre_tokens)
+        if block.docs:
+            yield _batch(rows(block), schema)
+
+    return texts.mapInArrow(split, kind)
 
 
 def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids (array<int>) of every whole text, each match of ``pattern``
-    encoded by itself.
+    """doc_id, ids of every whole text, each match of ``pattern`` encoded by
+    itself; ids are packed as little-endian unsigned 32-bit integers (binary).
 
     Null text is the empty text (no ids); null and repeated doc_ids keep one
     result per row; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    content = spark.sparkContext.broadcast(read_file(rank_path))
+    content = docs.sparkSession.sparkContext.broadcast(read_file(rank_path))
     texts = docs.select("doc_id", text_of().alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, -(-size // BUCKET_BYTES))
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pre_tokens = regex.compile(pattern)
-        task, n, block = TaskContext.get().partitionId(), 0, _Block(pre_tokens)
-        for batch in batches:
-            for doc, text in zip(*rows_of(batch, "doc_id", "text")):
-                block.add(doc, text)
-                if block.chars >= BLOCK_CHARS:
-                    yield _batch(list(block.rows(task << 32 | n, buckets)), _DEALT_ARROW)
-                    block, n = _Block(pre_tokens), n + 1
-        if block.docs:
-            yield _batch(list(block.rows(task << 32 | n, buckets)), _DEALT_ARROW)
-
     def encode_words(group: pa.Table) -> pa.Table:
-        """Each distinct word of a bucket once; document rows pass."""
-        if group["doc_ids"][0].as_py() is not None:
-            return group
+        """Each distinct word of a bucket once."""
         enc, known, out = encoder(content.value, pattern), {}, []
         for bucket, block, sizes, payload in zip(*rows_of(group, "bucket", "block", "sizes",
                                                           "payload")):
@@ -138,58 +161,61 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                 if got is None:
                     got = known[word] = enc.ids(word.decode())
                 ids.append(got)
-            out.append((bucket, block, None, [len(i) // 4 for i in ids],
+            out.append((bucket, block, [len(i) // 4 for i in ids],
                         _planes(np.frombuffer(b"".join(ids), "<u4"))))
-        return pa.Table.from_batches([_batch(out, _DEALT_ARROW)])
+        return pa.Table.from_batches([_batch(out, _WORDS_ARROW)])
 
-    def reassemble(group: pa.Table) -> pa.Table:
+    def reassemble(places: pa.Table, words: pa.Table) -> pa.Table:
         """A block's documents by position, from its words' ids."""
-        lengths, starts, flat, at, seq = {}, {}, [], 0, None
-        for bucket, doc_ids, sizes, payload in zip(*rows_of(group, "bucket", "doc_ids", "sizes",
-                                                            "payload")):
-            if doc_ids is not None:
-                docs_, doc_sizes, seq = doc_ids, np.array(sizes, np.int64), _numbers(payload)
-                continue
-            n = np.array(sizes, np.int64)
-            lengths[bucket], starts[bucket] = n, at + n.cumsum() - n
-            flat.append(_numbers(payload))
-            at += int(n.sum())
-        if len(seq) == 0:
-            return pa.table({"doc_id": pa.array(docs_, pa.int64()),
-                             "ids": int_lists(np.zeros(0, np.int32), np.zeros(len(docs_) + 1))})
-        high = max(map(len, lengths.values()))
+        lengths, starts, flat, at = {}, {}, [], 0
+        for bucket, sizes, payload in zip(*rows_of(words, "bucket", "sizes", "payload")):
+            if bucket not in lengths:  # equal blocks have equal words
+                n = np.array(sizes, np.int64)
+                lengths[bucket], starts[bucket] = n, at + n.cumsum() - n
+                flat.append(_numbers(payload))
+                at += int(n.sum())
+        high = max(map(len, lengths.values()), default=0)
         length, start = (np.zeros((high, buckets), np.int64) for _ in range(2))
         for b, n in lengths.items():
             length[:len(n), b], start[:len(n), b] = n, starts[b]
-        length, start = length.ravel()[seq], start.ravel()[seq]
-        ends = np.concatenate([[0], length.cumsum()])
-        ids = np.concatenate(flat)[np.repeat(start - ends[:-1], length) + np.arange(ends[-1])]
-        offsets = ends[np.concatenate([[0], doc_sizes.cumsum()])]
-        return pa.table({"doc_id": pa.array(docs_, pa.int64()),
-                         "ids": int_lists(ids.astype(np.int32), offsets)})
-
-    return (texts.mapInArrow(split, _DEALT)
-            .groupBy("bucket").applyInArrow(encode_words, _DEALT)
-            .groupBy("block").applyInArrow(reassemble, "doc_id long, ids array<int>"))
+        ids, doc_ids, out = np.concatenate([*flat, np.zeros(0, "<u4")]), [], []
+        for n_buckets, docs_, sizes, payload in zip(*rows_of(places, "buckets", "doc_ids",
+                                                             "sizes", "payload")):
+            if n_buckets != len(lengths):
+                raise RuntimeError("the passes over the documents cut different blocks")
+            seq = _numbers(payload)
+            n, first = length.ravel()[seq], start.ravel()[seq]
+            ends = np.concatenate([[0], n.cumsum()])
+            own = ids[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].astype("<u4")
+            cuts = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
+            doc_ids += docs_
+            out += [own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()),
+                         "ids": pa.array(out, pa.binary())})
+
+    words = (_blocks(texts, pattern, _WORDS, _WORDS_ARROW, lambda b: b.word_rows(buckets))
+             .groupBy("bucket").applyInArrow(encode_words, _WORDS))
+    places = _blocks(texts, pattern, _PLACES, _PLACES_ARROW, lambda b: b.place_rows(buckets))
+    return (places.groupBy("block").cogroup(words.groupBy("block"))
+            .applyInArrow(reassemble, "doc_id long, ids binary"))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
-    """``encoded`` with ``decoded`` (binary): its ids joined with the token
-    bytes, in order.  Null ids give null, as does an id outside the table; no
-    ids give no bytes."""
+    """``encoded`` with ``decoded`` (binary): its packed ids joined with the
+    token bytes, in order.  Null ids give null, as does an id outside the
+    table; no ids give no bytes."""
     content = encoded.sparkSession.sparkContext.broadcast(read_file(rank_path))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = encoder(content.value, r"(?s).").token_bytes()
+        token = {i: t for t, i in ranks_of(content.value).items()}
         for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            valid = lists.is_valid().to_pylist()
             out = []
-            for a, b, ok in zip(ends, ends[1:], valid):
-                own = flat[a:b]
-                ok = ok and (a == b or (own.min() >= 0 and own.max() < len(token)))
-                out.append(b"".join([token[i] for i in own.tolist()]) if ok else None)
+            for packed in rows_of(batch, ids)[0]:
+                try:
+                    own = None if packed is None else np.frombuffer(packed, "<u4").tolist()
+                    out.append(None if own is None else b"".join([token[i] for i in own]))
+                except KeyError:
+                    out.append(None)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 
