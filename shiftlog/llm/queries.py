@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlog.llm import bpe_words, licenses, packing, quality, sharding, token_counts
+from shiftlog.llm import (bpe_words, fingerprints, licenses, packing, pii, quality, sharding,
+                          token_counts)
 from shiftlog.llm.common import table
 
 
@@ -87,6 +88,21 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat_ws(",", "licenses").alias("licenses"), "kind")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.detect(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        own = F.filter("spans", lambda s: s["base"] & (s["kind"] == F.lit(kind)))
+        return F.size(own).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in ("email", "ip", "card", "phone")]
+    return found.select("doc_id", *counts,
+                        F.sha2(pii.spans_text(base), 256).alias("base_sha256"),
+                        pii.spans_text(F.col("spans")).alias("spans"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -102,13 +118,28 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
 
 
+def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+    mine = F.col("sketch")
+    return done.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text(mine).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(mine, F.col("edited_sketch")).alias("near_edited"),
+        fingerprints.resemblance(mine, F.col("next_sketch")).alias("near_next"),
+        fingerprints.distinct_shingles(mine).alias("n_shingles"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_words": op2_bpe_words,
     "op3_virtual_slots": op3_virtual_slots,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii": op7_pii,
     "op8_quality": op8_quality,
+    "op9_bottom_k": op9_bottom_k,
 }
 
 ORACLE_SQL = {
