@@ -30,7 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiftlog.llm.bpe import encoder, ranks_of, read_file, runs
-from shiftlog.llm.common import extended, rows_of, text_of
+from shiftlog.llm.common import (batch_of, extended, pack_numbers, rows_of, squeeze, text_of,
+                                 unpack_numbers)
 
 #: Characters of text in a block: bounds a worker's memory and a block's rows.
 BLOCK_CHARS = 6_000_000
@@ -41,20 +42,6 @@ _WORDS = "bucket long, block string, sizes array<int>, payload binary"
 _PLACES = "block string, buckets long, doc_ids array<long>, sizes array<int>, payload binary"
 
 
-def _squeeze(data: bytes) -> bytes:
-    return zstandard.compress(data, 3)
-
-
-def _planes(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 by byte plane, which compresses well."""
-    return _squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()
-
-
 class _Block:
     """Words and documents of one block while it fills."""
 
@@ -97,13 +84,13 @@ class _Block:
         rows, name = [], self.digest.hexdigest()
         for b in np.flatnonzero(np.diff(starts)):
             own = [coded[i] for i in order[starts[b]:starts[b + 1]]]
-            rows.append((int(b), name, [len(w) for w in own], _squeeze(b"".join(own))))
+            rows.append((int(b), name, [len(w) for w in own], squeeze(b"".join(own))))
         return rows
 
     def place_rows(self, buckets: int) -> list[tuple]:
         *_, starts, seq = self.deal(buckets)
         return [(self.digest.hexdigest(), int((np.diff(starts) > 0).sum()), self.docs, self.sizes,
-                 _planes(seq))]
+                 pack_numbers(seq))]
 
 
 _LONGS, _INTS = pa.list_(pa.int64()), pa.list_(pa.int32())
@@ -113,12 +100,6 @@ _PLACES_ARROW = pa.schema([("block", pa.string()), ("buckets", pa.int64()), ("do
                            ("sizes", _INTS), ("payload", pa.binary())])
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    columns = zip(*rows) if rows else [[] for _ in schema]
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)],
-                                      schema=schema)
-
-
 def _blocks(texts: DataFrame, pattern: str, kind: str, schema: pa.Schema, rows) -> DataFrame:
     """``rows(block)`` of each block of documents that a task reads."""
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,10 +109,10 @@ def _blocks(texts: DataFrame, pattern: str, kind: str, schema: pa.Schema, rows)
             for doc, text in zip(*rows_of(batch, "doc_id", "text")):
                 block.add(doc, text)
                 if block.chars >= BLOCK_CHARS:
-                    yield _batch(rows(block), schema)
+                    yield batch_of(rows(block), schema)
                     block = _Block(pre_tokens)
         if block.docs:
-            yield _batch(rows(block), schema)
+            yield batch_of(rows(block), schema)
 
     return texts.mapInArrow(split, kind)
 
@@ -162,8 +143,8 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                     got = known[word] = enc.ids(word.decode())
                 ids.append(got)
             out.append((bucket, block, [len(i) // 4 for i in ids],
-                        _planes(np.frombuffer(b"".join(ids), "<u4"))))
-        return pa.Table.from_batches([_batch(out, _WORDS_ARROW)])
+                        pack_numbers(np.frombuffer(b"".join(ids), "<u4"))))
+        return pa.Table.from_batches([batch_of(out, _WORDS_ARROW)])
 
     def reassemble(places: pa.Table, words: pa.Table) -> pa.Table:
         """A block's documents by position, from its words' ids."""
@@ -172,7 +153,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             if bucket not in lengths:  # equal blocks have equal words
                 n = np.array(sizes, np.int64)
                 lengths[bucket], starts[bucket] = n, at + n.cumsum() - n
-                flat.append(_numbers(payload))
+                flat.append(unpack_numbers(payload))
                 at += int(n.sum())
         high = max(map(len, lengths.values()), default=0)
         length, start = (np.zeros((high, buckets), np.int64) for _ in range(2))
@@ -183,7 +164,7 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
                                                              "sizes", "payload")):
             if n_buckets != len(lengths):
                 raise RuntimeError("the passes over the documents cut different blocks")
-            seq = _numbers(payload)
+            seq = unpack_numbers(payload)
             n, first = length.ravel()[seq], start.ravel()[seq]
             ends = np.concatenate([[0], n.cumsum()])
             own = ids[np.repeat(first - ends[:-1], n) + np.arange(ends[-1])].astype("<u4")

@@ -6,7 +6,9 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +67,23 @@ def extended(df: DataFrame, **kinds: str) -> T.StructType:
     """The schema of ``df`` with more columns, given as name=type."""
     more = [T.StructField(n, T._parse_datatype_string(k)) for n, k in kinds.items()]
     return T.StructType([*df.schema.fields, *more])
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)],
+                                      schema=schema)
+
+
+def squeeze(data: bytes) -> bytes:
+    return zstandard.compress(data, 3)
+
+
+def pack_numbers(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 by byte plane, which compresses well."""
+    return squeeze(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def unpack_numbers(data: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel()

@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlog.llm import (bpe_words, fingerprints, licenses, packing, pii, quality, sharding,
-                          token_counts)
+from shiftlog.llm import (bpe_words, ego_join, fingerprints, jaccard_join, licenses, packing, pii,
+                          quality, sharding, token_counts)
 from shiftlog.llm.common import table
 
 
@@ -81,6 +81,10 @@ def op3_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "map_version")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     n = F.when(F.col("sentence_ids")[0] == "", 0).otherwise(F.size("sentence_ids"))
@@ -131,17 +135,24 @@ def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.distinct_shingles(mine).alias("n_shingles"))
 
 
+def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_words": op2_bpe_words,
     "op3_virtual_slots": op3_virtual_slots,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": op5_license_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_pii": op7_pii,
     "op8_quality": op8_quality,
     "op9_bottom_k": op9_bottom_k,
+    "op10_ego_join": op10_ego_join,
 }
 
 ORACLE_SQL = {
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_license_scan": licenses.scan_sql(),
 }
