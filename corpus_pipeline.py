@@ -10,6 +10,9 @@ from shiftlog.llm.common import stored, table
 #: name, function (spark, docs, sf_dir) -> DataFrame.  Each stage works on all
 #: rows its predecessor kept; all but the last return the columns of documents.
 STAGES = [
+    ("filter_quality", stages.filter_quality),
+    ("drop_near_duplicates", stages.drop_near_duplicates),
+    ("redact_personal_data", stages.redact_personal_data),
     ("pack_sequences", stages.pack_sequences),
 ]
 

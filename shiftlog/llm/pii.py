@@ -255,16 +255,16 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple]]:
     return [sorted(s, key=lambda x: (order[x[0]], x[1], x[2])) for s in out]
 
 
-def detect(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``spans``: kind, start and end in code points, whether a
+def detect(docs: DataFrame, model: Model, column: str = "spans") -> DataFrame:
+    """``docs`` with ``column``: kind, start and end in code points, whether a
     base rule found it, score; by kind as listed in ``KINDS``, then start.
 
     Null text has no spans.  Rows are independent, so repeated and null ids
-    and other columns pass as they are (a column named ``spans`` is replaced),
+    and other columns pass as they are (an old ``column`` is replaced),
     and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("spans")
+    docs = docs.drop(column)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()),
                                ("base", pa.bool_()), ("score", pa.float64())]))
     names = ("kind", "start", "end", "base", "score")
@@ -274,12 +274,12 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
             spans = spans_of([t or "" for t in rows_of(batch, "text")[0]], shared.value)
             column = pa.array([[dict(zip(names, s)) for s in own] for own in spans], kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, column],
-                                             names=[*batch.schema.names, "spans"])
+                                             names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, extended(docs, spans=f"array<{SPAN}>"))
+    return docs.mapInArrow(run, extended(docs, **{column: f"array<{SPAN}>"}))
 
 
-def redact(found: DataFrame) -> DataFrame:
+def redact(found: DataFrame, column: str = "spans") -> DataFrame:
     """``found`` with each span of ``text`` replaced by its kind in angle
     brackets; overlapping spans of different kinds become one, named after
     the first."""
@@ -299,7 +299,7 @@ def redact(found: DataFrame) -> DataFrame:
         return F.aggregate(by_start, start, step, lambda acc: F.concat(
             acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
 
-    return found.withColumn("text", F.when(F.size("spans") > 0, cover(F.col("spans")))
+    return found.withColumn("text", F.when(F.size(column) > 0, cover(F.col(column)))
                             .otherwise(F.col("text")))
 
 

@@ -156,22 +156,22 @@ def _dictionary(texts: list[str]) -> bytes:
     return joined[-DICTIONARY_BYTES:]
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: good likelier), from the whole
+def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
+    """``docs`` with ``column`` (0 to 1, higher: good likelier), from the whole
     text alone.
 
     Null or empty text gets the base rate; rows are independent, so repeated
-    or null ids and other columns pass as they are (a column named ``score``
-    is replaced), and an empty table gives no rows.
+    or null ids and other columns pass as they are (an old ``column`` is
+    replaced), and an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("score")
+    docs = docs.drop(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = shared.value.scorer()
         for batch in batches:
             scores = [of(t or "") for t in rows_of(batch, "text")[0]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
-                                             names=[*batch.schema.names, "score"])
+                                             names=[*batch.schema.names, column])
 
-    return docs.mapInArrow(run, extended(docs, score="double"))
+    return docs.mapInArrow(run, extended(docs, **{column: "double"}))
