@@ -272,8 +272,8 @@ def detect(docs: DataFrame, model: Model, column: str = "spans") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans = spans_of([t or "" for t in rows_of(batch, "text")[0]], shared.value)
-            column = pa.array([[dict(zip(names, s)) for s in own] for own in spans], kind)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column],
+            out = pa.array([[dict(zip(names, s)) for s in own] for own in spans], kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, out],
                                              names=[*batch.schema.names, column])
 
     return docs.mapInArrow(run, extended(docs, **{column: f"array<{SPAN}>"}))
