@@ -15,18 +15,18 @@ def components(links: DataFrame) -> DataFrame:
     Labels start as the nodes; in each round both ends of a link, and the
     nodes they are labelled with, take the smaller label, then each node takes
     its label's label, so the rounds grow with the logarithm of the longest
-    chain.  A link whose ends have one label is done.  Every round is written
-    to the shared folder.  No links: no rows.
+    chain.  It ends when no link has ends of different labels.  Every round is
+    written to the shared folder.  No links: no rows.
     """
-    open_links = stored(links.where(F.col("a") != F.col("b"))
+    links = stored(links.where(F.col("a") != F.col("b"))
                         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
                         .distinct(), "links")
-    nodes = open_links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    nodes = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = stored(nodes.withColumn("label", F.col("node")), "labels")
     while True:
         of_a = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
         of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        open_links = stored(open_links.select("a", "b").join(of_a, "a").join(of_b, "b")
+        open_links = stored(links.join(of_a, "a").join(of_b, "b")
                             .where(F.col("la") != F.col("lb")), "links")
         if open_links.isEmpty():
             return labels.select("node", F.col("label").alias("component"))
@@ -36,6 +36,6 @@ def components(links: DataFrame) -> DataFrame:
                   .groupBy("node").agg(F.min("offer").alias("offer")))
         lower = stored(labels.join(offers, "node", "left").select(
             "node", F.least("label", "offer").alias("label")), "labels")
-        jump = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        labels = stored(lower.join(jump, "label").select("node", F.col("next").alias("label")),
+        to = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        labels = stored(lower.join(to, "label").select("node", F.col("next").alias("label")),
                         "labels")

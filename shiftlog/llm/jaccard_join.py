@@ -38,8 +38,9 @@ from shiftlog.llm.shingles import shingle_sets
 
 #: Link: PERCENT of the union or more is common.
 PERCENT = 80
-#: Coordinates of a point.
-GROUPS = 64
+#: Coordinates of a point.  Shingles that only one set has are left out: they
+#: add nothing to an overlap.
+GROUPS = 256
 #: Characters of text in a block and bytes of text per bucket of fine groups.
 BLOCK_CHARS = 8_000_000
 BUCKET_BYTES = 12_000_000
@@ -196,8 +197,8 @@ def prefix_sets(docs: DataFrame) -> DataFrame:
                 first = np.lexsort((hashes, rank))[:len(hashes) - least_common(len(hashes)) + 1]
                 keys = hashes[first[rank[first] > 0]].view(np.int64).tolist()
                 rows.append((name, len(hashes), members, keys,
-                             point_of(hashes).astype("<u2").tobytes() if keys else None,
-                             squeeze(text.encode()) if keys else None))
+                             squeeze(point_of(hashes[rank > 0]).astype("<u2").tobytes())
+                             if keys else None, squeeze(text.encode()) if keys else None))
             if own.empty:
                 rows.append((None, 0, own.empty, [], None, None))
         return pa.Table.from_batches([batch_of(rows, _SETS_ARROW)])
@@ -224,10 +225,10 @@ def verify(pairs: DataFrame, reps: DataFrame) -> DataFrame:
             keep = [linked(hashes(x), hashes(y)) for x, y in zip(*rows_of(batch, "x", "y"))]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    x = reps.select(F.col("class").alias("a"), F.col("text").alias("x"))
-    y = reps.select(F.col("class").alias("b"), F.col("text").alias("y"))
+    x = reps.select(F.col("id").alias("a"), F.col("text").alias("x"))
+    y = reps.select(F.col("id").alias("b"), F.col("text").alias("y"))
     return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                  .mapInArrow(check, "a string, b string"), "verified")
+                  .mapInArrow(check, "a long, b long"), "verified")
 
 
 class RTree:
@@ -276,7 +277,7 @@ class RTree:
 
 def tree_pairs(groups: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of classes of different components within each
-    group (key, i, j) of rows class, component, n, point, part.
+    group (key, i, j) of rows id, component, n, point, part.
 
     A group is a key's documents, or two parts (i, j) of a large one's.
     """
@@ -286,8 +287,8 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
         def emit():
             _, _, _, names, comps, sizes, points, parts = zip(*held)
             sizes, parts = np.array(sizes, np.int64), np.array(parts)
-            points = np.frombuffer(b"".join(points), "<u2").reshape(len(held), GROUPS)
-            points = points.astype(np.int32)
+            points = np.frombuffer(b"".join(map(zstandard.decompress, points)), "<u2")
+            points = points.reshape(len(held), GROUPS).astype(np.int32)
             comp = np.unique(np.array(comps), return_inverse=True)[1]
             a, b = RTree(points, sizes).search(points, sizes)
             keep = (a < b) & (comp[a] != comp[b])
@@ -295,10 +296,10 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
                 keep &= parts[a] != parts[b]
             found = {tuple(sorted((names[x], names[y]))) for x, y in zip(a[keep], b[keep])}
             return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.string()) for k in (0, 1)], names=["a", "b"])
+                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = rows_of(batch, "key", "i", "j", "class", "component", "n", "point", "part")
+            columns = rows_of(batch, "key", "i", "j", "id", "component", "n", "point", "part")
             for row in zip(*columns):
                 if held and row[:3] != held[0][:3]:
                     if len(held) > 1:
@@ -309,64 +310,74 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
             yield emit()
 
     return (groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(run, "a string, b string").distinct())
-
-
-def _star_pairs(entries: DataFrame, seed: int) -> DataFrame:
-    """For each class the one partner, among the lowest-hashed classes of its
-    groups, with which it shares most groups; ``entries`` has key, class, n
-    and component."""
-    order = F.xxhash64(F.lit(seed), "class")
-    lowest = stored(entries.groupBy("key").agg(
-        F.min(F.struct(order.alias("h"), "class", "n", "component")).alias("pivot"),
-        F.count("*").alias("k")).where(F.col("k") > 1)
-        .select("key", F.col("pivot.class").alias("pivot"), F.col("pivot.n").alias("m"),
-                F.col("pivot.component").alias("other")), "pivots")
-    shared = (entries.join(lowest, "key")
-              .where((F.col("component") != F.col("other")) & sizes_fit(F.col("n"), F.col("m")))
-              .groupBy("class", "pivot").agg(F.count("*").alias("shared")))
-    return (shared.groupBy("class").agg(F.max(F.struct("shared", "pivot")).alias("best"))
-            .select(F.col("class").alias("a"), F.col("best.pivot").alias("b")))
-
-
-def _with_components(entries: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries with their component, of keys that still hold more than one,
-    and the components."""
-    whole = components(links)
-    named = (entries.join(whole.withColumnRenamed("node", "class"), "class", "left")
-             .withColumn("component", F.coalesce("component", "class")))
-    named = stored(named, "entries")
-    alive = stored(named.groupBy("key").agg(F.min("component").alias("x"),
-                                            F.max("component").alias("y"),
-                                            F.count("*").alias("k"))
-                   .where(F.col("x") != F.col("y")).select("key", "k"), "alive")
-    return named.join(alive, "key"), whole
-
-
-def class_components(sets: DataFrame, rounds: int = 2) -> DataFrame:
-    """node (class), component of the classes that have links, from
-    ``prefix_sets``."""
-    reps = stored(sets.where(F.size("keys") > 0).groupBy("class").agg(
+            .mapInArrow(run, "a long, b long").distinct())
+
+
+def _star_pairs(entries: DataFrame, seeds: range) -> DataFrame:
+    """For each class and seed the one partner, among the lowest-hashed
+    classes of its groups, with which it shares most groups; ``entries`` has
+    key, id, n and component."""
+    out = None
+    for seed in seeds:
+        order = F.xxhash64(F.lit(seed), "id")
+        lowest = stored(entries.groupBy("key").agg(
+            F.min(F.struct(order.alias("h"), "id", "n", "component")).alias("pivot"),
+            F.count("*").alias("k")).where(F.col("k") > 1)
+            .select("key", F.col("pivot.id").alias("pivot"), F.col("pivot.n").alias("m"),
+                    F.col("pivot.component").alias("other")), "pivots")
+        shared = (entries.join(lowest, "key")
+                  .where((F.col("component") != F.col("other")) & sizes_fit(F.col("n"), F.col("m")))
+                  .groupBy("id", "pivot").agg(F.count("*").alias("shared")))
+        pairs = (shared.groupBy("id").agg(F.max(F.struct("shared", "pivot")).alias("best"))
+                 .select(F.col("id").alias("a"), F.col("best.pivot").alias("b")))
+        out = pairs if out is None else out.union(pairs)
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _alive(entries: DataFrame, whole: DataFrame) -> DataFrame:
+    """Entries with their present component, of keys with more than one; a
+    key that has only one left can propose nothing."""
+    named = stored(entries.select("key", "id", "n").join(
+        whole.withColumnRenamed("node", "id"), "id", "left")
+        .withColumn("component", F.coalesce("component", "id")), "entries")
+    keys = stored(named.groupBy("key").agg(F.min("component").alias("x"),
+                                           F.max("component").alias("y"), F.count("*").alias("k"))
+                  .where(F.col("x") != F.col("y")).select("key", "k"), "alive")
+    return stored(named.join(keys, "key"), "entries")
+
+
+#: Seeds of the rounds that verify few pairs per class, before the trees.
+ROUNDS = (range(0, 1), range(1, 4), range(4, 7))
+
+
+def class_components(sets: DataFrame) -> DataFrame:
+    """class, component of the classes that have links, from ``prefix_sets``."""
+    reps = sets.where(F.size("keys") > 0).groupBy("class").agg(
         F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("point").alias("point"),
-        F.first("text").alias("text")), "reps")
-    entries = reps.select("class", "n", F.explode("keys").alias("key"))
-    links = verify(_star_pairs(entries.withColumn("component", F.col("class")), 0), reps)
-    for seed in range(1, rounds):
-        alive, _ = _with_components(entries, links)
-        links = links.union(verify(_star_pairs(alive.drop("k"), seed), reps))
-    alive, whole = _with_components(entries, links)
+        F.first("text").alias("text"))
+    reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
+    entries = reps.select("id", "n", F.explode("keys").alias("key"),
+                          F.col("id").alias("component"))
+    links, whole = None, None
+    for seeds in ROUNDS:
+        found = verify(_star_pairs(entries, seeds), reps)
+        links = found if links is None else links.union(found)
+        whole = components(links)
+        entries = _alive(entries, whole)
     # a large key is cut into parts, and every pair of parts is a group
     parts = F.ceil(F.col("k") / PART).cast("int")
     other = F.col("other")
-    groups = (alive.join(reps.select("class", "point"), "class")
-              .withColumn("part", F.pmod(F.xxhash64("class"), parts).cast("int"))
+    groups = (entries.join(reps.select("id", "point"), "id")
+              .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
               .select("key", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
-                      "class", "component", "n", "point", "part"))
+                      "id", "component", "n", "point", "part"))
     more = verify(stored(tree_pairs(groups), "candidates"), reps)
-    if more.isEmpty():
-        return whole
-    return components(links.union(more))
+    whole = components(links.union(more))
+    names = reps.select("id", "class")
+    return (whole.join(names.withColumnRenamed("id", "node"), "node")
+            .join(names.select(F.col("id").alias("component"), F.col("class").alias("whole")),
+                  "component").select("class", F.col("whole").alias("component")))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -382,7 +393,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     whole = class_components(sets)
     classes = (sets.where(F.col("class").isNotNull()).groupBy("class")
                .agg(F.min("first_id").alias("first_id"))
-               .join(whole.withColumnRenamed("node", "class"), "class", "left")
+               .join(whole, "class", "left")
                .withColumn("component", F.coalesce("component", "class")))
     classes = stored(classes, "classes")
     first = classes.groupBy("component").agg(F.min("first_id").alias("component_id"))
