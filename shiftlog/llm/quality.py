@@ -96,14 +96,24 @@ def _logistic(x):
 
 
 def _fit_logistic(a: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression by Newton steps with a weak ridge."""
-    w, ridge = np.zeros(a.shape[1]), 0.1 * np.eye(a.shape[1])
-    for _ in range(60):
+    """Weighted ridge logistic regression by Newton steps, each halved until
+    it lowers the loss (labels that can be told apart fully would otherwise
+    send the weights off)."""
+    def loss(w):
+        z = a @ w
+        return (weight * (np.logaddexp(0, z) - y * z)).sum() + 0.5 * w @ w
+
+    w, now = np.zeros(a.shape[1]), loss(np.zeros(a.shape[1]))
+    for _ in range(200):
         p = _logistic(a @ w)
-        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + ridge,
-                               a.T @ (weight * (p - y)) + ridge @ w)
-        w -= step
-        if np.abs(step).max() < 1e-9:
+        step = np.linalg.solve((a * (weight * p * (1 - p))[:, None]).T @ a + np.eye(len(w)),
+                               a.T @ (weight * (p - y)) + w)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        before, now = now, loss(w)
+        if before - now < 1e-9 * (1 + before):
             break
     return w
 
