@@ -76,7 +76,7 @@ def merge_groups(parts: DataFrame, key: str, column: str = "sketch", k: int = K,
     The k smallest of each salt first, then of the key: no task sees more of
     a key than a salt's share or ``salts * k`` hashes.
     """
-    values = (parts.select(key, F.explode(column).alias("h")).groupBy(key, "h").agg()
+    values = (parts.select(key, F.explode(column).alias("h")).distinct()
               .withColumn("salt", F.pmod(F.col("h"), F.lit(salts))))
     for by in ([key, "salt"], [key]):
         order = Window.partitionBy(*by).orderBy("h")
