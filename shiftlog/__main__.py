@@ -25,17 +25,21 @@ SITES = {
     "polyclinic_staff": (sites.REFERENCE_POLYCLINIC_STAFF, staff_bundle,
                          sites.HOSPITAL_LOCATIONS),
     "clerk": (sites.REFERENCE_CLERK, lambda log: staff_bundle(log, clerk=True),
-              sites.HOSPITAL_LOCATIONS),
+              sites.CLERK_LOCATIONS),
     "patient": (sites.REFERENCE_PATIENT, patient_bundle, sites.HOSPITAL_LOCATIONS),
 }
 
 
+#: Sites whose later exports hold rows of other sites: those have no role.
+ROLE_REQUIRED = {"hospital_staff"}
+
+
 def main(argv=None) -> dict[str, str]:
     ap = argparse.ArgumentParser(prog="shiftlog")
     ap.add_argument("--site", required=True, choices=sorted(SITES))
     ap.add_argument("--export", action="append", required=True, metavar="FORM=PATH",
                     help="an export folder / file / glob and its layout; the first one "
-                         "gets the raw-stage corrections, later ones require a role")
+                         "gets the raw-stage corrections")
     ap.add_argument("--lookup", action="append", default=[], metavar="PATH")
     ap.add_argument("--out", required=True)
     ap.add_argument("--overview", action="store_true")
@@ -50,10 +54,10 @@ def main(argv=None) -> dict[str, str]:
         # only their columns, and lineage stops at the staged copy
         df = stage(read_activity_log(spark, path, form),
                    f"{args.out.rstrip('/')}/staged/export_{i}")
-        # as the reference: corrections on the first export, role required
-        # on later versions (rows without a role belong to another site)
-        exports.append(Export(df, require_role=i > 0 and bool(args.lookup),
-                              apply_raw=i == 0))
+        # as the reference: corrections on the first export; only the hospital
+        # staff site requires a role on later versions
+        exports.append(Export(df, require_role=i > 0 and bool(args.lookup)
+                              and args.site in ROLE_REQUIRED, apply_raw=i == 0))
     columns = {"health_professional_desc": "role"}
     if cfg.participant_from_lookup:
         columns["participant_id_2"] = "participant_id_2"

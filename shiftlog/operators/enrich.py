@@ -72,43 +72,40 @@ def session_relative_time(df: DataFrame, keys: Sequence[str] = ("session_id",),
 
 def renumber_tasks(df: DataFrame, sessions: Sequence | None = None,
                    order_by: Sequence[str] = ("activity_id",),
-                   col: str = "task_order", pieces: int | None = None) -> DataFrame:
+                   col: str = "task_order", piece_rows: int = 65_536) -> DataFrame:
     """Renumber ``task_order`` 1..n inside each session in row order.
 
     ``sessions`` limits it to the listed sessions (the reference fixes one
     session); the other rows keep their number.  Row order is the ingest
     ordinal by default; ``order_by`` must be unique inside a session.
 
-    Skew-safe numbering in two phases instead of one window per session:
-
-    1. range-partition on (session, order keys) -- Spark samples the keys,
-       so a session holding a large share of all rows is cut into several
-       contiguous ranges, each numbered locally by its own task;
-    2. the size of every (range, session) piece gives, by a running sum over
-       the few pieces of each session, the offset added to the local number.
+    A session is cut into pieces by its order key: ``piece_rows`` consecutive
+    ordinals make one piece (a first order key that is no integer leaves the
+    session whole).  A piece is a function of the row alone, so nothing
+    depends on how the log is partitioned.  Rows are numbered within their
+    piece, and a running sum over the sizes of a session's pieces gives what
+    is added.  Both use one shuffle of the log on (session, piece).
     """
-    spark = df.sparkSession
-    keys = ["session_id", *order_by]
-    n = pieces or int(spark.conf.get("spark.sql.shuffle.partitions"))
     target = df if sessions is None else df.where(F.col("session_id").isin(list(sessions)))
-    ranged = target.repartitionByRange(n, *keys).withColumn("__piece", F.spark_partition_id())
-    local = ranged.withColumn("__local", F.row_number().over(
-        Window.partitionBy("__piece", "session_id").orderBy(*order_by)))
-    sizes = local.groupBy("session_id", "__piece").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("session_id").orderBy("__piece") \
+    kind = dict(target.dtypes)[order_by[0]]
+    piece = (F.expr(f"`{order_by[0]}` div {int(piece_rows)}")
+             if kind in ("tinyint", "smallint", "int", "bigint") else F.lit(0))
+    # null keys are a session, and a first piece, of their own
+    keyed = target.withColumns({
+        "__session": F.coalesce(F.col("session_id").cast("string"), F.lit("")),
+        "__piece": F.coalesce(piece.cast("bigint"), F.lit(-2 ** 63))})
+    sizes = keyed.groupBy("__session", "__piece").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__session").orderBy("__piece") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("session_id", "__piece",
+    offsets = sizes.select("__session", "__piece",
                            F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
-    # null-safe on the session: rows without a session are numbered as one
-    # group, as a window would
-    offsets = offsets.withColumnsRenamed({"session_id": "__o_session", "__piece": "__o_piece"})
-    cond = (local["session_id"].eqNullSafe(offsets["__o_session"])
-            & (local["__piece"] == offsets["__o_piece"]))
-    numbered = (local.join(offsets, cond, "inner")
+    local = keyed.withColumn("__local", F.row_number().over(
+        Window.partitionBy("__session", "__piece").orderBy(*order_by)))
+    numbered = (local.join(offsets, ["__session", "__piece"], "left")
                 .withColumn(col, (F.col("__local") + F.col("__off")).cast("bigint"))
-                .drop("__piece", "__local", "__off", "__o_session", "__o_piece"))
+                .select(*df.columns, *([col] if col not in df.columns else [])))
     if sessions is None:
-        return numbered.select(*df.columns)
+        return numbered
     # like the reference's ``filter(!id == v)``, a NULL session id is dropped
     rest = df.where(~F.col("session_id").isin(list(sessions)))
-    return rest.unionByName(numbered.select(*df.columns))
+    return rest.unionByName(numbered)

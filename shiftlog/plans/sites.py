@@ -107,6 +107,11 @@ HOSPITAL_LOCATIONS = [
 HOSPITAL_LOCATIONS_SHOWN = ["corridors", "workstation", "observation_room", "triage_area",
                             "treatment_room", "other", "ambulance_bay", "waiting_area",
                             "registration", "medication_room", "consultation_room"]
+CLERK_LOCATIONS = [
+    ("reception_desk", "Reception Desk"), ("other", "Other"), ("waiting_area", "Waiting Area"),
+    ("hallway", "Hallway"), ("nurse_station", "Nurse Station"), ("triage_area", "Triage Area"),
+    ("treatment_room", "Treatment Room"),
+]
 EVENT_LOCATION_COLUMNS = [("corridors", "Corridors"), ("workstation", "Workstation"),
                           ("treatment_room", "Treatment Room"), ("waiting_area", "Waiting Area"),
                           ("other", "Other")]

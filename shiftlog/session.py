@@ -16,11 +16,15 @@ def get_spark(master: str | None = None, app: str = "shiftlog",
     On a cluster the session comes from the launcher and only the SQL
     settings below matter; locally they keep shuffles sized to the cores.
     """
-    master = master or os.environ.get("SHIFTLOG_MASTER", "local[8]")
-    parts = shuffle_partitions or int(os.environ.get("SHIFTLOG_SHUFFLE_PARTITIONS", "8"))
+    master = master or os.environ.get("SHIFTLOG_MASTER")
+    parts = shuffle_partitions or os.environ.get("SHIFTLOG_SHUFFLE_PARTITIONS")
+    builder = SparkSession.builder.appName(app)
+    if master:  # else the launcher's
+        builder = builder.master(master)
+    if parts:
+        builder = builder.config("spark.sql.shuffle.partitions", str(parts))
     builder = (
-        SparkSession.builder.master(master).appName(app)
-        .config("spark.sql.shuffle.partitions", str(parts))
+        builder
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -54,8 +58,9 @@ def scratch_dir(spark: SparkSession, name: str = "scratch") -> str:
     if not base and sc is not None:
         base = sc.getCheckpointDir()
     if not base:
+        if sc is None or not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name storage that all executors share")
         base = tempfile.mkdtemp(prefix="shiftlog-ckpt-")
-        if sc is not None:
-            sc.setCheckpointDir(base)
+        sc.setCheckpointDir(base)
     base = base.rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -74,7 +74,7 @@ def test_renumber_matches_window(spark, rows, pieces):
     from shiftlog.operators.enrich import renumber_tasks
     df = spark.createDataFrame([(s, a, 0) for s, a in rows],
                                "session_id long, activity_id long, task_order long")
-    got = renumber_tasks(df, pieces=pieces)
+    got = renumber_tasks(df, piece_rows=pieces)
     want = df.withColumn("task_order", F.row_number().over(
         Window.partitionBy("session_id").orderBy("activity_id")).cast("bigint"))
     assert sorted(map(tuple, got.collect()), key=str) == \
