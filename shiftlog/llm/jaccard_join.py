@@ -404,3 +404,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .select("doc_id", "n_shingles",
                     F.when(F.col("class").isNull(), F.col("doc_id"))
                     .otherwise(F.col("component_id")).alias("component_id")))
+
+
+def components_sql() -> str:
+    """DuckDB SQL of ``near_duplicates`` over ``documents`` (ids not null and
+    not repeated): all pairs that share a shingle, and what links reach."""
+    return f"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS shingle
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c
+  FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id
+  GROUP BY x.doc_id, y.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b
+  WHERE 100 * c >= {PERCENT} * (p.n + q.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.seen)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.seen) AS component_id
+FROM documents d JOIN reach r ON r.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+GROUP BY d.doc_id"""

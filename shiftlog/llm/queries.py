@@ -153,6 +153,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "op4_jaccard_join": op4_jaccard_join,
+    "op4_jaccard_join": jaccard_join.components_sql(),
     "op5_license_scan": licenses.scan_sql(),
 }
