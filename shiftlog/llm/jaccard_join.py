@@ -47,6 +47,9 @@ BUCKET_BYTES = 12_000_000
 #: Points in a node of the tree, and in one part of a large group.
 NODE = 32
 PART = 2048
+#: Lowest keys of a class that its rows carry, to tell whether a pair has
+#: already met under a lower key.
+CARRIED = 32
 
 _CELLS = "bucket long, block string, gaps binary, counts binary"
 _TEXTS = "block string, doc_ids array<long>, sizes array<int>, texts binary"
@@ -275,17 +278,35 @@ class RTree:
         return query, self.order[node]
 
 
+def _met_before(key: int, lowest: list[list[int]], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows share a key below ``key`` among those they carry."""
+    codes: dict[int, int] = {}
+    left = np.full((len(lowest), CARRIED), -1, np.int32)
+    for row, keys in zip(left, lowest):
+        own = [codes.setdefault(k, len(codes)) for k in keys if k < key]
+        row[:len(own)] = own
+    right = np.where(left < 0, -2, left)
+    out = np.zeros(len(a), bool)
+    for at in range(0, len(a), 1 << 12):
+        x, y = left[a[at:at + (1 << 12)]], right[b[at:at + (1 << 12)]]
+        out[at:at + (1 << 12)] = (x[:, :, None] == y[:, None, :]).any((1, 2))
+    return out
+
+
 def tree_pairs(groups: DataFrame) -> DataFrame:
     """Candidate pairs (a, b) of classes of different components within each
-    group (key, i, j) of rows id, component, n, point, part.
+    group (key, i, j) of rows id, component, n, point, part, lowest.
 
-    A group is a key's documents, or two parts (i, j) of a large one's.
+    A group is a key's documents, or two parts (i, j) of a large one's.  A
+    pair is left to the group of a lower key where the keys that both rows
+    carry (``lowest``) show that it meets there; the group of its lowest
+    common key always emits it, so none is lost.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def emit():
-            _, _, _, names, comps, sizes, points, parts = zip(*held)
+            _, _, _, names, comps, sizes, points, parts, lowest = zip(*held)
             sizes, parts = np.array(sizes, np.int64), np.array(parts)
             points = np.frombuffer(b"".join(map(zstandard.decompress, points)), "<u2")
             points = points.reshape(len(held), GROUPS).astype(np.int32)
@@ -294,12 +315,15 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
             keep = (a < b) & (comp[a] != comp[b])
             if held[0][1] != held[0][2]:
                 keep &= parts[a] != parts[b]
+            a, b = a[keep], b[keep]
+            keep = ~_met_before(held[0][0], lowest, a, b)
             found = {tuple(sorted((names[x], names[y]))) for x, y in zip(a[keep], b[keep])}
             return pa.RecordBatch.from_arrays(
                 [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
-            columns = rows_of(batch, "key", "i", "j", "id", "component", "n", "point", "part")
+            columns = rows_of(batch, "key", "i", "j", "id", "component", "n", "point", "part",
+                              "lowest")
             for row in zip(*columns):
                 if held and row[:3] != held[0][:3]:
                     if len(held) > 1:
@@ -367,11 +391,14 @@ def class_components(sets: DataFrame) -> DataFrame:
     # a large key is cut into parts, and every pair of parts is a group
     parts = F.ceil(F.col("k") / PART).cast("int")
     other = F.col("other")
-    groups = (entries.join(reps.select("id", "point"), "id")
+    # no more than the class's own keys are collected
+    lowest = entries.groupBy("id").agg(
+        F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("lowest"))
+    groups = (entries.join(reps.select("id", "point"), "id").join(lowest, "id")
               .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
               .select("key", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
-                      "id", "component", "n", "point", "part"))
+                      "id", "component", "n", "point", "part", "lowest"))
     more = verify(stored(tree_pairs(groups), "candidates"), reps)
     whole = components(links.union(more))
     names = reps.select("id", "class")

@@ -11,6 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import zstandard
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -165,6 +166,26 @@ def test_tree_search_keeps_every_possible_link():
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(want))))
 
 
+def test_a_pair_is_left_to_its_lowest_common_key(spark):
+    rng = np.random.default_rng(11)
+    keys = {d: sorted(int(k) for k in rng.choice(60, rng.integers(1, 50), replace=False) - 30)
+            for d in range(80)}
+    lowest = [own[:jaccard_join.CARRIED] for own in keys.values()]
+    point = zstandard.compress(np.ones(jaccard_join.GROUPS, "<u2").tobytes())
+    rows = [(k, min(d % 2, other), max(d % 2, other), d, d // 2, jaccard_join.GROUPS, point, d % 2,
+             lowest[d]) for d, own in keys.items() for k in own for other in (0, 1)]
+    groups = spark.createDataFrame(rows, "key long, i int, j int, id long, component long, n int, "
+                                         "point binary, part int, lowest array<long>")
+    want = {(a, b) for a in keys for b in keys
+            if a < b and a // 2 != b // 2 and set(keys[a]) & set(keys[b])}
+    assert set(map(tuple, jaccard_join.tree_pairs(groups).collect())) == want
+    a, b = (x.ravel() for x in np.indices((80, 80)))
+    for key in (-30, 0, 29):
+        met = jaccard_join._met_before(key, lowest, a, b)
+        assert met.tolist() == [any(k < key for k in set(lowest[x]) & set(lowest[y]))
+                                for x, y in zip(a, b)]
+
+
 def test_licenses(spark, docs, empty):
     texts = ["Released under the MIT License.", "x. Licensed under the Apache License, Version 2.0.\ny",
              "This program is free software; either version 3 of the License, or (at your option) "
