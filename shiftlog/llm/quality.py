@@ -1,9 +1,10 @@
 """Quality by compression: two zstandard dictionaries and a calibrated score.
 
-One dictionary is built from good, one from bad labelled text.  A document is
+One dictionary is trained on good, one on bad labelled text.  A document is
 compressed with either; how much smaller it gets with the good one, relative
 to its size, is calibrated to a probability on labelled rows that built no
-dictionary (a logistic regression over that difference and the relative sizes).
+dictionary (a logistic regression over that difference, the relative sizes and
+the text's size).  Whole texts are compressed for both, calibration and scores.
 """
 
 from __future__ import annotations
@@ -17,16 +18,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shiftlog.llm.common import extended, rows_of
+from shiftlog.llm.common import batch_of, extended, rows_of, stored
 
 #: Labelled rows that the model may see, per label, chosen by a hash of the id.
 SAMPLE_ROWS = 3000
-#: Characters of a sampled text that are kept, around its middle: with
-#: SAMPLE_ROWS this bounds what reaches the driver to train on.
-SAMPLE_CHARS = 4000
+#: Blocks of a sampled text that its dictionary is trained on, spread from its
+#: first to its last: with SAMPLE_ROWS this bounds what reaches the driver.
+TEXT_BLOCKS = 8
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
 BLOCK_BYTES = 512
+#: Length of the segments that dictionary training chooses.
+TRAIN_K = 256
 THRESHOLD = 0.3
 
 
@@ -49,9 +52,9 @@ class Model:
     def compressors(self) -> list[zstandard.ZstdCompressor]:
         out = []
         for content in (self.good, self.bad):
-            kind = zstandard.ZstdCompressionDict(content, zstandard.DICT_TYPE_RAWCONTENT)
+            kind = zstandard.ZstdCompressionDict(content, zstandard.DICT_TYPE_AUTO)
             kind.precompute_compress(level=LEVEL)
-            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=kind,
+            out.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=kind, write_dict_id=False,
                                                 write_content_size=False))
         return out
 
@@ -123,11 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
     """Model from the labelled rows of ``docs`` outside the held-out fold.
 
     At most ``sample_rows`` ids per label, lowest hash first, are looked up in
-    ``docs`` (a small broadcast side), so the driver gets a bounded sample.
-    Half of them build the dictionaries, half calibrate, weighted to the
-    labels' true shares.  A null label is no label; with fewer than 8 texts of
-    either label in either half the score is the share of good labels for
-    every text.
+    ``docs`` (a small broadcast side).  Half of them build the dictionaries:
+    blocks spread over each whole text reach the driver.  Half calibrate,
+    weighted to the labels' true shares: their whole texts are compressed by
+    the tasks, and only what is calibrated reaches the driver.  A null label
+    is no label; with fewer than 8 texts of either label in either half the
+    score is the share of good labels for every text.
     """
     known = (labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
              .groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y")))
@@ -136,34 +140,72 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality",
     order = F.xxhash64(F.lit("sample"), "doc_id")
     chosen = [known.where(F.col("y") == y).orderBy(order, "doc_id").limit(sample_rows)
               for y in (0, 1)]
-    start = F.greatest(F.lit(1), F.floor((F.char_length("text") - SAMPLE_CHARS) / 2).cast("int"))
-    texts = (docs.where(F.col("text").isNotNull()).select("doc_id", "text")
-             .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample_rows rows
-             .groupBy("doc_id", "y").agg(F.max(F.substring(
-                 F.col("text"), start, F.lit(SAMPLE_CHARS))).alias("text"))
-             .withColumn("fold", F.xxhash64(F.lit("fold"), "doc_id")))
-    rows = sorted(texts.collect(), key=lambda r: (r["fold"], r["text"]))
-    fold = {(y, k): [r["text"] for r in rows if r["y"] == y and r["fold"] % 2 == k and r["text"]]
-            for y in (0, 1) for k in (0, 1)}
+    sample = stored(docs.where(F.col("text") != "").select("doc_id", "text")
+                    .join(F.broadcast(chosen[0].union(chosen[1])), "doc_id")  # 2 * sample_rows
+                    .groupBy("doc_id", "y").agg(F.max("text").alias("text"))
+                    .select("y", F.xxhash64(F.lit("fold"), "doc_id").alias("fold"), "text"),
+                    "labelled")
     none = np.zeros(0)
-    if min(map(len, fold.values())) < 8:
+    blocks = _of_texts(sample.where("fold % 2 = 0"), spread_blocks, "array<binary>",
+                       pa.list_(pa.binary()))
+    if min(map(len, blocks)) < 8:
         return Model(b"", b"", none, none, none, base)
-    bad, good = (_dictionary(fold[y, 0]) for y in (0, 1))
-    pair = Model(good, bad, none, none, none, base).compressors()
-    x = np.array([sizes(t, *pair) for y in (0, 1) for t in fold[y, 1]])
-    y = np.repeat([0.0, 1.0], [len(fold[0, 1]), len(fold[1, 1])])
+    bad, good = ([b for own in texts for b in own] for texts in blocks)
+    bad, good = _dictionary(bad), _dictionary(good)
+    shared = docs.sparkSession.sparkContext.broadcast(Model(good, bad, none, none, none, base))
+    made = []
+
+    def measure(text: str) -> list[float]:
+        made[:] = made or shared.value.compressors()  # once per task
+        return sizes(text, *made)
+
+    measured = _of_texts(sample.where("fold % 2 <> 0"), measure, "array<double>",
+                         pa.list_(pa.float64()))
+    if min(map(len, measured)) < 8:
+        return Model(b"", b"", none, none, none, base)
+    x = np.array([*measured[0], *measured[1]])
+    y = np.repeat([0.0, 1.0], list(map(len, measured)))
     mean, spread = x.mean(0), x.std(0) + 1e-9
     weight = np.where(y == 1, base / y.mean(), (1 - base) / (1 - y.mean()))
     return Model(good, bad, mean, spread, _fit_logistic(_design((x - mean) / spread), y, weight),
                  base)
 
 
-def _dictionary(texts: list[str]) -> bytes:
-    """Dictionary content from whole sampled texts, shared evenly: what the
-    good and the bad side know then differs in kind, not in amount."""
-    share = max(64, DICTIONARY_BYTES // len(texts))
-    joined = b"\n".join(t.encode()[:share] for t in texts)
-    return joined[-DICTIONARY_BYTES:]
+def _of_texts(sample: DataFrame, make, kind: str, arrow: pa.DataType) -> tuple[list, list]:
+    """``make(text)`` of the bad and of the good sampled texts, in one order
+    whatever the partitioning."""
+    schema = pa.schema([("y", pa.int32()), ("fold", pa.int64()), ("made", arrow)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch_of([(y, fold, make(text)) for y, fold, text in
+                            zip(*rows_of(batch, "y", "fold", "text"))], schema)
+
+    rows = sorted(sample.mapInArrow(run, f"y int, fold long, made {kind}").collect(),
+                  key=lambda r: (r["fold"], r["made"]))
+    return tuple([r["made"] for r in rows if r["y"] == y] for y in (0, 1))
+
+
+def spread_blocks(text: str) -> list[bytes]:
+    """The text's blocks, or ``TEXT_BLOCKS`` of them at even distances from the
+    first to the last; blocks as ``sizes`` cuts them."""
+    data = text.encode()
+    n = -(-len(data) // BLOCK_BYTES)
+    last = min(n, TEXT_BLOCKS) - 1
+    at = [i * (n - 1) // max(1, last) * BLOCK_BYTES for i in range(last + 1)]
+    return [data[i:i + BLOCK_BYTES] for i in at]
+
+
+def _dictionary(blocks: list[bytes]) -> bytes:
+    """The blocks themselves where they fit, else a dictionary that zstandard
+    trains on all of them."""
+    if sum(map(len, blocks)) <= DICTIONARY_BYTES:
+        return b"".join(blocks)
+    try:
+        return zstandard.train_dictionary(DICTIONARY_BYTES, blocks, k=TRAIN_K, d=8).as_bytes()
+    except zstandard.ZstdError:  # hardly anything but repeats: an even choice of blocks
+        some = DICTIONARY_BYTES // BLOCK_BYTES
+        return b"".join(blocks[i * len(blocks) // some] for i in range(some))
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

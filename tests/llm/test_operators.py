@@ -263,6 +263,24 @@ def test_quality(spark, docs, empty):
         r[0] for r in spark.range(50).select(quality.held_out("id")).collect()]
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = random.Random(8)
+    rows = [(i, words(rng, 900) + (" signed by a careful author" if i % 2 else " ... more below"),
+             i % 2) for i in range(200)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.train(table, table.select("doc_id", "quality"))
+    sizes = [len(t.encode()) for _, t, _ in rows]
+    assert min(sizes) > 4500 and min(sizes) < np.exp(model.mean[3]) < max(sizes)
+    assert b"careful author" in model.good and b"careful author" not in model.bad
+    whole = "".join(chr(33 + i % 90) * 512 for i in range(50))
+    blocks = quality.spread_blocks(whole)
+    assert len(blocks) == quality.TEXT_BLOCKS
+    assert (blocks[0].decode(), blocks[-1].decode()) == (whole[:512], whole[-512:])
+    assert b"".join(quality.spread_blocks(whole[:1300])) == whole[:1300].encode()
+    assert quality._dictionary([b"same"] * 100_000)
+    assert quality.spread_blocks("") == []
+
+
 def test_fingerprints(spark, empty):
     rows = [(d, t) for d, t, *_ in awkward()[:15]]
     table = spark.createDataFrame(rows, "doc_id long, text string")
