@@ -197,6 +197,93 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs).count() == len(awkward()) and licenses.scan(empty).count() == 0
 
 
+GNU = """This {0} is free software{1} you can redistribute it and/or modify
+it under the terms of the GNU {2} as published by
+the Free Software Foundation{3} either version {4} of the License, or
+(at your option) any later version."""
+BSD = """Copyright (c) 2020, A. Nother
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+{}
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+NOTICES = [
+    ("Apache-2.0", "permissive", """Copyright 2020 A. Nother
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""),
+    ("MIT", "permissive", """Copyright (c) 2020 A. Nother
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY."""),
+    ("BSD-2-Clause", "permissive", BSD.format("")),
+    ("BSD-3-Clause", "permissive", BSD.format("""
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""")),
+    ("ISC", "permissive", """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES"""),
+    ("GPL-3.0-or-later", "copyleft", GNU.format("program", ":", "General Public License", ",", 3)),
+    ("GPL-2.0-or-later", "copyleft", GNU.format("program", ";", "General Public License", ";", 2)),
+    ("LGPL-2.1-or-later", "copyleft",
+     GNU.format("library", ";", "Lesser General Public License", ";", "2.1")),
+    ("AGPL-3.0-or-later", "copyleft",
+     GNU.format("program", ":", "Affero General Public License", ",", 3)),
+    ("MPL-2.0", "copyleft", """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("Unlicense", "permissive",
+     "This is free and unencumbered software released into the public domain."),
+    ("CC-BY-NC-SA-4.0", "non-commercial", """This work is licensed under a Creative Commons
+Attribution-NonCommercial-ShareAlike 4.0 International License."""),
+    ("CC-BY-ND-4.0", "no-derivatives", """This work is licensed under a Creative Commons
+Attribution-NoDerivatives 4.0 International License."""),
+    ("CC-BY-4.0", "permissive",
+     "This work is licensed under the Creative Commons Attribution 4.0 International License."),
+    ("MIT", "permissive", "SPDX-License-Identifier: MIT"),
+    ("Apache-2.0,MIT", "permissive", "SPDX-License-Identifier: (MIT OR Apache-2.0)"),
+    ("GPL-2.0-or-later", "copyleft", "SPDX-License-Identifier: GPL-2.0+"),
+    ("GPL-2.0", "copyleft", "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0"),
+]
+
+
+def test_licenses_of_standard_notices(spark):
+    ways = [lambda t: t, lambda t: " ".join(t.split()), lambda t: t.replace("\n", "\r\n"),
+            lambda t: "".join(f" * {x}\n" for x in t.split("\n")),
+            lambda t: "".join(f"# {x}\n" for x in t.split("\n")) + "import os\n",
+            lambda t: "prose before.\n" + re.sub(r"\s+", "\n", t) + "\n\nprose after"]
+    rows = [(i * 10 + k, way(t)) for i, (_, _, t) in enumerate(NOTICES) for k, way in enumerate(ways)
+            if not (k == 5 and "SPDX" in t)]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (",".join(r["licenses"]), r["kind"]) for r in got} == {
+        d: NOTICES[d // 10][:2] for d, _ in rows}
+
+
 def test_packing_matches_best_fit_decreasing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = packing.pack(docs, path, capacity=64).collect()
