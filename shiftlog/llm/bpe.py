@@ -65,12 +65,24 @@ def ranks_of(content: bytes) -> dict[bytes, int]:
     return {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if t not in special}
 
 
+def added_of(content: bytes) -> dict[str, int]:
+    """Added tokens of a json -> id; a text is cut at them before anything else."""
+    added = json.loads(content)["added_tokens"] if content[:1] == b"{" else []
+    if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+        raise ValueError("added tokens that look at their surroundings")
+    return {t["content"]: t["id"] for t in added}
+
+
 class Encoder(dict):
     """run -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, content: bytes, pattern: str):
         super().__init__()
         self.ranks = ranks_of(content)
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added_of(content).items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self._cut = (re.compile("(" + "|".join(map(re.escape, longest_first)) + ")")
+                     if self.added else None)
         self._bpe = tiktoken.Encoding("runs", pat_str=pattern, mergeable_ranks=self.ranks,
                                       special_tokens={})
 
@@ -86,6 +98,10 @@ class Encoder(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self._cut and any(t in text for t in self.added):
+            # what stands between added tokens is a text of its own
+            return b"".join([self.added[part] if i % 2 else b"".join([self[r] for r in runs(part)])
+                             for i, part in enumerate(self._cut.split(text))])
         return b"".join([self[r] for r in runs(text)])
 
     def count(self, text: str) -> int:

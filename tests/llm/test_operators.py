@@ -311,6 +311,17 @@ def test_packing_matches_best_fit_decreasing(docs, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+def test_added_tokens_keep_their_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> \n", "x  <|endoftext|>",
+             "a <|endoftext| > b", "  \n<|endoftext|>  y", "<<|endoftext|>|>don't"]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"),
+                        path).collect()
+    assert {r["doc_id"]: r["input_ids"] for r in rows} == {
+        d: tok.encode(t, add_special_tokens=False).ids + [2] for d, t in enumerate(texts)}
+
+
 @pytest.fixture(scope="module")
 def pii_model(docs):
     return pii.train(docs)
