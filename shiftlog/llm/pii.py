@@ -44,10 +44,12 @@ _CANDIDATES = [
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ./_-]{1,2}[0-9]{4}){3}(?![0-9])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])")),
     ("phone", re.compile(r"(?<![\w+])(?:\+|00|\()?[0-9][0-9 ().\/-]{5,24}[0-9](?![0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,100}={0,2}"
+    ("secret", re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}"
                           r"(?![A-Za-z0-9_/+=-])")),
 ]
 _ANY = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT)\s?[\])}]")
+#: A secret may hold letters alone, in a text without any digit.
+_LONG_TOKEN = re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20}")
 
 # Words that speak for a kind when they stand before a span.
 _CONTEXT = {
@@ -100,7 +102,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 def candidates(text: str) -> list[tuple[str, int, int]]:
     """Proposed spans of all generators; they may overlap."""
-    if not _ANY.search(text):
+    if not _ANY.search(text) and not _LONG_TOKEN.search(text):
         return []
     return [(kind, m.start(), m.end()) for kind, rule in _CANDIDATES for m in rule.finditer(text)]
 
@@ -174,8 +176,14 @@ def _generated(rng: random.Random, words: list[str]) -> tuple[str, str, str, int
         ("phone", 0, lambda: (".".join(octets()), "")),
         ("phone", 0, lambda: (quads(card(False), " "), "")),
         ("phone", 0, lambda: (f"{d(3)}.{d(3)}.{d(3)}", "")),
-        ("secret", 1, lambda: (hexa(rng.choice([32, 40, 64])), f'{cue["secret"]} = "')),
-        ("secret", 1, lambda: (mixed(rng.randint(24, 48)), f"{cue['secret']}: ")),
+        ("secret", 1, lambda: (hexa(rng.choice([32, 40, 64, 128, 256])), f'{cue["secret"]} = "')),
+        ("secret", 1, lambda: (mixed(rng.choice([rng.randint(24, 48), rng.randint(49, 400)])),
+                               f"{cue['secret']}: ")),
+        ("secret", 1, lambda: (re.sub("[0-9]", "", mixed(rng.randint(40, 400))),
+                               f"{cue['secret']}: ")),
+        ("secret", 0, lambda: ("".join(w().title() for _ in range(rng.randint(8, 60)))
+                               .ljust(20, "a"), "")),
+        ("secret", 0, lambda: (rng.choice("-_/+xA") * rng.randint(20, 400), "")),
         ("secret", 0, lambda: (hexa(rng.choice([32, 40])), "commit ")),
         ("secret", 0, lambda: ("".join(w() for _ in range(8))[:60].lower().ljust(20, "a"), "")),
         ("secret", 0, lambda: ("/".join(w() for _ in range(7)).ljust(20, "a"), "")),
@@ -205,8 +213,8 @@ PRECISION = 0.99
 
 
 def train(docs: DataFrame, seed: int = 7) -> Model:
-    """Trees and thresholds from generated rows whose context is words of at
-    most ``SAMPLE_DOCS`` documents (lowest hash of the id); two thirds fit the
+    """Trees and thresholds from generated rows whose context is words of the
+    first 2000 characters of at most ``SAMPLE_DOCS`` documents (lowest hash of the id); two thirds fit the
     trees, the rest calibrate the thresholds."""
     sample = (docs.where(F.col("text").isNotNull())
               .select("doc_id", F.substring("text", 1, 2000).alias("text"))

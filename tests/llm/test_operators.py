@@ -344,6 +344,18 @@ def test_personal_data(docs, empty, pii_model):
     assert pii.detect(empty, pii_model).count() == 0
 
 
+def test_secrets_of_any_length(pii_model):
+    rng = random.Random(4)
+    for alphabet, n in (("0123456789abcdef", 64), ("0123456789abcdef", 128),
+                        ("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ23456789", 300),
+                        ("abcdefghkmnpqrstuvwxyzABCDEFGHKLMNPQRSTUVWXYZ", 60)):
+        value = "".join(rng.choice(alphabet) for _ in range(n))
+        text = f"the token: {value} of the"
+        assert ("secret", 11, 11 + n) in pii.candidates(text)
+        assert [s[:3] for s in pii.spans_of([text], pii_model)[0]] == [("secret", 11, 11 + n)]
+    assert pii.candidates("x" * 200_000) == [("secret", 0, 200_000)]
+
+
 def test_quality(spark, docs, empty):
     rng = random.Random(2)
     rows = [(i, words(rng, 60) if i % 3 else " | ".join(words(rng, 60).split()), int(i % 3 > 0))
