@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlog.llm import (bpe_words, ego_join, fingerprints, jaccard_join, licenses, packing, pii,
-                          quality, sharding, token_counts)
+from shiftlog.llm import (bpe_words, ego_join, filter_audit, fingerprints, jaccard_join, licenses,
+                          packing, pii, quality, sharding, token_counts)
 from shiftlog.llm.common import table
 
 
@@ -139,6 +139,11 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_documents(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_words": op2_bpe_words,
@@ -150,9 +155,11 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bottom_k": op9_bottom_k,
     "op10_ego_join": op10_ego_join,
+    "op12_filter_audit": op12_filter_audit,
 }
 
 ORACLE_SQL = {
     "op4_jaccard_join": jaccard_join.components_sql(),
     "op5_license_scan": licenses.scan_sql(),
+    "op12_filter_audit": filter_audit.audit_sql(),
 }

@@ -75,7 +75,7 @@ def _sets(parts: list[bytes]) -> list[np.ndarray]:
     begins = np.cumsum([0, *(len(p) + 1 for p in parts)])
     at = np.searchsorted(firsts, begins)
     sums = np.zeros(len(hashes), np.uint64)
-    for k in range(WORDS):
+    for k in range(min(WORDS, len(sums) + 1)):
         sums[:len(sums) - k] += hashes[k:] * _PLACE[k]
     sums = _mix(sums)
     out = []
