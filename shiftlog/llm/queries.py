@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shiftlog.llm import (bpe_words, ego_join, filter_audit, fingerprints, jaccard_join, licenses,
-                          packing, pii, quality, sharding, token_counts)
+                          packing, pii, quality, sharding, token_counts, toxicity)
 from shiftlog.llm.common import table
 
 
@@ -144,6 +144,16 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
                                         table(spark, sf_dir, "labels"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``flagged``: whether the score reaches its language's threshold."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "lang", "text"), model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score",
+        (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"),
+        toxicity.flagged(model).alias("flagged"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe_words": op2_bpe_words,
@@ -156,6 +166,7 @@ QUERIES = {
     "op9_bottom_k": op9_bottom_k,
     "op10_ego_join": op10_ego_join,
     "op12_filter_audit": op12_filter_audit,
+    "op13_toxicity": op13_toxicity,
 }
 
 ORACLE_SQL = {
