@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shiftlog.llm import (bpe_words, ego_join, filter_audit, fingerprints, jaccard_join, licenses,
-                          packing, pii, quality, sharding, token_counts, toxicity)
-from shiftlog.llm.common import table
+from shiftlog.llm import (bpe_words, conversations, ego_join, filter_audit, fingerprints,
+                          jaccard_join, licenses, packing, pii, quality, sharding, token_counts,
+                          toxicity)
+from shiftlog.llm.common import stored, table
 
 
 def with_list_digest(df: DataFrame, column: str, name: str, kind: str, digest) -> DataFrame:
@@ -139,6 +140,11 @@ def op10_ego_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.summaries(stored(conversations.repair(rows), "repaired"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_documents(table(spark, sf_dir, "documents"),
                                         table(spark, sf_dir, "labels"))
@@ -165,6 +171,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_bottom_k": op9_bottom_k,
     "op10_ego_join": op10_ego_join,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_filter_audit": op12_filter_audit,
     "op13_toxicity": op13_toxicity,
 }
@@ -172,5 +179,6 @@ QUERIES = {
 ORACLE_SQL = {
     "op4_jaccard_join": jaccard_join.components_sql(),
     "op5_license_scan": licenses.scan_sql(),
+    "op11_conversation_repair": conversations.repair_sql(),
     "op12_filter_audit": filter_audit.audit_sql(),
 }
