@@ -176,9 +176,18 @@ Q: dict[str, str] = {}
 
 # --- sources and sinks ------------------------------------------------------
 Q["log_csv_roundtrip"] = with_src(f"SELECT {SRC_COLS} FROM src")
+Q["log_csv_quoted_roundtrip"] = with_src(f"""
+SELECT {SRC_COLS.replace('comments', """CASE
+         WHEN TRY_CAST(substr(comments, 2) AS INT) % 2 = 0
+           THEN 'said "' || comments || '", then' || chr(10) || 'left'
+         WHEN TRY_CAST(substr(comments, 2) AS INT) % 3 = 0 THEN substr(comments, 2) || chr(34)
+         ELSE comments END AS comments""")}
+FROM src""")
 Q["lookup_csv_roundtrip"] = (
     f"SELECT CAST(c_custkey * 100 + day AS BIGINT) AS session_id, c_mktsegment AS role {days()}")
 
+Q["lookup_two_layouts"] = Q["lookup_csv_roundtrip"]
+
 ACTIVITY_SUMMARY = with_clean(f"""
 SELECT what, total_sessions, total_time_min, avg_time_min, max_time_min, min_time_min,
        {r('(total_time_min / NULLIF((SELECT CASE WHEN count(total_time_min) = count(*) THEN sum(total_time_min) END FROM rr), 0)) * 100', 1)} AS pct_time

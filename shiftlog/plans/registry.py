@@ -23,8 +23,9 @@ from shiftlog.plans.sites import (EVENT_LOCATION_COLUMNS, EVENT_ROLE_LABELS, EVE
 from shiftlog.session import scratch_dir
 from shiftlog.sources.forms import FORMS
 from shiftlog.functions.labels import fold_flags
-from shiftlog.sources.readers import read_activity_log, read_lookup, to_export
-from shiftlog.sources.sinks import read_report, report_catalog, write_processed, write_report
+from shiftlog.sources.readers import read_activity_log, read_lookup
+from shiftlog.sources.sinks import (read_report, report_catalog, write_export, write_processed,
+                                    write_report)
 from shiftlog.sources.testlog import (LOG_COLUMNS, activity_log_from_events,
                                       participant_lookup_from_customer,
                                       role_lookup_from_customer)
@@ -70,16 +71,44 @@ def clerk_lookups(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 def q_log_csv_roundtrip(spark, sf_dir):
     """Export the log as two CSV form versions (days 1-15 as v1, the rest
     as v2 with its own header names), scan both back, union by name."""
-    src = source_log(spark, sf_dir)
+    return _through_exports(spark, source_log(spark, sf_dir))
+
+
+def _early():
+    """The first export's rows: days 1-15; the others are the second's."""
+    return F.coalesce(F.dayofmonth(F.to_date("session_date")) <= 15, F.lit(False))
+
+
+def _through_exports(spark, log):
     base = scratch_dir(spark, "log_csv")
-    early = F.dayofmonth(F.to_date("session_date")) <= 15
-    for form, cond in (("staff_v1", early), ("staff_v2", ~early)):
-        (to_export(src.where(cond), form).write.mode("overwrite")
-         .option("header", True).csv(f"{base}/{form}"))
-    v1 = read_activity_log(spark, f"{base}/staff_v1", "staff_v1", ordinal=False)
-    v2 = read_activity_log(spark, f"{base}/staff_v2", "staff_v2", ordinal=False)
+    back = []
+    for form, cond in (("staff_v1", _early()), ("staff_v2", ~_early())):
+        write_export(log.where(cond), form, f"{base}/{form}")
+        back.append(read_activity_log(spark, f"{base}/{form}", form, ordinal=False))
     cols = [c for c in LOG_COLUMNS if c != "activity_id"]
-    return v1.unionByName(v2).select(*cols)
+    return back[0].unionByName(back[1]).select(*cols)
+
+
+def q_log_csv_quoted_roundtrip(spark, sf_dir):
+    """The same with comments that hold quotes, separators and line breaks."""
+    number = F.regexp_extract("comments", r"(\d+)", 1)
+    said = F.concat(F.lit('said "'), "comments", F.lit('", then\nleft'))
+    inch = F.concat(number, F.lit('"'))
+    return _through_exports(spark, source_log(spark, sf_dir).withColumn(
+        "comments", F.when(number % 2 == 0, said).when(number % 3 == 0, inch)
+        .otherwise(F.col("comments"))))
+
+
+def q_lookup_two_layouts(spark, sf_dir):
+    """Two lookup files of other column order and number, read as one."""
+    lk = role_lookup_from_customer(spark, sf_dir)
+    base = scratch_dir(spark, "lookup_layouts")
+    key, role = F.col("session_id").alias("session id"), F.col("role").alias("health_professional_desc")
+    low = F.col("role_code") < 12
+    for name, part in (("a", lk.where(low).select(key, role)),
+                       ("b", lk.where(~low).select("healthcare_work_id", role, key))):
+        part.write.option("header", True).option("sep", ";").csv(f"{base}/{name}")
+    return read_lookup(spark, [f"{base}/a", f"{base}/b"])
 
 
 def q_lookup_csv_roundtrip(spark, sf_dir):
@@ -117,8 +146,8 @@ def q_streaming_clean_log(spark, sf_dir):
     whole), cleaned by the streaming ingest, read back from its output."""
     from shiftlog.streaming.ingest import read_ingested, start_ingest
     base = scratch_dir(spark, "stream")
-    (to_export(source_log(spark, sf_dir).repartition("session_date"), "staff_v1")
-     .write.option("header", True).csv(f"{base}/inbox"))
+    write_export(source_log(spark, sf_dir).repartition("session_date"), "staff_v1",
+                 f"{base}/inbox")
     q = start_ingest(spark, f"{base}/inbox", EVENTS, f"{base}/out", f"{base}/checkpoint",
                      lookups=role_lookup_from_customer(spark, sf_dir))
     q.awaitTermination()                   # availableNow: ends when the folder is drained

@@ -6,10 +6,14 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType
 
 from shiftlog.functions.timefmt import hms_to_seconds, seconds_to_hms
 from shiftlog.sources.forms import Form, get_form
+from shiftlog.sources.records import Records, parse, read_records
+
+_NO_RECORDS = ("file string, file_no int, line bigint, layout int, text string, "
+               "torn boolean")
 
 
 def _typed(raw: str, kind: str):
@@ -28,59 +32,69 @@ REQUIRED = ("observer_id", "session_id", "task_id", "session_start_sec", "sessio
             "start_sec", "end_sec", "active_sec", "what")
 
 
-def _header(spark: SparkSession, paths: list[str], sep: str = ",") -> list[str] | None:
-    """First line of the first file (one tiny job), BOM stripped."""
-    first = (spark.read.option("sep", sep).option("header", False).option("encoding", "UTF-8")
-             .csv(paths[0]).limit(1).collect())
-    if not first:
-        return None
-    return [(v or "").strip().lstrip("\ufeff") for v in first[0]]
-
-
 def read_activity_log(spark: SparkSession, path: str | Sequence[str], form: str | Form,
-                      ordinal: bool = True, keep_unknown: bool = False) -> DataFrame:
+                      ordinal: bool = True, keep_unknown: bool = False,
+                      bad: str = "fail", export: int = 0) -> DataFrame:
     """Scan one or many exports of one form into the canonical layout.
 
-    Columns are matched by header name, as the reference's reader does: the
-    header is read once and the scan gets an explicit all-STRING schema in
-    that order (no inference pass), so reordered columns are fine, absent
-    optional columns come back NULL and a missing required column fails.
-    H:M:S columns become LONG seconds (values past 24 h are kept, bad text
-    becomes NULL).  ``path`` may be a folder, a glob or a list, so many
-    exports of one layout load in parallel.  ``ordinal`` adds
-    ``activity_id``, increasing in file order (the row order the reference
-    relies on when it renumbers tasks).  ``keep_unknown`` passes columns the
-    form does not know through as text.
+    Columns are matched by header name, as the reference's reader does, and
+    every file by its own header: reordered columns are fine, absent optional
+    columns come back NULL and a missing required column fails.  Fields in
+    quotes may hold separators, doubled quotes and line breaks
+    (:mod:`shiftlog.sources.records`); empty fields and ``NA`` are NULL.
+    H:M:S columns become LONG seconds (values past 24 h are kept, text that
+    does not parse becomes NULL).  ``path`` may be a folder, a glob or a
+    list, so many exports of one layout load in parallel.
+
+    ``bad="fail"`` raises at a record that has another number of fields than
+    its header or is cut off inside quotes; ``bad="column"`` adds
+    ``bad_record``: the text of such a record (its other columns are NULL)
+    and of one with a value that its column's type does not take (that
+    column is NULL), else NULL.
+
+    ``ordinal`` adds ``activity_id``: it increases by file and line (the row
+    order that the reference relies on) and differs between exports that are
+    read with different ``export`` numbers.  ``keep_unknown`` passes columns
+    the form does not know through as text.
     """
+    if bad not in ("fail", "column"):
+        raise ValueError(f"bad must be 'fail' or 'column', not {bad!r}")
     f = get_form(form) if isinstance(form, str) else form
-    paths = [path] if isinstance(path, str) else list(path)
-    header = _header(spark, paths) or f.raw_names
+    records = read_records(spark, path, torn="fail" if bad == "fail" else "keep")
+    if records is None:  # no file holds a line
+        records = Records(spark.createDataFrame([], _NO_RECORDS), [f.raw_names], ",")
     by_raw = {r: (canon, kind) for r, canon, kind in f.columns}
-    present = {by_raw[h][0] for h in header if h in by_raw}
-    missing = [c for c in REQUIRED if c not in present]
-    if missing:
-        raise ValueError(f"export {paths[0]} lacks required columns {missing} "
-                         f"for form {f.name!r}")
-    schema = StructType([StructField(h, StringType(), True) for h in header])
-    # enforceSchema=False: every file's header is checked against the first
-    # one, so an export with another column order fails instead of shifting
-    raw = (spark.read.schema(schema).option("header", True).option("enforceSchema", False)
-           .option("mode", "PERMISSIVE").csv(paths))
-    have = set(header)
-    cols = []
-    for r, canon, kind in f.columns:
-        if canon in f.dropped:
-            continue
-        if r in have:
-            cols.append(_typed(r, kind).alias(canon))
-        else:
-            typ = {"hms": "bigint", "long": "bigint", "int": "int"}.get(kind, "string")
-            cols.append(F.lit(None).cast(typ).alias(canon))
+    for names in records.layouts:
+        present = {by_raw[h][0] for h in names if h in by_raw}
+        if missing := [c for c in REQUIRED if c not in present]:
+            raise ValueError(f"an export of {path} lacks required columns {missing} "
+                             f"for form {f.name!r}")
+    known = [(r, canon, kind) for r, canon, kind in f.columns if canon not in f.dropped]
+    extra = sorted({h for names in records.layouts for h in names if h not in by_raw})
+    parsed = parse(records, [r for r, _, _ in known] + (extra if keep_unknown else []),
+                   [records.ordinal(export).alias("activity_id")])
+    if bad == "fail":
+        parsed = _checked(parsed)
+    else:  # a bad record's fields may have shifted
+        texts = [c for c in parsed.columns if c not in ("activity_id", "text", "bad")]
+        parsed = parsed.withColumns({c: F.when(~F.col("bad"), F.col(f"`{c}`")) for c in texts})
+    cols = [_typed(r, kind).alias(canon) for r, canon, kind in known]
     if keep_unknown:
-        cols += [F.col(f"`{h}`") for h in header if h not in by_raw]
-    if ordinal:
-        cols = [F.monotonically_increasing_id().alias("activity_id")] + cols
-    return raw.select(*cols)
+        cols += [F.col(f"`{h}`") for h in extra]
+    if bad == "column":
+        lost = F.col("bad")
+        for r, _, kind in known:
+            if kind != "string":
+                lost = lost | (F.col(f"`{r}`").isNotNull() & _typed(r, kind).isNull())
+        cols.append(F.when(lost, F.col("text")).alias("bad_record"))
+    return parsed.select(*(["activity_id"] if ordinal else []), *cols)
+
+
+def _checked(parsed: DataFrame) -> DataFrame:
+    """Fails at a bad record, in a filter (which no later step prunes)."""
+    stop = F.raise_error(F.concat(F.lit("not as many fields as the header: "),
+                                  F.substring("text", 1, 200))).cast("boolean")
+    return parsed.where(F.when(F.col("bad"), stop).otherwise(F.lit(True)))
 
 
 def to_export(df: DataFrame, form: str | Form) -> DataFrame:
@@ -106,25 +120,24 @@ LOOKUP_KEY = "session id"
 def read_lookup(spark: SparkSession, path: str | Sequence[str],
                 columns: dict[str, str] | None = None,
                 key: str = LOOKUP_KEY, sep: str = ";") -> DataFrame:
-    """Scan a ``;``-separated lookup (UTF-8 BOM and CRLF allowed) and keep
+    """Scan ``;``-separated lookups (UTF-8 BOM and CRLF allowed) and keep
     the key plus the wanted columns, renamed.
 
     ``columns`` maps lookup header -> output name; default keeps
-    ``health_professional_desc`` as ``role``.  The header is read first
-    (one small job) so the scan itself gets an explicit schema with the key
-    typed LONG; whitespace around fields is trimmed.
+    ``health_professional_desc`` as ``role``.  Every file is read by its own
+    header, so files of other column order give all their rows; a file that
+    lacks a column, or a record with another number of fields than its
+    header, fails.  The key is LONG, empty fields and ``NA`` are NULL, and
+    white space around fields is trimmed.
     """
     columns = columns or {"health_professional_desc": "role"}
-    paths = [path] if isinstance(path, str) else list(path)
-    names = _header(spark, paths, sep) or [key] + list(columns)
-    schema = StructType([StructField(n, StringType(), True) for n in names])
-    df = (spark.read.schema(schema).option("sep", sep).option("header", True)
-          .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
-          .csv(paths))
-    missing = [c for c in [key, *columns] if c not in names]
-    if missing:
-        raise ValueError(f"lookup {paths[0]} lacks columns {missing}; has {names}")
+    records = read_records(spark, path, sep)
+    if records is None:
+        records = Records(spark.createDataFrame([], _NO_RECORDS), [[key, *columns]], sep)
+    for names in records.layouts:
+        if missing := [c for c in [key, *columns] if c not in names]:
+            raise ValueError(f"a lookup of {path} lacks columns {missing}; has {names}")
+    parsed = _checked(parse(records, [key, *columns]))
     out = [F.trim(F.col(f"`{key}`")).try_cast(LongType()).alias("session_id")]
-    out += [F.nullif(F.trim(F.col(f"`{src}`")), F.lit("")).alias(dst)
-            for src, dst in columns.items()]
-    return df.select(*out)
+    out += [F.trim(F.col(f"`{src}`")).alias(dst) for src, dst in columns.items()]
+    return parsed.select(*out)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StringType, StructField, StructType
 
+from shiftlog.sources.readers import to_export
+
 
 def write_processed(df: DataFrame, path: str, fmt: str = "parquet",
                     partition_by: Sequence[str] = ("session_date",),
@@ -24,6 +26,14 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet",
     return path
 
 
+def write_export(df: DataFrame, form: str, path: str) -> str:
+    """Write canonical rows as CSV exports of a form (the inverse of
+    :func:`shiftlog.sources.readers.read_activity_log`), quotes doubled."""
+    (to_export(df, form).write.mode("overwrite").option("header", True)
+     .option("quote", '"').option("escape", '"').csv(path))
+    return path
+
+
 def stage(df: DataFrame, path: str) -> DataFrame:
     """Write a typed scan once as parquet and continue from the written copy.
 

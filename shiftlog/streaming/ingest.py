@@ -1,13 +1,14 @@
 """Exports arriving in a folder -> the same cleaning chain -> processed log.
 
-Structured Streaming watches the folder (``readStream.csv`` with the
-form's explicit schema); each micro-batch of new files is cleaned with the
-batch chain and appended to the processed dataset.  Session-relative times
-need every row of a session, so the chain runs per micro-batch in
-``foreachBatch``: an export holds whole sessions, and a trigger takes whole
-files.  Each batch is written to its own ``batch-N`` folder with
-overwrite, so a batch replayed after a failure replaces its own output
-(exactly-once on the file sink together with the checkpoint).
+Structured Streaming watches the folder for new files; each micro-batch names
+the files that arrived (their content is not read by the stream), which are
+then read by the batch scan -- every file by its own header, quoted fields with
+line breaks and all -- cleaned with the batch chain and appended to the
+processed dataset.  Session-relative times need every row of a session, so an
+export must hold whole sessions; a trigger takes whole files.  Each batch is
+written to its own ``batch-N`` folder with overwrite, so a batch replayed after
+a failure replaces its own output (exactly-once on the file sink together with
+the checkpoint).
 """
 
 from __future__ import annotations
@@ -17,22 +18,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shiftlog.plans.cleaning import CleaningConfig, Export, clean_log
-from shiftlog.sources.forms import get_form
-from shiftlog.sources.readers import _typed
+from shiftlog.sources.readers import read_activity_log
 
+#: The file source's own columns.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
-def read_export_stream(spark: SparkSession, folder: str, form: str,
-                       max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming scan of new export files, typed into the canonical layout."""
-    f = get_form(form)
-    reader = (spark.readStream.schema(f.raw_schema()).option("header", True)
-              .option("enforceSchema", False))
+
+def watch_files(spark: SparkSession, folder: str,
+                max_files_per_trigger: int | None = None) -> DataFrame:
+    """Stream of the paths of new files."""
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.csv(folder)
-    cols = [_typed(r, kind).alias(canon) for r, canon, kind in f.columns
-            if canon not in f.dropped]
-    return raw.select(*cols)
+    return reader.load(folder).select("path")
 
 
 def batch_path(out_path: str, batch_id: int) -> str:
@@ -48,12 +46,16 @@ def start_ingest(spark: SparkSession, folder: str, cfg: CleaningConfig, out_path
                  max_files_per_trigger: int | None = None) -> StreamingQuery:
     """Start the ingest; ``available_now`` processes what is there and stops
     (a scheduled job), otherwise it keeps watching the folder."""
-    stream = read_export_stream(spark, folder, cfg.form, max_files_per_trigger)
+    stream = watch_files(spark, folder, max_files_per_trigger)
 
     def clean_batch(batch: DataFrame, batch_id: int) -> None:
+        # the names of one trigger's files, as the file source lists them
+        paths = sorted(r["path"] for r in batch.collect())
+        if not paths:
+            return
         # (batch_id, activity_id) identifies a row; activity_id keeps file
         # order inside the batch and is the same when the batch is replayed
-        rows = batch.withColumn("activity_id", F.monotonically_increasing_id())
+        rows = read_activity_log(batch.sparkSession, paths, cfg.form)
         cleaned = clean_log([Export(rows)], cfg, lookups)
         (cleaned.withColumn("batch_id", F.lit(batch_id).cast("bigint"))
          .write.mode("overwrite").parquet(batch_path(out_path, batch_id)))
