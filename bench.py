@@ -77,7 +77,7 @@ HEADLINE = {
     "location_summary": B.location_summary,
     "location_matrix": lambda log: B.location_matrix(log, LINEITEM_LOCATION_COLUMNS,
                                                      role="role"),
-    "dataset_overview": lambda log: B.dataset_overview(log, B.headcount_by_role(log)),
+    "dataset_overview": lambda log: B.dataset_overview(log, role="role"),
 }
 
 

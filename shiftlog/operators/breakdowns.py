@@ -10,36 +10,20 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlog.functions.aggregates import agg_sum, n_distinct
+from shiftlog.functions.aggregates import n_distinct
 from shiftlog.functions.labels import label_roles
+from shiftlog.functions.partials import Rows, sliced, sum_of
 from shiftlog.functions.rounding import heat, pct_label, round_to
 from shiftlog.operators.cleaning import tool_used, where_has_subcategory
 from shiftlog.operators.summaries import ACT_MIN, SESSION, grand_total_share, sort_small
 
-ALL = "All"
-
-
-def _grouped(df: DataFrame, keys: Sequence[str], role: str | None,
-             measures: Sequence[Column], roles: Sequence[str] | None = None,
-             all_label: str = ALL) -> tuple[DataFrame, list[str]]:
-    """``groupBy(keys)``, or with ``role`` one grouping-sets pass giving the
-    all-roles rows (``role_slice = All``) and the per-role rows."""
-    keys = list(keys)
-    if role is None:
-        return df.groupBy(*keys).agg(*measures), []
-    agg = (df.groupingSets([[role, *keys], keys], role, *keys)
-           .agg(*measures,
-                F.when(F.grouping(role) == 1, F.lit(all_label)).otherwise(F.col(role))
-                 .alias("role_slice"))
-           .drop(role))
-    if roles is not None:
-        agg = agg.where(F.col("role_slice").isin([all_label, *roles]))
-    return agg, ["role_slice"]
-
-
 # ---------------------------------------------------------------------------
 # Activity share (A7, A19, O3, R5) and subcategory share (A8)
 
+def _time_skipping_na(m: Rows) -> list[Column]:
+    return [sum_of(m, F.col(ACT_MIN), na="skip").alias("activity_time")]
+
+
 def activity_share(df: DataFrame, key: str = "what", role: str | None = None,
                    roles: Sequence[str] | None = None, label_threshold: float = 2.7) -> DataFrame:
     """Minutes per activity (NA skipped, kept to 6 places) and their share of the
@@ -50,8 +34,7 @@ def activity_share(df: DataFrame, key: str = "what", role: str | None = None,
     Total, share and rank are windows over the aggregated categories only
     (one row per category per slice), so the log is scanned once.
     """
-    agg, part = _grouped(df, [key], role, [agg_sum(ACT_MIN, na="skip").alias("activity_time")],
-                         roles)
+    agg, part = sliced(df, [key], _time_skipping_na, role, roles)
     agg = agg.withColumn("pct_time", round_to(grand_total_share(agg, "activity_time", part,
                                                                 na="skip"), 1))
     total = F.sum("activity_time").over(Window.partitionBy(*part))
@@ -71,8 +54,7 @@ def subcategory_share(df: DataFrame, key: str = "what", sub: str = "subcategory"
     the share inside the activity (0 places half-even in the general
     section, 1 place in role slices), with the pie label (every slice, or
     only above ``label_threshold``)."""
-    agg, part = _grouped(where_has_subcategory(df, sub), [key, sub], role,
-                         [agg_sum(ACT_MIN, na="skip").alias("activity_time")], roles)
+    agg, part = sliced(where_has_subcategory(df, sub), [key, sub], _time_skipping_na, role, roles)
     share = grand_total_share(agg, "activity_time", [*part, key], na="skip")
     out = agg.select(*part, key, sub, round_to("activity_time", 6).alias("activity_time"),
                      round_to(share, digits).alias("pct_time"))
@@ -95,11 +77,13 @@ def tool_time(df: DataFrame, key: str = "what", role: str | None = None,
     (``sum(minutes * flag)``, NA skipped, 1 place) and all minutes.  A row
     using two tools counts for both, so the parts may exceed the total."""
     x = F.col(ACT_MIN)
-    measures = [round_to(F.coalesce(F.sum(x * F.col(flag)), F.lit(0.0)), 1).alias(out)
-                for flag, out, _ in tools]
-    measures.append(round_to(F.coalesce(F.sum(x), F.lit(0.0)), 1).alias("total_time"))
+
+    def measures(m: Rows) -> list[Column]:
+        sums = {out: x * F.col(flag) for flag, out, _ in tools} | {"total_time": x}
+        return [round_to(F.coalesce(m.sum(v), F.lit(0.0)), 1).alias(n) for n, v in sums.items()]
+
     used = df.where(tool_used([flag for flag, _, _ in tools]))
-    agg, part = _grouped(used, [key], role, measures, roles)
+    agg, part = sliced(used, [key], measures, role, roles)
     return agg.select(*part, key, "total_time", *[out for _, out, _ in tools])
 
 
@@ -134,16 +118,18 @@ def location_summary(df: DataFrame, key: str = "location", item: str = "what",
     location -- bounded by the number of activity categories.
     """
     label = F.coalesce(F.col(item), F.lit("NA"))
-    measures = [n_distinct(SESSION, approx_distinct).alias("n_sessions"),
-                round_to(agg_sum(ACT_MIN), 2).alias("total_time_min")]
-    if order == "sorted":
-        measures.append(F.array_join(F.array_sort(F.collect_set(label)), ", ")
-                        .alias("activities_list"))
-        agg, part = _grouped(df, [key], role, measures, roles)
-    else:
-        agg, part = _grouped(df, [key], role, measures, roles)
-        firsts, _ = _grouped(df.withColumn("__item", label), [key, "__item"], role,
-                             [F.min("activity_id").alias("__first")], roles)
+
+    def measures(m: Rows) -> list[Column]:
+        out = [m.distinct(SESSION, approx_distinct).alias("n_sessions"),
+               round_to(sum_of(m, F.col(ACT_MIN)), 2).alias("total_time_min")]
+        if order == "sorted":
+            out.append(F.array_join(m.items(label, "__item"), ", ").alias("activities_list"))
+        return out
+
+    agg, part = sliced(df, [key], measures, role, roles)
+    if order != "sorted":
+        firsts, _ = sliced(df.withColumn("__item", label), [key, "__item"],
+                           lambda m: [m.min(F.col("activity_id")).alias("__first")], role, roles)
         lists = (firsts.groupBy(*part, key)
                  .agg(F.array_sort(F.collect_list(F.struct("__first", "__item"))).alias("__l"))
                  .select(*part, key,
@@ -156,7 +142,7 @@ def location_summary(df: DataFrame, key: str = "location", item: str = "what",
                                              F.col("b.activities_list"))
     return sort_small(agg.select(*part, key, "n_sessions", "total_time_min", "activities_list"),
                       *[F.col(p).asc_nulls_last() for p in part],
-                      F.col("total_time_min").desc_nulls_last())
+                      F.col("total_time_min").desc_nulls_last(), F.col(key).asc_nulls_last())
 
 
 def location_matrix(df: DataFrame, locations: Sequence[tuple[str, str]], key: str = "what",
@@ -171,12 +157,13 @@ def location_matrix(df: DataFrame, locations: Sequence[tuple[str, str]], key: st
     fixed.  ``show`` keeps a subset of location columns (presentation).
     """
     x = F.col(ACT_MIN)
-    measures = [F.count(F.lit(1)).alias("n_act"),
-                round_to(F.coalesce(F.sum(x), F.lit(0.0)), 1).alias("total_time")]
-    for colname, value in locations:
-        measures.append(round_to(F.coalesce(F.sum(F.when(F.col(where) == F.lit(value), x)),
-                                            F.lit(0.0)), 1).alias(colname))
-    agg, part = _grouped(df, [key], role, measures, roles)
+
+    def measures(m: Rows) -> list[Column]:
+        sums = {"total_time": x} | {c: F.when(F.col(where) == F.lit(v), x) for c, v in locations}
+        return [m.n().alias("n_act"), *(round_to(F.coalesce(m.sum(v), F.lit(0.0)), 1).alias(n)
+                                        for n, v in sums.items())]
+
+    agg, part = sliced(df, [key], measures, role, roles)
     cols = [c for c, _ in locations] if show is None else list(show)
     return agg.select(*part, key, "total_time", "n_act", *cols)
 
@@ -196,34 +183,63 @@ def headcount_by_role(df: DataFrame, role: str = "role",
                       labels: Mapping[str, str] | None = None,
                       prefix_others: str | None = None) -> DataFrame:
     """Distinct (keys, role) combinations counted per role, with report
-    labels.  The hospital notebook counts distinct participants; the
-    polyclinic one distinct (participant, session) pairs and prefixes
-    unmapped roles with ``- ``."""
+    labels, most first (ties by role).  The hospital notebook counts distinct
+    participants; the polyclinic one distinct (participant, session) pairs and
+    prefixes unmapped roles with ``- ``."""
     counted = (df.select(*keys, role).distinct()
                .groupBy(role).agg(F.count(F.lit(1)).alias("count")))
     metric = label_roles(F.col(role), labels or {}, prefix_others)
-    return counted.select(metric.alias("metric"), "count")
+    return sort_small(counted, F.col("count").desc_nulls_last(), F.col(role).asc_nulls_last()) \
+        .select(metric.alias("metric"), "count")
 
 
 OVERVIEW = [("Unique sessions", SESSION), ("Unique observers", "observer_id"),
             ("Unique HCWs", "participant_id")]
 
 
-def dataset_overview(df: DataFrame, headcount: DataFrame | None = None,
+def dataset_overview(df: DataFrame, role: str | None = None,
+                     head_keys: Sequence[str] = ("participant_id",),
+                     labels: Mapping[str, str] | None = None, prefix_others: str | None = None,
                      approx_distinct: bool = False) -> DataFrame:
-    """``(metric, count)`` rows: distinct sessions, observers and
-    participants (NA counted as a value), then the headcount rows.
-
-    One global aggregate per metric, unioned: each scans a single column
-    and deduplicates it map-side.  (Three exact distinct counts in one
-    aggregate would make Spark expand every row once per distinct column
-    first.)  No driver round trip.  ``approx_distinct`` uses HyperLogLog++
-    sketches instead of exact distinct counts."""
-    parts = [df.agg(n_distinct(c, approx_distinct).alias("count"))
-             .select(F.lit(name).alias("metric"), "count") for name, c in OVERVIEW]
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    if headcount is not None:
-        long = long.unionByName(headcount.select("metric", F.col("count").cast("bigint")))
-    return long
+    """``(metric, count)`` rows: distinct sessions, observers and participants
+    (NA counted as a value, 0 for an empty log), then with ``role`` the
+    headcount rows (:func:`headcount_by_role`), most first.
+
+    The log is read once, for the distinct tuples of all the ids involved
+    (combined map-side); grouping sets over those give the distinct values of
+    every metric, which are then counted.  ``approx_distinct`` counts the
+    three ids by HyperLogLog++ sketches of the log instead.
+    """
+    ids = list(dict.fromkeys([c for _, c in OVERVIEW] + ([role, *head_keys] if role else [])))
+    counted = [[role, *head_keys]] if role else []
+    if not approx_distinct:
+        counted += [[c] for _, c in OVERVIEW]
+    long = None
+    if counted:
+        few = df.select(*ids).distinct()
+        # which set a row is of: the headcount holds the role, the others one id
+        which = F.lit(len(OVERVIEW)) if role else F.lit(None)
+        for i, (_, c) in enumerate(OVERVIEW):
+            which = F.when(F.grouping(c) == 0, i).otherwise(which)
+        if role:
+            which = F.when(F.grouping(role) == 0, len(OVERVIEW)).otherwise(which)
+        values = few.groupingSets(counted, *ids).agg(which.alias("__set"))
+        held = F.col(role) if role else F.lit(None).cast("string")
+        none = df.sparkSession.createDataFrame(
+            [(i, 0) for i in range(0 if approx_distinct else len(OVERVIEW))], "__set int, __n long")
+        long = (values.select("__set", held.alias("__role"), F.lit(1).cast("bigint").alias("__n"))
+                .unionByName(none, allowMissingColumns=True)
+                .groupBy("__set", "__role").agg(F.sum("__n").alias("count")))
+    if approx_distinct:
+        sketched = df.agg(*[n_distinct(c, True).alias(f"n{i}") for i, (_, c) in enumerate(OVERVIEW)])
+        rows = sketched.select(F.inline(F.array(*[
+            F.struct(F.lit(i).alias("__set"), F.lit(None).cast("string").alias("__role"),
+                     F.coalesce(f"n{i}", F.lit(0)).cast("bigint").alias("count"))
+            for i in range(len(OVERVIEW))])))
+        long = rows if long is None else long.unionByName(rows)
+    metric = label_roles(F.col("__role"), labels or {}, prefix_others)
+    for i, (name, _) in enumerate(OVERVIEW):
+        metric = F.when(F.col("__set") == i, F.lit(name)).otherwise(metric)
+    by_count = F.when(F.col("__set") == len(OVERVIEW), F.col("count"))
+    return sort_small(long, F.col("__set").asc(), by_count.desc_nulls_last(),
+                      F.col("__role").asc_nulls_last()).select(metric.alias("metric"), "count")

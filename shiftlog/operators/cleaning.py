@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shiftlog.functions.labels import map_values
-from shiftlog.operators.joins import broadcast_if_small
 
 
 def drop_columns(df: DataFrame, cols: Iterable[str]) -> DataFrame:
@@ -42,20 +41,19 @@ def keep_known(df: DataFrame, col: str) -> DataFrame:
     return df.where(F.col(col).isNotNull())
 
 
-def exclude_keys(df: DataFrame, col: str, values: Sequence | DataFrame,
-                 max_broadcast_rows: int = 1_000_000) -> DataFrame:
+def exclude_keys(df: DataFrame, col: str, values: Sequence | DataFrame) -> DataFrame:
     """Drop rows whose ``col`` is in ``values``.
 
     Like ``filter(!col == v)`` a NULL key is dropped as well.  A Python list
     becomes an ``IN`` predicate (pushed to the scan); a DataFrame of keys
-    becomes a left-anti join, broadcast only when its row count is checked
-    to be small.
+    (its first column) becomes a left-anti join, broadcast where Spark finds
+    it small.
     """
     c = F.col(col)
     if isinstance(values, DataFrame):
         keys = values.select(F.col(values.columns[0]).alias(col)).where(F.col(col).isNotNull())
-        return df.where(c.isNotNull()).join(broadcast_if_small(keys, max_broadcast_rows),
-                                            col, "left_anti")
+        typed = keys.select(F.col(col).cast(dict(df.dtypes)[col]).alias(col)).distinct()
+        return df.where(c.isNotNull()).join(typed, col, "left_anti")
     vals = list(values)
     if not vals:
         return df
@@ -145,12 +143,64 @@ def apply_corrections(df: DataFrame, corrections: Iterable[Correction], stage: s
 
 
 def apply_correction_table(df: DataFrame, table: DataFrame, key: str, target: str,
-                           value_col: str = "new_value",
-                           max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                           value_col: str = "new_value") -> DataFrame:
     """Keyed corrections held as a DataFrame (``key``, ``value_col``): a left
-    join plus ``coalesce``.  The table is broadcast only when checked small."""
-    t = table.select(F.col(key), F.col(value_col).alias("__fix__")).dropDuplicates([key])
-    out = df.join(broadcast_if_small(t, max_broadcast_rows), key, "left")
+    join plus ``coalesce``; of several rows of a key the greatest value."""
+    t = (table.select(F.col(key), F.col(value_col).alias("__fix__"))
+         .groupBy(key).agg(F.max("__fix__").alias("__fix__")))
+    out = df.join(t, key, "left")
     typ = dict(df.dtypes)[target]
     return out.withColumn(target, F.coalesce(F.col("__fix__").cast(typ), F.col(target))) \
               .drop("__fix__")
+
+
+#: Columns of a table of corrections; ``match_value`` and ``new_value`` are text.
+CORRECTION_SCHEMA = ("dataset string, stage string, seq int, match_column string, "
+                     "match_value string, target string, new_value string")
+
+
+@dataclass(frozen=True)
+class CorrectionTable:
+    """Corrections and exclusions as data, joined when the chain runs.
+
+    ``rows`` has :data:`CORRECTION_SCHEMA`.  ``steps`` are the (stage, match
+    column, target) it may hold, in the order they apply: the plan has one
+    join per step, whatever the number of rows; :meth:`check` raises at rows
+    of other steps.  Several rows of one step and key apply in order of ``seq``,
+    so the last one holds.
+    """
+
+    rows: DataFrame
+    steps: Sequence[tuple[str, str, str]]
+    dataset: str
+
+    def check(self) -> None:
+        """Raises where a row belongs to no step (one look at the table)."""
+        known = F.lit(False)
+        for stage, match, target in self.steps:
+            known = known | ((F.col("stage") == stage) & (F.col("match_column") == match)
+                             & (F.col("target") == target))
+        lost = (self.rows.where((F.col("dataset") == self.dataset)
+                                & ~F.coalesce(known, F.lit(False))).limit(1).collect())
+        if lost:
+            raise ValueError(f"no step applies the correction {lost[0].asDict()}")
+
+    def apply(self, df: DataFrame, stage: str) -> DataFrame:
+        """The corrections of one stage; a step sees what earlier ones wrote.
+        NULL keys match nothing; a value that the column's type does not take
+        becomes NULL, as does a NULL ``new_value``."""
+        types = dict(df.dtypes)
+        for own, match, target in self.steps:
+            if own != stage or match not in types or target not in types:
+                continue
+            fix = (self.rows
+                   .where((F.col("dataset") == self.dataset) & (F.col("stage") == own) & (F.col("match_column") == match)
+                          & (F.col("target") == target))
+                   .select(F.col("match_value").try_cast(types[match]).alias("__match"), "seq",
+                           F.struct(F.col("new_value").try_cast(types[target]).alias("v"))
+                           .alias("__fix"))
+                   .groupBy("__match").agg(F.max_by("__fix", "seq").alias("__fix")))
+            joined = df.join(fix, F.col(match) == F.col("__match"), "left")
+            df = joined.withColumn(target, F.when(F.col("__fix").isNotNull(), F.col("__fix.v"))
+                                   .otherwise(F.col(target))).select(*df.columns)
+        return df

@@ -1,55 +1,39 @@
 """Lookup joins and skew-safe joins of per-key aggregates.
 
-A lookup is broadcast only after its row count is checked against a bound
-(one cheap count of the lookup, not of the log); past the bound it is a
-shuffle join.  Keys holding more than ``HOT_ROWS`` rows ("hot" sessions: at
-most rows / ``HOT_ROWS`` of them) are found by one count, their rows are
-salted (:func:`add_salt`), and shuffle joins are keyed on (key, salt) with the
-other side's hot rows copied per salt (:func:`salt_side`), so one key never
-lands in one task and several joins share one partitioning.
+How a lookup is joined is left to Spark: statistics broadcast one that is known
+to be small, and the adaptive plan one that turns out to be; else it is a
+shuffle join whose skewed partitions the adaptive plan splits by map output, so
+a key with a third of all rows is spread over many tasks, identical rows
+included.
+
+Where that cannot help (a join side that ends in an aggregate on the same keys,
+adaptive execution off) keys holding more than ``HOT_ROWS`` rows ("hot": at most
+rows / ``HOT_ROWS`` of them) can be salted: their rows get a salt
+(:func:`add_salt`), and shuffle joins are keyed on (key, salt) with the other
+side's hot rows copied per salt (:func:`salt_side`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_BROADCAST_ROWS = 2_000_000
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; stops counting past it."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
-
 
 def _left_join(log: DataFrame, small: DataFrame, key: str, null_safe: bool,
-               max_broadcast_rows: int, hot: DataFrame | None = None) -> DataFrame:
-    if row_count_at_most(small, max_broadcast_rows):
-        small, on = F.broadcast(small), [key]          # a broadcast join has no skew
-    elif hot is not None and SALT in log.columns:
+               hot: DataFrame | None = None) -> DataFrame:
+    on = [key]
+    if hot is not None and SALT in log.columns:
         small, on = salt_side(small, hot, [key]), [key, SALT]
-    else:
-        on = [key]
     if not null_safe:
         return log.join(small, on, "left")
     # NULL key matches NULL key, as in the reference's joins
-    renamed = {c: f"__rk_{c}" for c in on}
-    small = small.withColumnsRenamed(renamed)
-    cond = log[key].eqNullSafe(small[renamed[key]])
-    if SALT in on:
-        cond = cond & (log[SALT] == small[renamed[SALT]])
-    return log.join(small, cond, "left").drop(*renamed.values())
+    return _null_safe_left(log, small, [key], on[1:])
 
 
 def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
                 key: str = "session_id", value: str = "role", null_safe: bool = False,
-                max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                 hot: DataFrame | None = None) -> DataFrame:
     """Left join the log to one or more ``(key, value)`` lookups.
 
@@ -59,8 +43,7 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     repeats the log row.  ``null_safe=True`` also matches a NULL key to a
     NULL key (the reference's join semantics; SQL's ``=`` never does).
     With ``hot`` (see :func:`hot_keys`) and a salted log (:func:`add_salt`)
-    a lookup too large to broadcast is joined on (key, salt), so a hot
-    session's rows spread over many tasks.
+    the join is keyed on (key, salt).
     """
     if isinstance(lookups, DataFrame):
         lookups = [lookups]
@@ -69,7 +52,7 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
     for i, lk in enumerate(lookups):
         name = f"__{value}_{i}"
         small = lk.select(F.col(key), F.col(value).alias(name))
-        out = _left_join(out, small, key, null_safe, max_broadcast_rows, hot)
+        out = _left_join(out, small, key, null_safe, hot)
         tmp.append(name)
     merged = F.coalesce(*[F.col(t) for t in tmp]) if len(tmp) > 1 else F.col(tmp[0])
     return out.withColumn(value, merged).drop(*tmp)
@@ -77,13 +60,12 @@ def attach_role(log: DataFrame, lookups: DataFrame | Sequence[DataFrame],
 
 def prefer_lookup(log: DataFrame, lookup: DataFrame, target: str, source: str,
                   key: str = "session_id", carry: Sequence[str] = (),
-                  max_broadcast_rows: int = DEFAULT_MAX_BROADCAST_ROWS,
                   hot: DataFrame | None = None, null_safe: bool = False) -> DataFrame:
     """``target := coalesce(lookup.source, log.target)`` via a left join;
     ``carry`` lookup columns (e.g. the role) come along in the same join."""
     small = lookup.select(F.col(key), F.col(source).alias("__src"), *carry)
     out = log.drop(*[c for c in carry if c in log.columns])
-    out = _left_join(out, small, key, null_safe, max_broadcast_rows, hot)
+    out = _left_join(out, small, key, null_safe, hot)
     return out.withColumn(target, F.coalesce(F.col("__src"), F.col(target))).drop("__src")
 
 
@@ -115,13 +97,20 @@ def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
                  .drop("__hot")
 
 
+def _row_salt(df: DataFrame, salts: int) -> Column:
+    """1..``salts`` by a hash of the row and its partition: a task that runs
+    again gives the same salts, and identical rows, which lie in many
+    partitions, do not all get one."""
+    row_hash = F.xxhash64(*[F.col(c) for c in df.columns], F.spark_partition_id())
+    return F.pmod(row_hash, F.lit(salts)) + 1
+
+
 def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str],
              salts: int = HOT_SALTS) -> DataFrame:
-    """Rows of hot keys get ``__salt`` 1..``salts`` (a hash of the row, so a
-    re-run assigns the same salt); all other rows get 0."""
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
+    """Rows of hot keys get ``__salt`` 1..``salts``; all other rows get 0."""
+    salt = _row_salt(df, salts)
     return (_mark_hot(df, hot, keys)
-            .withColumn(SALT, F.when(F.col("__is_hot"), F.pmod(row_hash, F.lit(salts)) + 1)
+            .withColumn(SALT, F.when(F.col("__is_hot"), salt)
                         .otherwise(F.lit(0)).cast("bigint"))
             .drop("__is_hot"))
 
@@ -138,11 +127,12 @@ def salt_side(side: DataFrame, hot: DataFrame, keys: Sequence[str],
 
 
 def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    extra: Sequence[str] = ()) -> DataFrame:
+                    extra: Sequence[str] = (), renamed: dict[str, str] | None = None) -> DataFrame:
     """``left LEFT JOIN right`` on ``keys`` (NULL matches NULL, as a
-    grouping treats NULL as one group) and ``extra`` (plain equality)."""
-    renamed = {c: f"__r_{c}" for c in [*keys, *extra]}
-    r = right.withColumnsRenamed(renamed)
+    grouping treats NULL as one group) and ``extra`` (plain equality);
+    ``renamed`` says which keys have another name in ``right`` already."""
+    given, renamed = renamed or {}, {c: f"__r_{c}" for c in [*keys, *extra]}
+    r = right.withColumnsRenamed({given.get(c, c): new for c, new in renamed.items()})
     cond = None
     for k in keys:
         c = left[k].eqNullSafe(r[renamed[k]])
@@ -153,8 +143,7 @@ def _null_safe_left(left: DataFrame, right: DataFrame, keys: Sequence[str],
 
 
 def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str = "__rows",
-              hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS,
-              hot: DataFrame | None = None) -> DataFrame:
+              hot_rows: int = HOT_ROWS, salts: int = HOT_SALTS) -> DataFrame:
     """``df LEFT JOIN agg USING keys`` for a per-key aggregate ``agg`` (one
     row per key, with its row count in ``rows_col``), safe when one key
     holds a large share of ``df``.  Keys match null-safely: a NULL key is
@@ -167,31 +156,22 @@ def join_back(df: DataFrame, agg: DataFrame, keys: Sequence[str], rows_col: str
     * hot keys (more than ``hot_rows`` rows; at most ``len(df) / hot_rows``
       of them) take their values from a broadcast of those few aggregate
       rows -- no shuffle;
-    * their rows carry a salt 1..``salts`` (a hash of the row), so in the
+    * their rows carry a salt 1..``salts``, so in the
       shuffle join that serves all other keys they spread over many tasks
       and match nothing;
     * all other rows (salt 0) join the aggregate normally.
 
     One scan of ``df``; the aggregate is computed once (its exchange is
     reused by both uses).
-
-    When ``df`` already carries a salt (:func:`add_salt` with ``hot``), the
-    aggregate is salted the same way and joined on (keys, salt): the
-    partitioning of an earlier salted join is reused, so the rows of ``df``
-    are not shuffled again.
     """
     keys = list(keys)
     vals = [c for c in agg.columns if c not in keys and c != rows_col]
-    if hot is not None and SALT in df.columns:
-        side = salt_side(agg.select(*keys, *vals), hot, keys, salts)
-        return _null_safe_left(df, side, keys, [SALT])
     hot_rows_agg = (agg.where(F.col(rows_col) > hot_rows)
                     .select(*keys, F.lit(True).alias("__is_hot"),
                             *[F.col(v).alias(f"__hot_{v}") for v in vals]))
+    salt = _row_salt(df, salts)
     x = _null_safe_left(df, F.broadcast(hot_rows_agg), keys)
-    row_hash = F.xxhash64(*[F.col(c) for c in df.columns])
-    x = x.withColumn("__salt", F.when(F.col("__is_hot"),
-                                      F.pmod(row_hash, F.lit(salts)) + 1).otherwise(F.lit(0))
+    x = x.withColumn("__salt", F.when(F.col("__is_hot"), salt).otherwise(F.lit(0))
                      .cast("bigint"))
     # salt 0 for the other keys, -1 (matched by nothing) for hot ones; taken
     # from the data so the optimizer cannot fold it out of the join keys

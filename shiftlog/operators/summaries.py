@@ -13,9 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shiftlog.functions.aggregates import agg_max, agg_mean, agg_min, agg_sum, n_distinct
+from shiftlog.functions.aggregates import agg_sum
+from shiftlog.functions.partials import Rows, all_present, mean_of, sliced, sum_of
 from shiftlog.functions.rounding import round_to
 from shiftlog.functions.timefmt import seconds_to_hms
+from shiftlog.operators.joins import _null_safe_left
 
 SESSION = "session_id"
 ACT_MIN = "total_activity_min"
@@ -143,17 +145,17 @@ def observer_summary(df: DataFrame, total_label: str = "Total", with_total: bool
 MIN_COLS = ["total_time_min", "avg_time_min", "max_time_min", "min_time_min"]
 
 
-def _activity_measures(per_session: bool, approx: bool = False) -> list[Column]:
+def _activity_measures(m: Rows, per_session: bool, approx: bool) -> list[Column]:
     x = F.col(ACT_MIN)
-    sessions = n_distinct(SESSION, approx)
+    sessions = m.distinct(SESSION, approx)
     out = [sessions.alias("total_sessions")]
     if per_session:
-        out.append(round_to(F.try_divide(F.count(F.lit(1)).cast("double"),
-                                         sessions.cast("double")), 0)
+        out.append(round_to(F.try_divide(m.n().cast("double"), sessions.cast("double")), 0)
                    .alias("avg_act_session"))
-    out += [agg_sum(x).alias("total_time_min"), agg_mean(x).alias("avg_time_min"),
-            agg_max(x).alias("max_time_min"), agg_min(x).alias("min_time_min")]
-    return out
+    present = all_present(m, x)
+    return out + [sum_of(m, x).alias("total_time_min"), mean_of(m, x).alias("avg_time_min"),
+                  F.when(present, m.max(x)).alias("max_time_min"),
+                  F.when(present, m.min(x)).alias("min_time_min")]
 
 
 def activity_summary(df: DataFrame, key: str = "what", per_session: bool = False,
@@ -165,33 +167,23 @@ def activity_summary(df: DataFrame, key: str = "what", per_session: bool = False
     summed *rounded* totals, 1 place.  ``per_session`` adds the notebook's
     ``avg_act_session`` (rows per session, half-even to 0 places).
 
-    With ``role`` set, one pass with ``GROUPING SETS ((role, key), (key))``
-    yields the all-roles table and one table per role, told apart by
-    ``role_slice`` (``All`` vs the role; a true NULL role stays NULL).
-    ``roles`` keeps only the listed role slices besides ``All``.
-    ``approx_distinct`` counts sessions with HyperLogLog++ (no shuffle of
-    the distinct session ids; ~2% relative error).
+    With ``role`` set, one read of the log yields the all-roles table and one
+    table per role, told apart by ``role_slice`` (``All`` vs the role; a true
+    NULL role stays NULL): partial states per (role, activity, session) are
+    merged by grouping sets.  ``roles`` keeps only the listed role slices
+    besides ``All``.  ``approx_distinct`` counts sessions by HyperLogLog
+    sketches (no shuffle of the distinct session ids; ~2% relative error).
+    Ties of the sort follow the activity.
     """
-    measures = _activity_measures(per_session, approx_distinct)
-    if role is None:
-        agg = df.groupBy(key).agg(*measures)
-        part: list[str] = []
-    else:
-        agg = (df.groupingSets([[role, key], [key]], role, key)
-               .agg(*measures,
-                    F.when(F.grouping(role) == 1, F.lit(all_label))
-                     .otherwise(F.col(role)).alias("role_slice"))
-               .drop(role))
-        if roles is not None:
-            agg = agg.where(F.col("role_slice").isin([all_label, *roles]))
-        part = ["role_slice"]
+    agg, part = sliced(df, [key], lambda m: _activity_measures(m, per_session, approx_distinct),
+                       role, roles, all_label)
     agg = agg.withColumns({c: round_to(F.col(c), 2) for c in MIN_COLS})
     agg = agg.withColumn("pct_time", round_to(grand_total_share(agg, "total_time_min", part), 1))
     lead = part + [key, "total_sessions"] + (["avg_act_session"] if per_session else [])
     agg = agg.select(*lead, *MIN_COLS, "pct_time")
     if sort:
         agg = sort_small(agg, *[F.col(p).asc_nulls_last() for p in part],
-                         F.col("total_time_min").desc_nulls_last())
+                         F.col("total_time_min").desc_nulls_last(), F.col(key).asc_nulls_last())
     return agg
 
 
@@ -279,19 +271,16 @@ def session_times(df: DataFrame, cols: Sequence[str] = SESSION_COLS) -> DataFram
     (NA if any activity's total time is NA), in seconds and ``HH:MM:SS``.
 
     The sum is per session id even when other columns vary inside a
-    session.  One shuffle: a ``groupBy(session)`` that sums the total time
-    and collects the session's distinct descriptions (a handful per session,
-    deduplicated map-side), then one output row per description.
+    session.  Two aggregates, both combined map-side: the distinct
+    descriptions, and the sum per session; the sums are joined to the
+    descriptions null-safely.  No set of a session's descriptions is held
+    anywhere, and either side of the join is an exchange, so the adaptive plan
+    splits a session of very many descriptions over tasks.
     """
-    others = [c for c in cols if c != SESSION]
-    agg = df.groupBy(SESSION).agg(
-        F.collect_set(F.struct(*others)).alias("__descs"),
-        F.when(F.count("total_sec") == F.count(F.lit(1)), F.sum("total_sec"))
-         .cast("bigint").alias("total_session_sec"))
-    out = agg.select(SESSION, "total_session_sec", F.explode("__descs").alias("__d"))
-    return out.select(*[F.col(SESSION) if c == SESSION else F.col("__d")[c].alias(c)
-                        for c in cols],
-                      "total_session_sec",
+    per_session = df.groupBy(SESSION).agg(agg_sum("total_sec").cast("bigint")
+                                          .alias("total_session_sec"))
+    out = _null_safe_left(df.select(*cols).distinct(), per_session, [SESSION])
+    return out.select(*cols, "total_session_sec",
                       seconds_to_hms("total_session_sec").alias("total_session_hms"))
 
 

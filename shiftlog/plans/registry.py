@@ -354,8 +354,7 @@ def q_headcount_by_role_sessions(spark, sf_dir):
 
 
 def q_dataset_overview(spark, sf_dir):
-    log = events_log(spark, sf_dir)
-    return B.dataset_overview(log, B.headcount_by_role(log, labels=EVENT_ROLE_LABELS))
+    return B.dataset_overview(events_log(spark, sf_dir), role="role", labels=EVENT_ROLE_LABELS)
 
 
 QUERIES: dict[str, Query] = {

@@ -80,10 +80,9 @@ def overview_bundle(log: DataFrame, locations: Sequence[tuple[str, str]],
     r = role
     tools = B.tool_time(log, role=r, roles=roles)
     matrix = B.location_matrix(log, locations, role=r, roles=roles)
-    head = B.headcount_by_role(log, keys=headcount_keys, labels=role_labels,
-                               prefix_others=prefix_others) if r else None
     out = {
-        "dataset_overview": B.dataset_overview(log, head),
+        "dataset_overview": B.dataset_overview(log, role=r, head_keys=headcount_keys,
+                                               labels=role_labels, prefix_others=prefix_others),
         "observer_statistics": S.observer_summary(log, brief=True),
         "activity_summary": S.activity_summary(log, per_session=True, role=r, roles=roles),
         "activity_share": B.activity_share(log, role=r, roles=roles),

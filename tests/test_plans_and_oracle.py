@@ -197,28 +197,163 @@ def _wide_exchanges(node, min_cols, out):
         _wide_exchanges(c, min_cols, out)
 
 
-def test_cleaning_shuffles_the_log_once_at_scale(spark, tmp_path):
-    """With every join past its broadcast bound (as at scale), the log is
-    shuffled once: the lookup join and the session-origin join share the
-    (session, salt) partitioning."""
+def _planned(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.executedPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan
+
+
+def _scans(node, path):
+    """Scans of files under ``path``."""
+    own = (node.getClass().getSimpleName() == "FileSourceScanExec"
+           and path in node.toString())
+    return own + sum(_scans(c, path) for c in _children(node))
+
+
+@pytest.fixture
+def stored_log(spark, tmp_path):
+    from shiftlog.sources.testlog import activity_log_from_events
+    path = str(tmp_path / "src")
+    activity_log_from_events(spark, SF).write.parquet(path)
+    return path
+
+
+@pytest.fixture
+def no_broadcast(spark):
+    """Every join past its broadcast bound, as at scale."""
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"]
+    old = {n: spark.conf.get(n, None) for n in names}
+    for n in names:
+        spark.conf.set(n, "-1")
+    yield
+    for n, v in old.items():
+        spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
+@pytest.mark.parametrize("salted", [False, True])
+def test_cleaning_shuffles_the_log_once_at_scale(spark, stored_log, no_broadcast, salted):
+    """The log is shuffled once, for one join that brings role and origin, and
+    read twice: for the rows and for one aggregate per session (a third time,
+    one column, for the sessions to salt)."""
     import dataclasses
     from shiftlog.plans.cleaning import Export, clean_log
     from shiftlog.plans.sites import EVENTS
-    from shiftlog.sources.testlog import activity_log_from_events, role_lookup_from_customer
-    path = str(tmp_path / "src")
-    activity_log_from_events(spark, SF).write.parquet(path)
-    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    from shiftlog.sources.testlog import role_lookup_from_customer
+    df = clean_log([Export(spark.read.parquet(stored_log))],
+                   dataclasses.replace(EVENTS, salted=salted),
+                   role_lookup_from_customer(spark, SF))
+    plan = _planned(df)
+    wide = []
+    _wide_exchanges(plan, 20, wide)
+    assert len(wide) == 1 and ("__salt" in wide[0]) == salted, wide
+    assert "SortMergeJoin" in plan.toString()
+    # the salted form marks hot sessions on either side of the join
+    assert _scans(plan, stored_log) == (4 if salted else 2)
+
+
+def test_adaptive_plan_splits_a_hot_session(spark, no_broadcast, tmp_path):
+    """A session of a third of all rows: its partition of the log is split by
+    map output."""
+    from shiftlog.plans.cleaning import CleaningConfig, Export, clean_log
+    confs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    log = events_log(spark, SF).limit(1).drop("role", *[c for c in events_log(spark, SF).columns
+                                                        if c.endswith(("_min", "_hms")) or "norm" in c],
+                                              "time_slot", "task_order", "with_whom", "how")
+    path = str(tmp_path / "hot")
+    n = F.col("n")
+    (log.crossJoin(spark.range(30000, numPartitions=16).withColumnRenamed("id", "n"))
+     .withColumn("session_id", F.when(n % 3 == 0, F.lit(5)).otherwise(n % 500 + 10).cast("bigint"))
+     .withColumn("comments", F.sha2(n.cast("string"), 256)).drop("n").write.parquet(path))
+    lk = spark.range(600).select(F.col("id").alias("session_id"),
+                                 F.concat(F.lit("r"), F.col("id").cast("string")).alias("role"))
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        out = clean_log([Export(spark.read.parquet(path))], CleaningConfig(dataset="t"), lk)
+        got = out.select("session_id", "role", "start_norm_sec").collect()
+        assert len(got) == 30000 and sum(r["role"] == "r5" for r in got) == 10000
+        ran = out.select("session_id", "role", "comments")
+        ran.collect()
+        assert "skew=true" in ran._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def _expands_over_partials(node):
+    """Grouping-set expansions, each with whether an aggregate lies below."""
+    out = []
+    if node.getClass().getSimpleName() == "ExpandExec":
+        below, stack = False, _children(node)
+        while stack:
+            n = stack.pop()
+            below = below or n.getClass().getSimpleName() in AGGREGATES
+            stack += _children(n)
+        out.append(below)
+    for c in _children(node):
+        out += _expands_over_partials(c)
+    return out
+
+
+@pytest.mark.parametrize("table", [
+    lambda log: S.activity_summary(log, per_session=True, role="role"),
+    lambda log: B.activity_share(log, role="role"),
+    lambda log: B.subcategory_share(log, role="role"),
+    lambda log: B.tool_time(log, role="role"), lambda log: B.tool_time(log, key="location", role="role"),
+    lambda log: B.location_summary(log, role="role"),
+    lambda log: B.location_matrix(log, EVENT_LOCATION_COLUMNS, role="role"),
+    lambda log: B.dataset_overview(log, role="role"),
+    lambda log: B.dataset_overview(log)])
+def test_slices_expand_partial_states_of_one_scan(spark, tmp_path, log, table):
+    path = str(tmp_path / "clean")
+    log.limit(50).write.parquet(path)
+    plan = _planned(table(spark.read.parquet(path)))
+    expands = _expands_over_partials(plan)
+    assert expands and all(expands)
+    assert _scans(plan, path) == 1
+
+
+def test_a_session_of_many_descriptions_is_split(spark, no_broadcast, tmp_path):
+    """20,000 descriptions of one session: no set of them, and the adaptive
+    plan splits the session over tasks."""
+    confs = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k",
+             "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    n = F.col("id")
+    log = spark.range(30000, numPartitions=8).select(
+        F.when(n < 20000, 7).otherwise(n % 300 + 10).cast("bigint").alias("session_id"),
+        F.sha2(n.cast("string"), 256).alias("participant_id"), F.lit(2).cast("bigint").alias("total_sec"))
+    for k, v in confs.items():
+        spark.conf.set(k, v)
     try:
-        df = clean_log([Export(spark.read.parquet(path))],
-                       dataclasses.replace(EVENTS, max_broadcast_rows=0),
-                       role_lookup_from_customer(spark, SF))
-        plan = df._jdf.queryExecution().executedPlan()
-        if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
-            plan = plan.executedPlan()
-        wide = []
-        _wide_exchanges(plan, 20, wide)
-        assert len(wide) == 1 and "__salt" in wide[0], wide
-        assert "SortMergeJoin" in plan.toString()
+        out = S.session_times(log, ["session_id", "participant_id"])
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert len(rows) == 30000
+    assert {r["total_session_sec"] for r in rows if r["session_id"] == 7} == {40000}
+    assert "skew=true" in plan and "collect_set" not in plan
+
+
+def test_listed_sessions_are_renumbered_beside_one_wide_scan(spark, tmp_path, log):
+    from shiftlog.operators.enrich import renumber_tasks
+    path = str(tmp_path / "clean")
+    log.write.parquet(path)
+    df = renumber_tasks(spark.read.parquet(path), [802, 902])
+    plan = _planned(df)
+    wide, narrow = [], []
+    def walk(node):
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            (wide if node.output().size() > 5 else narrow).append(node.toString())
+        for c in _children(node):
+            walk(c)
+    walk(plan)
+    assert len(wide) == 1 and len(narrow) == 2
+    assert all("PushedFilters" in s and "In(session_id" in s for s in narrow)

@@ -386,7 +386,7 @@ def test_lookup_join_hot_session_split_by_aqe(spark):
              .cast("long").alias("session_id"), F.col("id").alias("activity_id"))
         lk = spark.range(600).select(F.col("id").alias("session_id"),
                                      F.concat(F.lit("r"), F.col("id").cast("string")).alias("role"))
-        out = attach_role(df, lk, max_broadcast_rows=0)
+        out = attach_role(df, lk)
         assert out.where(F.col("role") == "r1").count() == 10000
         out.collect()
         assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
@@ -426,8 +426,8 @@ def test_salting_spreads_null_keys_and_keeps_null_safe_matches(spark):
                   .select(SALT).distinct().collect()}
     assert len(null_salts) > 10                                 # NULL keys spread out
     lk = spark.createDataFrame([(None, "x"), (1, "Nurse")], "session_id long, role string")
-    plain = attach_role(salted, lk, hot=hot, max_broadcast_rows=0)
-    safe = attach_role(salted, lk, hot=hot, max_broadcast_rows=0, null_safe=True)
+    plain = attach_role(salted, lk, hot=hot)
+    safe = attach_role(salted, lk, hot=hot, null_safe=True)
     assert plain.where(F.col("role") == "x").count() == 0
     assert safe.where(F.col("role") == "x").count() == 1000
     assert safe.count() == plain.count() == 3000
