@@ -599,5 +599,255 @@ k AS (
 SELECT * FROM out"""
 
 
+# --- variants of the staff chain ---------------------------------------------
+
+Q["clean_log_salted"] = Q["clean_log"]
+Q["renumber_listed_sessions"] = with_clean(
+    f"SELECT {CLEAN_COLS.replace('task_order', 'CASE WHEN session_id IN (802, 902, 1101, 1203) THEN row_number() OVER (PARTITION BY session_id ORDER BY activity_id) ELSE task_order END AS task_order')} FROM clean")
+
+
+def changed(sql: str, *steps: tuple[str, str]) -> str:
+    for old, new in steps:
+        assert old in sql, old
+        sql = sql.replace(old, new)
+    return sql
+
+
+EARLY = "(day(CAST(session_date AS DATE)) <= 15)"
+CLEAN_TWO = changed(
+    CLEAN,
+    ("CASE WHEN session_id = 801 THEN 802 ELSE session_id END AS session_id)",
+     f"CASE WHEN session_id = 801 AND {EARLY} THEN 802 ELSE session_id END AS session_id,\n"
+     f"    activity_id + CASE WHEN {EARLY} THEN 0 ELSE 144115188075855872 END AS activity_id)"),
+    ("CASE WHEN session_id = 802 THEN 32400", f"CASE WHEN session_id = 802 AND {EARLY} THEN 32400"),
+    ("CASE WHEN session_id = 802 THEN 79200", f"CASE WHEN session_id = 802 AND {EARLY} THEN 79200"),
+    ("LEFT JOIN lk ON fix2.session_id = lk.session_id)",
+     f"LEFT JOIN lk ON fix2.session_id = lk.session_id WHERE {EARLY} OR lk.role IS NOT NULL)"))
+Q["clean_log_two_exports"] = Q["clean_log"].replace(CLEAN, CLEAN_TWO)
+Q["location_summary_first_two_exports"] = Q["location_summary_first"].replace(CLEAN, CLEAN_TWO)
+
+CLEAN_TABLES = changed(
+    CLEAN,
+    ("CASE WHEN session_id = 1203 THEN 'GL 16' WHEN session_id = 1101 THEN 'GL14'\n"
+     "                ELSE participant_id END AS participant_id",
+     "coalesce((SELECT max(c_name) FROM customer WHERE c_acctbal < 0\n"
+     "                    AND c_custkey * 100 + 15 = joined.session_id),\n"
+     "                  CASE WHEN session_id = 1203 THEN 'GL 16' WHEN session_id = 1101 THEN 'GL14'\n"
+     "                       ELSE participant_id END) AS participant_id"),
+    ("WHERE session_id NOT IN (1003, 1104) AND task_id <> '1_801_7'",
+     "WHERE session_id NOT IN (1003, 1104)\n"
+     "    AND session_id NOT IN (SELECT c_custkey * 100 + 20 FROM customer WHERE c_nationkey = 3)\n"
+     "    AND task_id IS NOT NULL AND task_id NOT IN (SELECT task_id FROM src WHERE comments = 'c45')"))
+Q["clean_log_from_tables"] = Q["clean_log"].replace(CLEAN, CLEAN_TABLES)
+
+CLEAN_NOTEBOOK = changed(
+    CLEAN,
+    ("CASE WHEN session_id = 902 THEN 43276 ELSE session_end_sec END\n                    AS session_end_sec",
+     "CASE WHEN session_id IN (802, 902, 1203)\n"
+     "                         THEN renumbered ELSE task_order END AS task_order"),
+    ("  FROM der\n", "  FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY activity_id)\n"
+                      "                AS renumbered\n"
+                      "        FROM der WHERE session_id NOT IN (1003, 1104) AND task_id <> '1_801_7') der\n"),
+    (f"NULLIF({WITH_LABEL}, '') AS with_whom", f"coalesce(NULLIF({WITH_LABEL}, ''), 'No one') AS with_whom"),
+    (f"NULLIF({HOW_LABEL}, '') AS how", f"coalesce(NULLIF({HOW_LABEL}, ''), 'None') AS how"))
+Q["notebook_clean_log"] = Q["clean_log"].replace(CLEAN, CLEAN_NOTEBOOK)
+
+# --- presentation forms -------------------------------------------------------
+
+SLICE = "CASE WHEN grouping(role) = 1 THEN 'All' ELSE role END AS role_slice"
+Q["tool_by_location_by_role"] = with_clean(
+    f"SELECT {SLICE}, location, {tool_cols()} FROM clean WHERE {TOOL_USED} "
+    f"GROUP BY GROUPING SETS ((role, location), (location))")
+Q["location_summary_by_role"] = with_clean(f"""
+SELECT {SLICE}, location, {ndist('session_id')} AS n_sessions, {r(prop_sum(X), 2)} AS total_time_min,
+       string_agg(DISTINCT coalesce(what, 'NA'), ', ' ORDER BY coalesce(what, 'NA'))
+         AS activities_list
+FROM clean GROUP BY GROUPING SETS ((role, location), (location))""")
+Q["location_matrix_shown"] = f"""SELECT role_slice, what, total_time, n_act, corridors,
+       CASE WHEN role_slice <> 'AUTOMOBILE' THEN other END AS other
+FROM ({Q['location_matrix_by_role']}) m WHERE role_slice IN ('All', 'BUILDING', 'AUTOMOBILE')"""
+Q["role_slice_activity_share"] = with_clean(f"""
+SELECT what AS activity, {r('t', 2)} AS time_min, {r('sum(t) OVER ()', 1)} AS share_min FROM g""",
+    f"g AS (SELECT what, coalesce(sum({X}), 0) AS t FROM clean WHERE role = 'BUILDING' GROUP BY what)")
+Q["union_filling"] = with_clean("""
+SELECT what, location, count(*) AS n FROM clean GROUP BY what, location
+UNION ALL SELECT NULL, NULL, count(*) FROM clean""")
+
+
+def placed(name: str, key: str, order: str) -> str:
+    return (f"SELECT '{name}' AS table_name, row_number() OVER (ORDER BY {order}) AS place, "
+            f"CAST({key} AS VARCHAR) AS key FROM ({Q[name]}) t")
+
+
+Q["report_row_order"] = "\nUNION ALL\n".join([
+    placed("activity_summary", "what", "total_time_min DESC NULLS LAST, what NULLS LAST"),
+    placed("location_summary", "location", "total_time_min DESC NULLS LAST, location NULLS LAST"),
+    placed("tool_by_activity", "what", "total_time DESC NULLS LAST, what NULLS LAST"),
+    placed("location_matrix", "what", "total_time DESC NULLS LAST, what NULLS LAST"),
+    changed(placed("headcount_by_role", "metric", "count DESC NULLS LAST, metric NULLS LAST"),
+            (ROLE_LABEL.format(default="role"), "role")),
+    changed(placed("dataset_overview", "metric",
+                   "CASE metric WHEN 'Unique sessions' THEN 0 WHEN 'Unique observers' THEN 1 "
+                   "WHEN 'Unique HCWs' THEN 2 ELSE 3 END, "
+                   "CASE WHEN metric LIKE 'Unique%' THEN NULL ELSE count END DESC NULLS LAST, "
+                   "metric NULLS LAST"),
+            (ROLE_LABEL.format(default="role"), "role")),
+    placed("waiting_time", "session_id", "session_id, waiting_time_min DESC NULLS LAST"),
+    placed("provider_contact_time", "session_id", "session_id, dr_nurse_min DESC NULLS LAST")])
+
+# --- report bundles as lines --------------------------------------------------
+
+TEXT = {"observer_id", "sessions", "total_sessions", "total_time_hms", "what", "subcategory",
+        "location", "session_id", "session_date", "time_slot", "participant_id",
+        "session_start_sec", "session_end_sec", "total_session_sec", "total_session_hms",
+        "task_order", "with_whom", "how", "comments", "role_slice", "metric", "count", "tool",
+        "n_act", "n_sessions", "activities_list", "pct_label", "display_rank", "sheet_name",
+        "description"}
+
+
+def lines(sheet: str, sql: str, columns: str, text: tuple[str, ...] = ()) -> str:
+    """The sheet's rows as text, cells in the order of the columns' names."""
+    cells = [f"coalesce(CAST({c} AS VARCHAR), 'NA')" if c in TEXT or c in text
+             else f"coalesce(CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR), 'NA')"
+             for c in sorted(columns.split())]
+    return f"SELECT '{sheet}' AS sheet, concat_ws('|', {', '.join(cells)}) AS line FROM ({sql}) t"
+
+
+OBSERVER = ("observer_id sessions n_activities_avg avg_session_min total_time_min total_time_sec "
+            "total_time_hms")
+ACTIVITY = "what total_sessions total_time_min avg_time_min max_time_min min_time_min pct_time"
+TIMES = ("session_date observer_id time_slot session_id participant_id session_start_sec "
+         "session_end_sec")
+DETAIL = "session_id observer_id task_order what location with_whom comments"
+
+SHEET_TEXT = {
+    "observer_summary": "Per observer: sessions, mean activities per session, mean session "
+                        "minutes, total activity minutes and time, with a Total row",
+    "sessions_times": "Per session: date, observer, time slot, participant, start, end and "
+                      "total time",
+    "activity_summary": "Per activity: sessions, total / mean / max / min minutes and share "
+                        "of all time",
+    "session_detail": "Per activity row: session, observer, order, category, place, "
+                      "companions, tools, comments and minutes / seconds",
+    "waiting_time_session": "Per session that waited: waiting minutes and their share of the "
+                            "session",
+    "with_dr_nurse_time": "Per session: minutes with a doctor or nurse and their share of the "
+                          "session (0 when none)",
+}
+
+
+def catalog(names: list[str]) -> str:
+    rows = ", ".join(f"('{n}', '{SHEET_TEXT[n]}')" for n in names)
+    return f"SELECT * FROM (VALUES {rows}) v(sheet_name, description)"
+
+
+def bundle(clean_ctes: str, times: str, times_columns: str, how: str = " how",
+           more: tuple[tuple[str, str, str], ...] = ()) -> str:
+    """The script bundles' sheets over a ``clean`` table."""
+    def over(name: str) -> str:
+        return changed(Q[name], (CLEAN, clean_ctes))
+
+    detail = over("session_detail") if how else changed(over("session_detail"), ("with_whom, how,", "with_whom,"))
+    sheets = [("observer_summary", over("observer_summary"), OBSERVER, ("total_time_sec",)),
+              ("sessions_times", over(times), times_columns, ()),
+              ("activity_summary", over("activity_summary"), ACTIVITY, ()),
+              ("session_detail", detail, DETAIL + how + " total_activity_min total_time_sec", ()),
+              *((n, over(q), c, ()) for n, q, c in more)]
+    names = [s[0] for s in sheets]
+    return "\nUNION ALL\n".join([lines("report_summary", catalog(names), "sheet_name description"),
+                                 *(lines(*s) for s in sheets)])
+
+
+HMS_TIMES = TIMES + " total_session_sec total_session_hms"
+CLERK = Q["clerk_clean_log"][len("WITH "):Q["clerk_clean_log"].rindex("\nSELECT * FROM out")] \
+    + ",\nclean AS (SELECT * FROM out)"
+Q["staff_bundle"] = bundle(CLEAN, "session_times", HMS_TIMES)
+Q["clerk_bundle"] = bundle(CLERK, "session_minutes", TIMES + " total_session_min")
+Q["patient_bundle"] = bundle(PATIENT, "session_times", HMS_TIMES, "", (
+    ("waiting_time_session", "waiting_time",
+     "session_id what waiting_time_min total_session_min waiting_pct"),
+    ("with_dr_nurse_time", "provider_contact_time",
+     "session_id dr_nurse_min total_session_min dr_nurse_pct")))
+
+TOOL_NAMES = [("paper_time", "Paper Time"), ("computer_time", "Computer Time"),
+              ("mobile_time", "Mobile Time"), ("phone_time", "Phone Time")]
+FIRST_BY_ROLE = with_clean(f"""
+SELECT a.role_slice, a.location, a.n_sessions, a.total_time_min, l.activities_list
+FROM a LEFT JOIN l ON a.location IS NOT DISTINCT FROM l.location
+                  AND a.role_slice IS NOT DISTINCT FROM l.role_slice""", f"""
+a AS (SELECT {SLICE}, location, {ndist('session_id')} AS n_sessions,
+             {r(prop_sum(X), 2)} AS total_time_min
+      FROM clean GROUP BY GROUPING SETS ((role, location), (location))),
+f AS (SELECT {SLICE}, location, coalesce(what, 'NA') AS item, min(activity_id) AS first_id
+      FROM clean GROUP BY GROUPING SETS ((role, location, coalesce(what, 'NA')),
+                                         (location, coalesce(what, 'NA')))),
+l AS (SELECT role_slice, location, string_agg(item, ', ' ORDER BY first_id) AS activities_list
+      FROM f GROUP BY role_slice, location)""")
+OVER_ROLES = ("All", "BUILDING", "AUTOMOBILE")
+
+
+def overview(clean_ctes: str, slices: bool, shown: list[str], heat: list[str], hide: str) -> str:
+    """The notebooks' tables, with role slices or of all rows alone."""
+    def over(sql: str) -> str:
+        sql = changed(sql, (CLEAN, clean_ctes))
+        keep = ", ".join(f"'{s}'" for s in OVER_ROLES)
+        return f"SELECT * FROM ({sql}) s WHERE role_slice IN ({keep})" if slices else sql
+
+    def either(name: str) -> str:
+        return over(Q[name + ("_by_role" if slices else "")])
+
+    part = "role_slice " if slices else ""
+    ids = "role_slice, what" if slices else "what"
+    hidden = hide or "FALSE"
+    matrix = either("location_matrix")
+    tools = either("tool_by_activity")
+    if slices:
+        head = changed(Q["dataset_overview"], (CLEAN, clean_ctes),
+                       (ROLE_LABEL.format(default="role"), ROLE_LABEL.format(
+                           default="'- ' || coalesce(role, 'NA')")),
+                       ("SELECT DISTINCT participant_id, role", "SELECT DISTINCT participant_id, session_id, role"))
+        summary = over(Q["activity_summary_by_role"])
+    else:
+        head = changed(Q["dataset_overview"], (CLEAN, clean_ctes))
+        head = head[:head.rindex("\nUNION ALL SELECT")]
+        summary = (f"SELECT * FROM ({changed(Q['activity_summary_by_role'], (CLEAN, clean_ctes))}) s "
+                   f"WHERE role_slice = 'All'")
+    away = {c: f"CASE WHEN NOT ({hidden}) OR '{c}' <> 'other' THEN {c} END" for c, _ in EVENT_LOCS}
+    cells = ", ".join(f"{away[c]} AS {c}" for c in shown)
+    long = long_form("m", ids, [(c, c) for c in heat], "location")
+    long = (f"WITH m AS (SELECT {ids}, {', '.join(f'{away[c]} AS {c}' for c in heat)} FROM ({matrix}) x) "
+            f"SELECT * FROM ({long}) y WHERE minutes IS NOT NULL")
+    sheets = [
+        ("dataset_overview", head, "metric count"),
+        ("observer_statistics", changed(Q["observer_summary_brief"], (CLEAN, clean_ctes)),
+         "observer_id sessions n_activities_avg avg_time_min"),
+        ("activity_summary", summary, part + ACTIVITY + " avg_act_session"),
+        ("activity_share", either("activity_share"),
+         part + "what activity_time pct_time pct_label display_rank activity_total_min"),
+        ("subcategory_share", changed(Q["subcategory_share"], (CLEAN, clean_ctes)),
+         "what subcategory activity_time pct_time pct_label"),
+        ("tool_by_activity", tools, part + "what total_time paper_time computer_time mobile_time phone_time"),
+        ("tool_long", f"WITH tt AS ({tools}) " + long_form("tt", ids, TOOL_NAMES, "tool"),
+         part + "what tool minutes heat label"),
+        ("location_summary", over(FIRST_BY_ROLE if slices else Q["location_summary_first"]),
+         part + "location n_sessions total_time_min activities_list"),
+        ("location_matrix", f"SELECT {ids}, total_time, n_act, {cells} FROM ({matrix}) x",
+         part + "what total_time n_act " + " ".join(shown)),
+        ("location_long", long, part + "what location minutes heat label"),
+        ("tool_by_location", either("tool_by_location"),
+         part + "location total_time paper_time computer_time mobile_time phone_time")]
+    if slices:
+        sheets.append(("subcategory_share_by_role", either("subcategory_share"),
+                       part + "what subcategory activity_time pct_time pct_label"))
+    return "\nUNION ALL\n".join(lines(*s) for s in sheets)
+
+
+Q["overview_bundle"] = overview(CLEAN_NOTEBOOK, True,
+                                ["corridors", "workstation", "treatment_room", "other"],
+                                ["corridors", "workstation", "treatment_room", "other"],
+                                "role_slice = 'AUTOMOBILE'")
+Q["clerk_overview"] = overview(CLERK, False, [c for c, _ in EVENT_LOCS], ["workstation", "other"], "")
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(Q)

@@ -72,10 +72,11 @@ TOOLS = [("how_paper", "paper_time", "Paper Time"),
 
 
 def tool_time(df: DataFrame, key: str = "what", role: str | None = None,
-              roles: Sequence[str] | None = None, tools=TOOLS) -> DataFrame:
+              roles: Sequence[str] | None = None, tools=TOOLS, sort: bool = False) -> DataFrame:
     """Rows where a tool was used; per key the minutes with each tool
     (``sum(minutes * flag)``, NA skipped, 1 place) and all minutes.  A row
-    using two tools counts for both, so the parts may exceed the total."""
+    using two tools counts for both, so the parts may exceed the total.
+    ``sort`` puts the longest first within a slice."""
     x = F.col(ACT_MIN)
 
     def measures(m: Rows) -> list[Column]:
@@ -84,7 +85,13 @@ def tool_time(df: DataFrame, key: str = "what", role: str | None = None,
 
     used = df.where(tool_used([flag for flag, _, _ in tools]))
     agg, part = sliced(used, [key], measures, role, roles)
-    return agg.select(*part, key, "total_time", *[out for _, out, _ in tools])
+    out = agg.select(*part, key, "total_time", *[out for _, out, _ in tools])
+    return _longest_first(out, part, key) if sort else out
+
+
+def _longest_first(df: DataFrame, part: Sequence[str], key: str) -> DataFrame:
+    return sort_small(df, *[F.col(p).asc_nulls_last() for p in part],
+                      F.col("total_time").desc_nulls_last(), F.col(key).asc_nulls_last())
 
 
 def to_long(df: DataFrame, ids: Sequence[str], values: Mapping[str, str],
@@ -148,13 +155,17 @@ def location_summary(df: DataFrame, key: str = "location", item: str = "what",
 def location_matrix(df: DataFrame, locations: Sequence[tuple[str, str]], key: str = "what",
                     where: str = "location", role: str | None = None,
                     roles: Sequence[str] | None = None,
-                    show: Sequence[str] | None = None) -> DataFrame:
+                    show: Sequence[str] | None = None,
+                    hidden: Mapping[str, Sequence[str]] | None = None,
+                    sort: bool = False) -> DataFrame:
     """Per activity: row count, minutes (1 place) and one column per listed
     location with the minutes spent there (1 place, 0 when none).
 
     ``locations`` is ``[(column, location value), ...]`` -- a parameter,
     so no job is spent discovering pivot values and the output schema is
-    fixed.  ``show`` keeps a subset of location columns (presentation).
+    fixed.  ``show`` keeps a subset of location columns (presentation);
+    ``hidden`` names, per role slice, columns that are not shown there (NULL).
+    ``sort`` puts the longest first within a slice.
     """
     x = F.col(ACT_MIN)
 
@@ -165,14 +176,21 @@ def location_matrix(df: DataFrame, locations: Sequence[tuple[str, str]], key: st
 
     agg, part = sliced(df, [key], measures, role, roles)
     cols = [c for c, _ in locations] if show is None else list(show)
-    return agg.select(*part, key, "total_time", "n_act", *cols)
+    shown = [F.when(~F.coalesce(F.col("role_slice").isin(
+        [s for s, away in hidden.items() if c in away]), F.lit(False)), F.col(c)).alias(c)
+        if part and hidden and any(c in away for away in hidden.values()) else F.col(c) for c in cols]
+    out = agg.select(*part, key, "total_time", "n_act", *shown)
+    return _longest_first(out, part, key) if sort else out
 
 
 def location_long(matrix: DataFrame, locations: Sequence[tuple[str, str]],
                   key: str = "what") -> DataFrame:
+    """Long form of the matrix's columns among ``locations``; cells that a
+    slice does not show are left out."""
     ids = [c for c in ("role_slice", key) if c in matrix.columns]
     have = set(matrix.columns)
-    return to_long(matrix, ids, {c: c for c, _ in locations if c in have}, "location", "minutes")
+    long = to_long(matrix, ids, {c: c for c, _ in locations if c in have}, "location", "minutes")
+    return long.where(F.col("minutes").isNotNull())
 
 
 # ---------------------------------------------------------------------------

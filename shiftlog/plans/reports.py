@@ -9,6 +9,7 @@ re-reads files), then writes one dataset per table.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,34 +67,48 @@ def patient_bundle(log: DataFrame, waiting_value: str = "Waiting Time",
     return {"report_summary": _catalog(log.sparkSession, list(out)), **out}
 
 
-def overview_bundle(log: DataFrame, locations: Sequence[tuple[str, str]],
-                    roles: Sequence[str] | None = ("Nurse", "Physician"),
-                    role_labels: Mapping[str, str] | None = None,
-                    headcount_keys: Sequence[str] = ("participant_id",),
-                    prefix_others: str | None = None,
-                    shown_locations: Sequence[str] | None = None,
-                    role: str | None = "role") -> dict[str, DataFrame]:
-    """Notebook overview tables.  With ``role`` set every breakdown carries
-    an ``All`` slice and one slice per listed role, from one grouping-sets
-    pass per table; ``role=None`` gives the all-rows tables only (clerk
-    notebook)."""
-    r = role
-    tools = B.tool_time(log, role=r, roles=roles)
-    matrix = B.location_matrix(log, locations, role=r, roles=roles)
+@dataclass(frozen=True)
+class Overview:
+    """What a notebook shows: the matrix's locations (``shown``: its columns,
+    ``heat``: those of the heat map, by default the shown ones; ``hidden``:
+    columns that a role slice leaves out), the role slices besides all rows
+    (``role=None``: none) and how the headcount is taken and labelled."""
+
+    locations: Sequence[tuple[str, str]]
+    shown: Sequence[str] | None = None
+    heat: Sequence[str] | None = None
+    hidden: Mapping[str, Sequence[str]] = field(default_factory=dict)
+    role: str | None = "role"
+    roles: Sequence[str] | None = ("Nurse", "Physician")
+    role_labels: Mapping[str, str] = field(default_factory=dict)
+    head_keys: Sequence[str] = ("participant_id",)
+    prefix_others: str | None = None
+
+
+def overview_bundle(log: DataFrame, show: Overview) -> dict[str, DataFrame]:
+    """Notebook overview tables.  With a role every breakdown carries an
+    ``All`` slice and one slice per listed role, from one read per table;
+    ``role=None`` gives the all-rows tables only (clerk notebook)."""
+    r, roles = show.role, show.roles
+    tools = B.tool_time(log, role=r, roles=roles, sort=True)
+    columns = [c for c, _ in show.locations]
+    matrix = B.location_matrix(log, show.locations, role=r, roles=roles, hidden=show.hidden,
+                               sort=True)
+    heat = show.heat or show.shown or columns
     out = {
-        "dataset_overview": B.dataset_overview(log, role=r, head_keys=headcount_keys,
-                                               labels=role_labels, prefix_others=prefix_others),
+        "dataset_overview": B.dataset_overview(log, role=r, head_keys=show.head_keys,
+                                               labels=show.role_labels,
+                                               prefix_others=show.prefix_others),
         "observer_statistics": S.observer_summary(log, brief=True),
         "activity_summary": S.activity_summary(log, per_session=True, role=r, roles=roles),
         "activity_share": B.activity_share(log, role=r, roles=roles),
         "subcategory_share": B.subcategory_share(log),
         "tool_by_activity": tools,
         "tool_long": B.tool_long(tools),
-        "location_summary": B.location_summary(log, role=r, roles=roles),
-        "location_matrix": B.location_matrix(log, locations, role=r, roles=roles,
-                                             show=shown_locations),
-        "location_long": B.location_long(matrix, locations),
-        "tool_by_location": B.tool_time(log, key="location", role=r, roles=roles),
+        "location_summary": B.location_summary(log, order="first", role=r, roles=roles),
+        "location_matrix": matrix.drop(*[c for c in columns if show.shown and c not in show.shown]),
+        "location_long": B.location_long(matrix, [x for x in show.locations if x[0] in heat]),
+        "tool_by_location": B.tool_time(log, key="location", role=r, roles=roles, sort=True),
     }
     if r:
         out["subcategory_share_by_role"] = B.subcategory_share(log, digits=1, role=r, roles=roles)

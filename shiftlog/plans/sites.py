@@ -8,8 +8,11 @@ so every stage of the chain changes some rows there.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from shiftlog.operators.cleaning import Correction
 from shiftlog.plans.cleaning import CleaningConfig
+from shiftlog.plans.reports import Overview
 
 # Category spellings the reference corrects.
 STAFF_RECODES = {
@@ -36,6 +39,14 @@ REFERENCE_HOSPITAL_STAFF = CleaningConfig(
     exclude_tasks=["10175_10260_60"],
 )
 
+# The hospital notebook's own chain (labels, one session's tasks
+# renumbered, no late fix of session 10260).
+REFERENCE_HOSPITAL_NOTEBOOK = replace(
+    REFERENCE_HOSPITAL_STAFF,
+    corrections=[c for c in REFERENCE_HOSPITAL_STAFF.corrections if c.stage != "late"],
+    labels="notebook", renumber_sessions=[10203])
+
+# The polyclinic's exclusions, in its script and its notebook.
 REFERENCE_POLYCLINIC_STAFF = CleaningConfig(
     dataset="polyclinic_staff",
     form="staff_v1",
@@ -43,8 +54,14 @@ REFERENCE_POLYCLINIC_STAFF = CleaningConfig(
     exclude_sessions=[10398, 10360, 10195],
 )
 
+REFERENCE_POLYCLINIC_NOTEBOOK = replace(
+    REFERENCE_POLYCLINIC_STAFF, exclude_sessions=[10398, 10360], labels="notebook",
+    participant_from_lookup=True)
+
 REFERENCE_CLERK = CleaningConfig(dataset="clerk", form="clerk")
+REFERENCE_CLERK_NOTEBOOK = replace(REFERENCE_CLERK, labels="notebook")
 
+# The patient log's corrections.
 REFERENCE_PATIENT = CleaningConfig(
     dataset="patient",
     form="patient",
@@ -85,6 +102,10 @@ EVENTS_PATIENT = CleaningConfig(
 
 EVENTS_CLERK = CleaningConfig(dataset="events_clerk", form="clerk", labels="notebook")
 
+# The hospital notebook's kind of chain.
+EVENTS_NOTEBOOK = replace(EVENTS, corrections=[c for c in EVENTS.corrections if c.stage != "late"],
+                          labels="notebook", renumber_sessions=[802, 902, 1203])
+
 EVENTS_POLYCLINIC = CleaningConfig(
     dataset="events_polyclinic",
     form="staff_v1",
@@ -104,9 +125,8 @@ HOSPITAL_LOCATIONS = [
     ("plaster_room", "Plaster Room"), ("medication_room", "Medication Room"),
     ("consultation_room", "Consultation Room"),
 ]
-HOSPITAL_LOCATIONS_SHOWN = ["corridors", "workstation", "observation_room", "triage_area",
-                            "treatment_room", "other", "ambulance_bay", "waiting_area",
-                            "registration", "medication_room", "consultation_room"]
+
+# Location columns of the clerks' matrix.
 CLERK_LOCATIONS = [
     ("reception_desk", "Reception Desk"), ("other", "Other"), ("waiting_area", "Waiting Area"),
     ("hallway", "Hallway"), ("nurse_station", "Nurse Station"), ("triage_area", "Triage Area"),
@@ -120,3 +140,26 @@ LINEITEM_LOCATION_COLUMNS = [("treatment_room", "Treatment Room"), ("corridors",
 # Report labels of roles in the headcount rows.
 HOSPITAL_ROLE_LABELS = {"Nurse": "- Nurses", "Physician": "- Physicians", "Other": "- Others"}
 EVENT_ROLE_LABELS = {"BUILDING": "- Building", "AUTOMOBILE": "- Automobile"}
+
+# What the notebooks show of the location matrix, how they label
+# roles and what they count heads by.
+HOSPITAL_OVERVIEW = Overview(
+    HOSPITAL_LOCATIONS,
+    shown=["corridors", "workstation", "observation_room", "triage_area", "treatment_room",
+           "other", "ambulance_bay", "waiting_area", "registration", "medication_room",
+           "consultation_room"],
+    hidden={"Physician": ["ambulance_bay", "consultation_room"]}, role_labels=HOSPITAL_ROLE_LABELS)
+POLYCLINIC_OVERVIEW = Overview(
+    HOSPITAL_LOCATIONS,
+    shown=["corridors", "workstation", "observation_room", "triage_area", "treatment_room",
+           "other", "ambulance_bay", "waiting_area", "registration", "consultation_room"],
+    hidden={"Physician": ["ambulance_bay"]}, role_labels=HOSPITAL_ROLE_LABELS,
+    head_keys=("participant_id", "session_id"), prefix_others="- ")
+CLERK_OVERVIEW = Overview(
+    CLERK_LOCATIONS, heat=["other", "waiting_area", "hallway", "nurse_station", "triage_area",
+                           "treatment_room"], role=None)
+EVENT_OVERVIEW = Overview(
+    EVENT_LOCATION_COLUMNS, shown=["corridors", "workstation", "treatment_room", "other"],
+    hidden={"AUTOMOBILE": ["other"]}, roles=("BUILDING", "AUTOMOBILE"),
+    role_labels=EVENT_ROLE_LABELS, head_keys=("participant_id", "session_id"), prefix_others="- ")
+EVENT_CLERK_OVERVIEW = Overview(EVENT_LOCATION_COLUMNS, heat=["workstation", "other"], role=None)

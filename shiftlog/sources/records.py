@@ -86,8 +86,18 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = ","
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     lines = _lines(spark, paths)
-    header = F.min_by("value", F.struct("block", "at"))
-    heads = lines.groupBy("file").agg(F.sum("odd").alias("file_odds"), header.alias("header"))
+    so_far = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("file")
+    blocks = (lines.groupBy("file", "block")
+              .agg(F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odds"), F.min("at").alias("first"))
+              .select("file", "block", "first",
+                      F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("lines_before"),
+                      F.coalesce(F.sum("odds").over(so_far), F.lit(0)).alias("odds_before"),
+                      F.sum("odds").over(whole).alias("file_odds")))
+    files = blocks.where("block = 0").select("file", "first", "file_odds")
+    # the line that each file begins with
+    heads = (lines.where("block = 0").select("file", F.col("at").alias("first"), "value")
+             .join(files, ["file", "first"]).withColumnRenamed("value", "header"))
     kinds = (heads.groupBy("header").agg(F.sum(F.col("file_odds") % 2).alias("torn"),
                                          F.max("file_odds").alias("odds"),
                                          F.min(F.when(F.col("file_odds") % 2 == 1, F.col("file")))
@@ -102,20 +112,14 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], sep: str = ","
         if k["torn"] and torn == "fail":
             raise ValueError(f"a quote is never closed in {k['example']} "
                              f"({k['torn']} such files)")
-    layouts = [_fields(k["header"].lstrip("﻿").rstrip("\r"), sep) for k in kinds]
-    layout = F.lit(None).cast("int")
-    for i, k in enumerate(kinds):
+    layouts = [_fields(k["header"].lstrip("\ufeff").rstrip("\r"), sep) for k in kinds]
+    layout = F.lit(0)
+    for i, k in enumerate(kinds[1:], 1):
         layout = F.when(F.col("header") == k["header"], i).otherwise(layout)
-    files = heads.select("file", "file_odds", layout.alias("layout"),
-                         (F.row_number().over(Window.orderBy("file")) - 1).alias("file_no"))
-
-    so_far = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = (lines.groupBy("file", "block")
-              .agg(F.count(F.lit(1)).alias("n"), F.sum("odd").alias("odds"), F.min("at").alias("first"))
-              .select("file", "block", "first",
-                      F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("lines_before"),
-                      F.coalesce(F.sum("odds").over(so_far), F.lit(0)).alias("odds_before"))
-              .join(files, "file"))
+    files = (heads if len(kinds) > 1 else files).select(
+        "file", layout.alias("layout"),
+        (F.row_number().over(Window.orderBy("file")) - 1).alias("file_no"))
+    blocks = blocks.join(files, "file")
     # both scans are planned together, so they have the same splits
     placed = (lines.join(blocks, ["file", "block"])
               .withColumn("line", F.col("lines_before") + F.col("at") - F.col("first")))

@@ -118,7 +118,8 @@ def test_every_query_has_an_oracle():
 
 
 def test_report_bundles_write_and_read(spark, log, tmp_path):
-    from shiftlog.plans.reports import overview_bundle, patient_bundle, staff_bundle, write_bundle
+    from shiftlog.plans.reports import (Overview, overview_bundle, patient_bundle, staff_bundle,
+                                        write_bundle)
     from shiftlog.sources.sinks import read_report
     paths = write_bundle(events_log(spark, SF), staff_bundle, str(tmp_path / "staff"))
     back = read_report(spark, {k: v for k, v in paths.items() if k != "processed"})
@@ -129,11 +130,11 @@ def test_report_bundles_write_and_read(spark, log, tmp_path):
     pat = patient_bundle(log, waiting_value="view")
     assert "how" not in pat["session_detail"].columns
     assert pat["with_dr_nurse_time"].count() == log.select("session_id").distinct().count()
-    ov = overview_bundle(log, EVENT_LOCATION_COLUMNS, roles=["BUILDING"])
+    ov = overview_bundle(log, Overview(EVENT_LOCATION_COLUMNS, roles=["BUILDING"]))
     slices = {r.role_slice for r in ov["activity_summary"].select("role_slice").collect()}
     assert slices == {"All", "BUILDING"}
     assert ov["location_long"].count() == ov["location_matrix"].count() * 5
-    clerk = overview_bundle(log, EVENT_LOCATION_COLUMNS, role=None)
+    clerk = overview_bundle(log, Overview(EVENT_LOCATION_COLUMNS, role=None))
     assert "role_slice" not in clerk["activity_share"].columns
 
 
