@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from shiftlog.operators.cleaning import (Correction, apply_correction_table, apply_corrections,
@@ -431,3 +432,126 @@ def test_salting_spreads_null_keys_and_keeps_null_safe_matches(spark):
     assert plain.where(F.col("role") == "x").count() == 0
     assert safe.where(F.col("role") == "x").count() == 1000
     assert safe.count() == plain.count() == 3000
+
+
+def _site(spark, tmp_path, site, exports, lookups=(), overview=True):
+    from shiftlog.__main__ import main
+    from shiftlog.sources.sinks import read_report
+    args = ["--site", site, "--out", str(tmp_path / "out")]
+    for form, text in exports:
+        args += ["--export", f"{form}={_write(tmp_path, f'{form}-{len(args)}.csv', text)}"]
+    for i, text in enumerate(lookups):
+        args += ["--lookup", _write(tmp_path, f"lk{i}.csv", text)]
+    paths = main([*args, *(["--overview"] if overview else [])])
+    return {k: df.collect() for k, df in read_report(spark, paths).items()}
+
+
+def test_command_line_polyclinic(spark, tmp_path):
+    lookup = ("participant id;participant_id_2;session id;health_professional_desc\n"
+              "A1;Z9;501;Nurse\nC3;;504;Physician\n")
+    got = _site(spark, tmp_path, "polyclinic_staff",
+                [("staff_v1", staff_csv()), ("staff_v2", staff_csv("staff_v2"))], [lookup])
+    # the script keeps the log's participant and rows without a role
+    assert len(got["processed"]) == 12
+    assert {r["participant_id"] for r in got["processed"] if r["session_id"] == 501} == {"A1"}
+    assert {r["participant_id"] for r in got["overview_processed"] if r["session_id"] == 501} == {"Z9"}
+    assert {r["participant_id"] for r in got["overview_processed"] if r["session_id"] == 504} == {"C3"}
+    assert {r["how"] for r in got["overview_processed"] if r["session_id"] == 503} == {"None"}
+    metrics = {r["metric"]: r["count"] for r in got["overview_dataset_overview"]}
+    assert metrics["Unique sessions"] == 4 and metrics["- Nurses"] == 1 and "- NA" in metrics
+    columns = got["overview_location_matrix"][0].asDict()
+    assert {"corridors", "consultation_room"} <= set(columns)
+    assert not {"xray_ct", "plaster_room", "medication_room"} & set(columns)
+    cells = [(r["role_slice"], r["location"]) for r in got["overview_location_long"]]
+    assert ("All", "ambulance_bay") in cells and ("Physician", "ambulance_bay") not in cells
+
+
+def test_command_line_clerk(spark, tmp_path):
+    second = "participant id;participant_id_2;session id;health_professional_desc\nC3;;504;Clerk\n"
+    got = _site(spark, tmp_path, "clerk", [("clerk", staff_csv("clerk"))], [lookup_csv(), second])
+    assert {(r["session_id"], r["role"]) for r in got["processed"]} == {
+        (501, "Nurse"), (502, "Physician"), (503, None), (504, "Clerk")}
+    assert "total_session_min" in got["sessions_times"][0].asDict()
+    assert "role_slice" not in got["overview_activity_share"][0].asDict()
+    assert "reception_desk" in got["overview_location_matrix"][0].asDict()
+    assert "reception_desk" not in {r["location"] for r in got["overview_location_long"]}
+    assert [r["metric"] for r in got["overview_dataset_overview"]] == [
+        "Unique sessions", "Unique observers", "Unique HCWs"]
+
+
+def test_command_line_patient(spark, tmp_path):
+    got = _site(spark, tmp_path, "patient", [("patient", staff_csv("patient"))], overview=False)
+    assert {"waiting_time_session", "with_dr_nurse_time"} <= set(got)
+    assert "how" not in got["session_detail"][0].asDict()
+    assert [r["session_id"] for r in got["waiting_time_session"]] == [502]
+    with pytest.raises(SystemExit):
+        _site(spark, tmp_path, "patient", [("patient", staff_csv("patient"))])
+
+
+def test_hospital_notebook_renumbers_and_keeps_its_late_session(spark, tmp_path):
+    """The notebook renumbers session 10203 and has no fix of 10260; the script
+    the other way round."""
+    rows = [(1, s, f"1_{s}_{i + 5}", "A", "2025-03-23", "08:00:00", "13:00:00", f"08:0{i}:00",
+             f"08:1{i}:00", "00:05:00", "00:05:00", "Care", "0", "Corridors", "", *[0] * 12)
+            for s in (10202, 10203, 10260) for i in range(2)]
+    got = _site(spark, tmp_path, "hospital_staff", [("staff_v1", staff_csv(rows=rows))], [lookup_csv()])
+    script = sorted((r["session_id"], r["task_order"]) for r in got["processed"])
+    assert script == [(10203, 5), (10203, 5), (10203, 6), (10203, 6), (10260, 5), (10260, 6)]
+    notebook = sorted((r["session_id"], r["task_order"]) for r in got["overview_processed"])
+    assert notebook == [(10203, 1), (10203, 2), (10203, 3), (10203, 4), (10260, 5), (10260, 6)]
+    assert {r["session_end_sec"] for r in got["processed"] if r["session_id"] == 10260} == {43276}
+    assert {r["session_end_sec"] for r in got["overview_processed"]
+            if r["session_id"] == 10260} == {46800}
+
+
+def test_corrections_from_a_table(spark):
+    from shiftlog.operators.cleaning import CORRECTION_SCHEMA, CorrectionTable
+    df = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (None, "c", 30)],
+                               "session_id long, participant_id string, session_end_sec long")
+    rows = [("t", "raw", 1, "session_id", "1", "session_id", "2"),
+            ("t", "raw", 2, "session_id", "2", "session_end_sec", "77"),
+            ("t", "raw", 3, "session_id", "2", "session_end_sec", "78"),
+            ("t", "late", 4, "participant_id", "b", "session_end_sec", "oops"),
+            ("other", "raw", 5, "session_id", "2", "participant_id", "x")]
+    table = spark.createDataFrame(rows, CORRECTION_SCHEMA)
+    fixes = CorrectionTable(table, [("raw", "session_id", "session_id"),
+                                    ("raw", "session_id", "session_end_sec"),
+                                    ("late", "participant_id", "session_end_sec")], "t")
+    fixes.check()
+    got = fixes.apply(df, "raw")
+    assert sorted(map(tuple, got.collect()), key=str) == [
+        (2, "a", 78), (2, "b", 78), (None, "c", 30)]
+    assert fixes.apply(df, "late").where("participant_id = 'b'").first()["session_end_sec"] is None
+    with pytest.raises(ValueError, match="no step"):
+        CorrectionTable(table, fixes.steps[:1], "t").check()
+
+
+def test_union_ids_are_unique_over_exports(spark, tmp_path):
+    paths = [_write(tmp_path, f"{i}.csv", staff_csv()) for i in range(3)]
+    exports = [Export(read_activity_log(spark, p, "staff_v1")) for p in paths]
+    log = clean_log(exports, CleaningConfig(dataset="t"))
+    ids = [r["activity_id"] for r in log.select("activity_id").collect()]
+    assert len(ids) == len(set(ids)) == 18
+
+
+def test_require_role_keeps_the_origin_of_other_rows(spark):
+    """A session without a role: rows of an export that requires one go, and
+    do not set the origin of the others."""
+    from tests.fixtures import ROW_KEYS
+    base = dict.fromkeys(ROW_KEYS, 0) | {"session_id": 1, "task_id": "1_1_1", "what": "x",
+                                         "subcategory": "0", "end_sec": 500, "elapsed_sec": 0}
+    cols = ["activity_id", *base]
+    kinds = ", ".join(f"{c} " + ("string" if c in ("task_id", "participant_id", "session_date", "what",
+                                                   "subcategory", "location", "comments") else "bigint")
+                      for c in cols)
+
+    def rows(start):
+        values = base | {"start_sec": start, "participant_id": "p", "session_date": "d",
+                         "location": "l", "comments": "c"}
+        return spark.createDataFrame([(1, *values.values())], kinds)
+
+    lk = spark.createDataFrame([(2, "Nurse")], "session_id long, role string")
+    for salted in (False, True):
+        log = clean_log([Export(rows(300)), Export(rows(100), require_role=True)],
+                        CleaningConfig(dataset="t", salted=salted, hot_rows=0), lk)
+        assert [(r["start_sec"], r["start_norm_sec"]) for r in log.collect()] == [(300, 0)]
