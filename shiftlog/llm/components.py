@@ -39,3 +39,24 @@ def components(links: DataFrame) -> DataFrame:
         to = lower.select(F.col("node").alias("label"), F.col("label").alias("next"))
         labels = stored(lower.join(to, "label").select("node", F.col("next").alias("label")),
                         "labels")
+
+
+def merged(whole: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``components`` of all links so far, from those of the earlier ones
+    (None: no earlier links) and the new ``links``.
+
+    New links are taken between the components their ends are in, so every
+    link is looked at once, whatever the number of rounds it stays in.
+    """
+    if whole is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        of_end = whole.select(F.col("node").alias(end), F.col("component").alias(f"__{end}"))
+        ends = ends.join(of_end, end, "left")
+    joined = components(ends.select(*(F.coalesce(f"__{end}", end).alias(end) for end in ("a", "b"))))
+    to = joined.select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    known = whole.join(to, "component", "left").select("node", F.coalesce("__to", "component")
+                                                       .alias("component"))
+    fresh = joined.join(whole, "node", "left_anti")  # ends that had no link before
+    return stored(known.unionByName(fresh), "components")

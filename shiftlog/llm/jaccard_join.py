@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from shiftlog.llm.common import (batch_of, pack_numbers, rows_of, squeeze, stored, text_of,
                                  unpack_numbers)
-from shiftlog.llm.components import components
+from shiftlog.llm.components import merged
 from shiftlog.llm.shingles import shingle_sets
 
 #: Link: PERCENT of the union or more is common.
@@ -358,12 +358,13 @@ def _star_pairs(entries: DataFrame, seeds: range) -> DataFrame:
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _alive(entries: DataFrame, whole: DataFrame) -> DataFrame:
-    """Entries with their present component, of keys with more than one; a
-    key that has only one left can propose nothing."""
-    named = stored(entries.select("key", "id", "n").join(
-        whole.withColumnRenamed("node", "id"), "id", "left")
-        .withColumn("component", F.coalesce("component", "id")), "entries")
+def _alive(entries: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """Entries with their present component (None: no links yet), of keys with
+    more than one; a key that has only one left can propose nothing."""
+    named = entries.select("key", "id", "n", "component")
+    if whole is not None:
+        named = stored(named.drop("component").join(whole.withColumnRenamed("node", "id"), "id", "left")
+                       .withColumn("component", F.coalesce("component", "id")), "entries")
     keys = stored(named.groupBy("key").agg(F.min("component").alias("x"),
                                            F.max("component").alias("y"), F.count("*").alias("k"))
                   .where(F.col("x") != F.col("y")).select("key", "k"), "alive")
@@ -382,12 +383,13 @@ def class_components(sets: DataFrame) -> DataFrame:
     reps = stored(reps.withColumn("id", F.monotonically_increasing_id()), "reps")
     entries = reps.select("id", "n", F.explode("keys").alias("key"),
                           F.col("id").alias("component"))
-    links, whole = None, None
+    whole = None
     for seeds in ROUNDS:
         found = verify(_star_pairs(entries, seeds), reps)
-        links = found if links is None else links.union(found)
-        whole = components(links)
-        entries = _alive(entries, whole)
+        new = not found.isEmpty()
+        whole = merged(whole, found) if new else whole
+        if new or "k" not in entries.columns:
+            entries = _alive(entries, whole)
     # a large key is cut into parts, and every pair of parts is a group
     parts = F.ceil(F.col("k") / PART).cast("int")
     other = F.col("other")
@@ -400,7 +402,7 @@ def class_components(sets: DataFrame) -> DataFrame:
               .select("key", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
                       "id", "component", "n", "point", "part", "lowest"))
     more = verify(stored(tree_pairs(groups), "candidates"), reps)
-    whole = components(links.union(more))
+    whole = merged(whole, more)
     names = reps.select("id", "class")
     return (whole.join(names.withColumnRenamed("id", "node"), "node")
             .join(names.select(F.col("id").alias("component"), F.col("class").alias("whole")),

@@ -34,3 +34,15 @@ def test_random_graphs(spark, seed):
 
 def test_no_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_merged_in_rounds_is_components_of_all(spark):
+    from shiftlog.llm.components import merged
+    rng = random.Random(8)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(45)]
+    whole = None
+    for at in (0, 10, 11, 30, 45):
+        part = links[at:{0: 10, 10: 11, 11: 30, 30: 45, 45: 45}[at]]
+        whole = merged(whole, spark.createDataFrame(part, "a long, b long"))
+    want = components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, want.collect()))

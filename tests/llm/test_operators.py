@@ -129,6 +129,27 @@ def sets_of(text):
     return frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4))
 
 
+@pytest.mark.parametrize("n", range(7))
+def test_short_texts_and_slices_of_few_words(n):
+    """0 to 6 words alone, beside others and after a full slice of text."""
+    from shiftlog.llm import shingles
+    text = " ".join("abcdef"[:n])
+    full = "w " * (shingles.SLICE // 2 + 5)
+    for before in ([], ["x"], ["a b c d e f g"], [full], [""]):
+        alone = shingles.shingle_sets([text])[0]
+        assert len(alone) == (0 if n == 0 else max(1, n - 4))
+        beside = shingles.shingle_sets([*before, text, "y z"])
+        assert beside[len(before)].tolist() == alone.tolist()
+
+
+def test_near_duplicates_of_short_texts_alone(spark):
+    rows = [(1, "a b c"), (2, ""), (3, "A b C"), (4, None)]
+    for some in (rows[:1], rows[:2], rows):
+        got = jaccard_join.near_duplicates(spark.createDataFrame(some, "doc_id long, text string"))
+        assert sorted(map(tuple, got.collect())) == [
+            (i, int(bool(t)), 1 if t else i) for i, t in some]
+
+
 def test_jaccard_components(spark, docs, empty):
     rng = random.Random(9)
     rows = [(d, t) for d, t, *_ in awkward() if d is not None]
