@@ -11,7 +11,7 @@ no sort: a piece has its rank within its task and length, and the counts per
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,8 +27,8 @@ CAPACITY = 1024
 #: Pre-token pattern of a byte-level tokenizer file (its own default).
 BYTE_LEVEL = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-_PIECES = ("doc_id long, piece int, start long, length int, task long, rank long, "
-           "input_ids array<int>")
+_PIECES = "doc_id long, piece int, start long, length int, task long, rank long"
+_IDS, _DIGEST = "input_ids array<int>", "ids_digest long"
 
 
 @dataclass(frozen=True)
@@ -89,13 +89,16 @@ def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> list[Slot
     return plan
 
 
-def tokenise_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
-    """One row per piece with its ids and its rank within task and length.
+def tokenise_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int,
+                    digest: Callable[[bytes], int] | None = None) -> DataFrame:
+    """One row per piece with its ids (or their ``digest``, taken of their
+    little-endian 32-bit form) and its rank within task and length.
 
     A document is its ids then ``end_id``; one longer than ``capacity`` is cut
     into pieces of ``capacity``, the first one taking the remainder.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path))
+    last_kind = _DIGEST if digest else _IDS
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(content.value, BYTE_LEVEL)
@@ -105,24 +108,27 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
         def flush(rows, ids):
             cols = list(zip(*rows))
             lengths = np.array(cols[3])
+            last = (pa.array(cols[5], pa.int64()) if digest else
+                    int_lists(np.frombuffer(b"".join(ids), "<i4"),
+                              np.concatenate([[0], lengths.cumsum()])))
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()),
-                 pa.array([task] * len(rows), pa.int64()), pa.array(cols[4], pa.int64()),
-                 int_lists(np.frombuffer(b"".join(ids), "<i4"),
-                           np.concatenate([[0], lengths.cumsum()]))],
-                names=["doc_id", "piece", "start", "length", "task", "rank", "input_ids"])
+                 pa.array([task] * len(rows), pa.int64()), pa.array(cols[4], pa.int64()), last],
+                names=["doc_id", "piece", "start", "length", "task", "rank", last_kind.split()[0]])
 
         rows, ids, held = [], [], 0
         for batch in batches:
             for doc, text in zip(*rows_of(batch, "doc_id", "text")):
                 coded = enc.encode(text) + end
                 total = len(coded) // 4
-                ids.append(coded)
+                if not digest:
+                    ids.append(coded)
                 start, piece = 0, 0
                 while start < total:
                     length = (total - 1) % capacity + 1 if piece == 0 else capacity
-                    rows.append((doc, piece, start, length, seen[length]))
+                    own = digest(coded[4 * start:4 * (start + length)]) if digest else None
+                    rows.append((doc, piece, start, length, seen[length], own))
                     seen[length] += 1
                     start, piece = start + length, piece + 1
                 held += total
@@ -132,19 +138,25 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
         if rows:
             yield flush(rows, ids)
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, _PIECES)
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, f"{_PIECES}, {last_kind}")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2,
-         capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int = CAPACITY,
+         digest: Callable[[bytes], int] | None = None) -> DataFrame:
     """Pieces of all documents with their place: doc_id, piece, start, length,
     input_ids, sequence_id, offset.
 
+    With ``digest`` the ids do not leave the tasks that make them: instead of
+    ``input_ids`` there is ``ids_digest`` (long), for those who want the places
+    alone.
+
     Null text is the empty text (one piece, the end id); a null or repeated
     doc_id is packed like any other row; an empty table gives no rows; other
     columns are ignored.  Equal lengths are ranked in scan order.
     """
-    pieces = stored(tokenise_pieces(docs, tokenizer_path, end_id, capacity), "pieces")
+    last_kind = _DIGEST if digest else _IDS
+    last = last_kind.split()[0]
+    pieces = stored(tokenise_pieces(docs, tokenizer_path, end_id, capacity, digest), "pieces")
     per_task = pieces.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("task").rowsBetween(
         Window.unboundedPreceding, -1)
@@ -156,7 +168,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2,
     plan = sorted(plan_best_fit(counts, capacity), key=lambda s: (s.length, s.first_rank))
     ranked = (pieces.join(offsets, ["length", "task"])
               .select("doc_id", "piece", "start", "length",
-                      (F.col("before") + F.col("rank")).alias("rank"), "input_ids"))
+                      (F.col("before") + F.col("rank")).alias("rank"), last))
     # the plan's size follows the capacity, so every task can hold it
     slots = np.array([[s.length, s.first_rank, s.first_sequence, s.offset, s.stack] for s in plan],
                      np.int64).reshape(-1, 5)
@@ -175,8 +187,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2,
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in range(3)), pa.array(length), batch.column(5),
                  pa.array(s[:, 2] + i // s[:, 4]), pa.array(s[:, 3] + i % s[:, 4] * length)],
-                names=["doc_id", "piece", "start", "length", "input_ids", "sequence_id",
-                       "offset"])
+                names=["doc_id", "piece", "start", "length", last, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(take, "doc_id long, piece int, start long, length long, "
-                                   "input_ids array<int>, sequence_id long, offset long")
+    return ranked.mapInArrow(take, f"doc_id long, piece int, start long, length long, {last_kind}, "
+                                   "sequence_id long, offset long")

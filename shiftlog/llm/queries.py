@@ -3,14 +3,10 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
-import numpy as np
 import public_tokenizers
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shiftlog.llm import (bpe_words, conversations, ego_join, filter_audit, fingerprints,
                           jaccard_join, licenses, packing, pii, quality, sharding, token_counts,
@@ -18,26 +14,6 @@ from shiftlog.llm import (bpe_words, conversations, ego_join, filter_audit, fing
 from shiftlog.llm.common import stored, table
 
 
-def with_list_digest(df: DataFrame, column: str, name: str, kind: str, digest) -> DataFrame:
-    """``column`` (array<int>) replaced by a digest of its values' bytes
-    (little-endian, 32 bits each)."""
-    fields = [f for f in df.schema.fields if f.name != column]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(column)
-            lists = batch.column(at)
-            ends = lists.offsets.to_numpy()
-            flat = lists.values.to_numpy().astype("<i4", copy=False)
-            out = [digest(np.ascontiguousarray(flat[a:b]).data) for a, b in zip(ends, ends[1:])]
-            keep = [batch.column(i) for i in range(batch.num_columns) if i != at]
-            names = [n for n in batch.schema.names if n != column]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(out)], names=[*names, name])
-
-    schema = T.StructType([*fields, T.StructField(name, T._parse_datatype_string(kind))])
-    return df.mapInArrow(run, schema)
-
-
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -118,9 +94,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = packing.pack(table(spark, sf_dir, "documents"),
-                          public_tokenizers.path("byte_bpe_50k.json"))
-    return (with_list_digest(placed, "input_ids", "ids_crc32", "bigint", zlib.crc32)
-            .select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"))
+                          public_tokenizers.path("byte_bpe_50k.json"), digest=zlib.crc32)
+    return placed.select("doc_id", "piece", "start", "length", F.col("ids_digest").alias("ids_crc32"),
+                         "sequence_id", "offset")
 
 
 def op9_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
