@@ -66,6 +66,10 @@ def balance(slot_bytes: dict[int, int], shards: int, current: dict[int, int]) ->
     return {s: i for i, h in enumerate(held) for s in h if current[s] != i}
 
 
+#: Copies of one record that one task numbers.
+CHUNK = 65_536
+
+
 class SlotMap:
     """The versions of one map, as a Parquet table; version 0 deals the slots
     in turn, and every later version holds only the slots it moves."""
@@ -106,18 +110,27 @@ class SlotMap:
 
 
 def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, slot of every row, written once.
+    """doc_id, size, text_crc32, virtual_slot of every row, written once.
 
     The slot hashes the id, the text's checksum and, so that copies of one
-    record cannot overload a slot, the row's number in its scan task.
+    record cannot overload a slot, the number of the copy.  It depends on the
+    rows alone, not on how files are split: equal rows are counted, and the
+    counts give rows numbered from 0 again, a large count in chunks that
+    different tasks take.
     """
     sized = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + RECORD_BYTES).cast("long").alias("size"),
-        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"),
-        F.monotonically_increasing_id().alias("row"))
-    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "row"), F.lit(slots)).cast("int")
-    return stored(sized.withColumn("virtual_slot", slot).drop("row"), "records")
+        F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).alias("text_crc32"))
+    key = ["doc_id", "size", "text_crc32"]
+    chunks = (sized.groupBy(*key).agg(F.count("*").alias("n"))
+              .select(*key, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1,
+                                                      F.lit(CHUNK).cast("long"))).alias("first"))
+              .repartition(*key, "first"))
+    last = F.least(F.col("n"), F.col("first") + CHUNK) - 1
+    rows = chunks.select(*key, F.explode(F.sequence("first", last)).alias("copy"))
+    slot = F.pmod(F.xxhash64("doc_id", "text_crc32", "copy"), F.lit(slots)).cast("int")
+    return stored(rows.withColumn("virtual_slot", slot).drop("copy"), "records")
 
 
 def shard(docs: DataFrame, shards: int, map_path: str | None = None,

@@ -121,6 +121,16 @@ def test_shards_are_even_and_gapless(spark, docs, empty, tmp_path):
     assert kept.read(0) == {s: s % 4 for s in range(16)} and set(kept.read().values()) == set(range(5))
 
 
+def test_slots_are_a_function_of_the_rows(docs, monkeypatch):
+    """The same slots however the rows are split, copies and null ids too."""
+    many = docs.union(docs).union(docs)
+    want = counted(sharding.records(many.coalesce(1)).collect())
+    assert sum(want.values()) == 3 * len(awkward())
+    assert counted(sharding.records(many.repartition(7)).collect()) == want
+    monkeypatch.setattr(sharding, "CHUNK", 2)
+    assert counted(sharding.records(many).collect()) == want
+
+
 def sets_of(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", lower)
