@@ -28,7 +28,8 @@ CAPACITY = 1024
 BYTE_LEVEL = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
 _PIECES = "doc_id long, piece int, start long, length int, task long, rank long"
-_IDS, _DIGEST = "input_ids array<int>", "ids_digest long"
+#: Ids travel as bytes (little-endian, 32 bits each): one value a piece.
+_PACKED, _IDS, _DIGEST = "ids binary", "input_ids array<int>", "ids_digest long"
 
 
 @dataclass(frozen=True)
@@ -98,45 +99,41 @@ def tokenise_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, capacity:
     into pieces of ``capacity``, the first one taking the remainder.
     """
     content = docs.sparkSession.sparkContext.broadcast(read_file(tokenizer_path))
-    last_kind = _DIGEST if digest else _IDS
+    last_kind = _DIGEST if digest else _PACKED
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(content.value, BYTE_LEVEL)
         task, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
         end = np.array([end_id], "<u4").tobytes()
 
-        def flush(rows, ids):
+        def flush(rows):
             cols = list(zip(*rows))
-            lengths = np.array(cols[3])
-            last = (pa.array(cols[5], pa.int64()) if digest else
-                    int_lists(np.frombuffer(b"".join(ids), "<i4"),
-                              np.concatenate([[0], lengths.cumsum()])))
+            last = pa.array(cols[5], pa.int64() if digest else pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
                  pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int32()),
                  pa.array([task] * len(rows), pa.int64()), pa.array(cols[4], pa.int64()), last],
                 names=["doc_id", "piece", "start", "length", "task", "rank", last_kind.split()[0]])
 
-        rows, ids, held = [], [], 0
+        rows, held = [], 0
         for batch in batches:
             for doc, text in zip(*rows_of(batch, "doc_id", "text")):
                 coded = enc.encode(text) + end
                 total = len(coded) // 4
-                if not digest:
-                    ids.append(coded)
                 start, piece = 0, 0
                 while start < total:
                     length = (total - 1) % capacity + 1 if piece == 0 else capacity
-                    own = digest(coded[4 * start:4 * (start + length)]) if digest else None
-                    rows.append((doc, piece, start, length, seen[length], own))
+                    own = coded[4 * start:4 * (start + length)]
+                    rows.append((doc, piece, start, length, seen[length],
+                                 digest(own) if digest else own))
                     seen[length] += 1
                     start, piece = start + length, piece + 1
                 held += total
                 if held >= 1_000_000:
-                    yield flush(rows, ids)
-                    rows, ids, held = [], [], 0
+                    yield flush(rows)
+                    rows, held = [], 0
         if rows:
-            yield flush(rows, ids)
+            yield flush(rows)
 
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(cut, f"{_PIECES}, {last_kind}")
 
@@ -168,7 +165,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
     plan = sorted(plan_best_fit(counts, capacity), key=lambda s: (s.length, s.first_rank))
     ranked = (pieces.join(offsets, ["length", "task"])
               .select("doc_id", "piece", "start", "length",
-                      (F.col("before") + F.col("rank")).alias("rank"), last))
+                      (F.col("before") + F.col("rank")).alias("rank"), "ids_digest" if digest else "ids"))
     # the plan's size follows the capacity, so every task can hold it
     slots = np.array([[s.length, s.first_rank, s.first_sequence, s.offset, s.stack] for s in plan],
                      np.int64).reshape(-1, 5)
@@ -184,8 +181,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
                 own = length == k
                 at[own] = lo[k] + np.searchsorted(slots[lo[k]:hi[k], 1], rank[own], "right") - 1
             s, i = slots[at], rank - slots[at, 1]
+            held = batch.column(5)
+            if not digest:
+                held = int_lists(np.frombuffer(b"".join(held.to_pylist()), "<i4"),
+                                 np.concatenate([[0], length.cumsum()]))
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(3)), pa.array(length), batch.column(5),
+                [*(batch.column(k) for k in range(3)), pa.array(length), held,
                  pa.array(s[:, 2] + i // s[:, 4]), pa.array(s[:, 3] + i % s[:, 4] * length)],
                 names=["doc_id", "piece", "start", "length", last, "sequence_id", "offset"])
 
