@@ -42,7 +42,7 @@ PERCENT = 80
 #: add nothing to an overlap.
 GROUPS = 256
 #: Characters of text in a block and bytes of text per bucket of fine groups.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 5_000_000
 BUCKET_BYTES = 12_000_000
 #: Points in a node of the tree, and in one part of a large group.
 NODE = 32
