@@ -34,7 +34,7 @@ from shiftlog.llm.common import (batch_of, extended, pack_numbers, rows_of, sque
                                  unpack_numbers)
 
 #: Characters of text in a block: bounds a worker's memory and a block's rows.
-BLOCK_CHARS = 6_000_000
+BLOCK_CHARS = 4_500_000
 #: Bytes of text for each word bucket; the number of buckets follows the input.
 BUCKET_BYTES = 8_000_000
 
