@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from shiftlog.llm.common import (batch_of, extended, pack_numbers, rows_of, sque
                                  unpack_numbers)
 
 #: Characters of text in a block: bounds a worker's memory and a block's rows.
-BLOCK_CHARS = 4_500_000
+BLOCK_CHARS = 6_000_000
 #: Bytes of text for each word bucket; the number of buckets follows the input.
 BUCKET_BYTES = 8_000_000
 
@@ -117,9 +117,26 @@ def _blocks(texts: DataFrame, pattern: str, kind: str, schema: pa.Schema, rows)
     return texts.mapInArrow(split, kind)
 
 
-def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
+def decoder(content: bytes) -> Callable[[bytes | None], bytes | None]:
+    """Packed ids -> bytes, by the table of token bytes; null for null ids and
+    for an id outside the table."""
+    token = {i: t for t, i in ranks_of(content).items()}
+
+    def run(packed: bytes | None) -> bytes | None:
+        try:
+            return None if packed is None else b"".join(
+                [token[i] for i in np.frombuffer(packed, "<u4").tolist()])
+        except KeyError:
+            return None
+
+    return run
+
+
+def encode(docs: DataFrame, rank_path: str, pattern: str, decoded: bool = False) -> DataFrame:
     """doc_id, ids of every whole text, each match of ``pattern`` encoded by
     itself; ids are packed as little-endian unsigned 32-bit integers (binary).
+    ``decoded`` adds what :func:`decode` would, in the tasks that put the ids
+    together: half as many Python workers at a time.
 
     Null text is the empty text (no ids); null and repeated doc_ids keep one
     result per row; an empty table gives no rows; other columns are ignored.
@@ -171,32 +188,30 @@ def encode(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
             cuts = ends[np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])]
             doc_ids += docs_
             out += [own[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()),
-                         "ids": pa.array(out, pa.binary())})
+        made = {"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(out, pa.binary())}
+        if decoded:
+            made["decoded"] = pa.array([*map(decoder(content.value), out)], pa.binary())
+        return pa.table(made)
 
     words = (_blocks(texts, pattern, _WORDS, _WORDS_ARROW, lambda b: b.word_rows(buckets))
              .groupBy("bucket").applyInArrow(encode_words, _WORDS))
     places = _blocks(texts, pattern, _PLACES, _PLACES_ARROW, lambda b: b.place_rows(buckets))
     return (places.groupBy("block").cogroup(words.groupBy("block"))
-            .applyInArrow(reassemble, "doc_id long, ids binary"))
+            .applyInArrow(reassemble, "doc_id long, ids binary" + ", decoded binary" * decoded))
 
 
 def decode(encoded: DataFrame, rank_path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded`` (binary): its packed ids joined with the
     token bytes, in order.  Null ids give null, as does an id outside the
-    table; no ids give no bytes."""
+    table; no ids give no bytes.  An old ``decoded`` is replaced."""
     content = encoded.sparkSession.sparkContext.broadcast(read_file(rank_path))
 
+    encoded = encoded.drop("decoded")
+
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = {i: t for t, i in ranks_of(content.value).items()}
+        run = decoder(content.value)
         for batch in batches:
-            out = []
-            for packed in rows_of(batch, ids)[0]:
-                try:
-                    own = None if packed is None else np.frombuffer(packed, "<u4").tolist()
-                    out.append(None if own is None else b"".join([token[i] for i in own]))
-                except KeyError:
-                    out.append(None)
+            out = [run(packed) for packed in rows_of(batch, ids)[0]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())],
                                              names=[*batch.schema.names, "decoded"])
 

@@ -42,8 +42,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_bpe_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(RANKS)
-    encoded = bpe_words.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
-    return bpe_words.decode(encoded, path).select(
+    encoded = bpe_words.encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN,
+                               decoded=True)
+    return encoded.select(
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

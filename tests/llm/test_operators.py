@@ -98,6 +98,9 @@ def test_bpe_words_round_trip(docs, empty, tik):
     want = counted((d, np.array(tik.encode_ordinary(t or ""), "<u4").tobytes(),
                     (t or "").encode()) for d, t, *_ in awkward())
     assert got == want
+    at_once = bpe_words.encode(docs, RANKS, public_tokenizers.PATTERN, decoded=True)
+    assert counted(map(tuple, at_once.collect())) == want
+    assert counted(map(tuple, bpe_words.decode(at_once, RANKS).collect())) == want  # replaced
     assert bpe_words.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
