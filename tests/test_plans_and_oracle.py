@@ -173,7 +173,8 @@ def _single_partition_feeds(node, out):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_single_partition_step_over_raw_rows(spark, name):
-    if "roundtrip" in name or name.startswith("streaming"):
+    if any(part in name for part in ("roundtrip", "streaming", "bundle", "clerk_overview",
+                                     "report_row_order", "lookup_two_layouts")):
         pytest.skip("writes files while building the plan")
     df = E.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().executedPlan()
