@@ -118,6 +118,15 @@ def activity_log_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _session_bounds(base).select(*LOG_COLUMNS)
 
 
+def by_day(cust: DataFrame, *cols) -> DataFrame:
+    """``cols`` of every customer for each of 31 days (``day``), as a lookup
+    to join.  Spark's estimate of its size does not see the explode and is 31
+    times too small, so joins with it are shuffle joins: a broadcast chosen by
+    that estimate would take the whole lookup through the driver."""
+    days = F.explode(F.sequence(F.lit(1), F.lit(31))).alias("day")
+    return cust.select(*cols, days).hint("merge")
+
+
 def role_lookup_from_customer(spark: SparkSession, sf_dir: str,
                               role_expr=None, where=None) -> DataFrame:
     """Role lookup keyed by ``session_id``: one row per customer with a
@@ -131,11 +140,9 @@ def role_lookup_from_customer(spark: SparkSession, sf_dir: str,
     if where is not None:
         cond = cond & where
     role = F.col("c_mktsegment") if role_expr is None else role_expr
-    return (cust.where(cond)
-            .select(F.col("c_name").alias("healthcare_work_id"),
-                    F.col("c_custkey"), F.col("c_nationkey").cast("int").alias("role_code"),
-                    role.alias("role"),
-                    F.explode(F.sequence(F.lit(1), F.lit(31))).alias("day"))
+    return (by_day(cust.where(cond), F.col("c_name").alias("healthcare_work_id"),
+                   F.col("c_custkey"), F.col("c_nationkey").cast("int").alias("role_code"),
+                   role.alias("role"))
             .select("healthcare_work_id",
                     (F.col("c_custkey") * 100 + F.col("day")).cast("bigint").alias("session_id"),
                     "role_code", "role"))
@@ -145,10 +152,9 @@ def participant_lookup_from_customer(spark: SparkSession, sf_dir: str) -> DataFr
     """Polyclinic-style lookup: ``session_id``, ``participant_id_2``
     (customer name when the balance exceeds 5000, else NULL) and role."""
     cust = table(spark, sf_dir, "customer")
-    return (cust.where(F.col("c_acctbal") > 0)
-            .select(F.when(F.col("c_acctbal") > 5000, F.col("c_name")).alias("participant_id_2"),
-                    "c_custkey", F.col("c_mktsegment").alias("role"),
-                    F.explode(F.sequence(F.lit(1), F.lit(31))).alias("day"))
+    return (by_day(cust.where(F.col("c_acctbal") > 0),
+                   F.when(F.col("c_acctbal") > 5000, F.col("c_name")).alias("participant_id_2"),
+                   "c_custkey", F.col("c_mktsegment").alias("role"))
             .select((F.col("c_custkey") * 100 + F.col("day")).cast("bigint").alias("session_id"),
                     "participant_id_2", "role"))
 
