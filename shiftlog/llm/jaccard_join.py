@@ -16,7 +16,7 @@ the root each group's documents are joined by an R-tree.
 Copies are one class.  Only components are asked for, so pairs whose ends are
 already connected need no check: a first round verifies each class against
 one other class of its groups, the R-trees then propose what may still join
-two components.
+two components, the likeliest pairs of each component first.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shiftlog.llm.common import (batch_of, pack_numbers, rows_of, squeeze, stored, text_of,
@@ -293,14 +293,40 @@ def _met_before(key: int, lowest: list[list[int]], a: np.ndarray, b: np.ndarray)
     return out
 
 
-def tree_pairs(groups: DataFrame) -> DataFrame:
+def _strongest(a: np.ndarray, b: np.ndarray, comp: np.ndarray, points: np.ndarray,
+               sizes: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """For each component the ``most`` of its pairs with the highest bound on
+    their overlap: the component, the pair, its score (that bound over both
+    sizes) and whether the component has more pairs."""
+    if not len(a):
+        return comp[a], a, b, np.zeros(0), np.zeros(0, bool)
+    bound = np.concatenate([np.minimum(points[a[at:at + (1 << 14)]], points[b[at:at + (1 << 14)]]).sum(1)
+                            for at in range(0, len(a), 1 << 14)])
+    own = np.concatenate([comp[a], comp[b]])
+    score = np.tile(bound / (sizes[a] + sizes[b]), 2)
+    order = np.lexsort((-score, own))
+    starts = np.flatnonzero(np.diff(own[order], prepend=own[order[0]] - 1))
+    counts = np.diff(starts, append=len(order))
+    keep = np.arange(len(order)) - starts.repeat(counts) < most
+    of = order[keep]
+    return own[of], np.tile(a, 2)[of], np.tile(b, 2)[of], score[of], (counts > most).repeat(counts)[keep]
+
+
+_FOUND = "component long, a long, b long, score double, left_out boolean"
+_FOUND_ARROW = pa.schema([("component", pa.int64()), ("a", pa.int64()), ("b", pa.int64()),
+                          ("score", pa.float64()), ("left_out", pa.bool_())])
+
+
+def strong_pairs(groups: DataFrame, most: int) -> DataFrame:
     """Candidate pairs (a, b) of classes of different components within each
-    group (key, i, j) of rows id, component, n, point, part, lowest.
+    group (key, i, j) of rows id, component, n, point, part, lowest: for each
+    ``component`` the ``most`` strongest of its pairs, with their ``score``;
+    ``left_out`` where the component has more pairs in the group.
 
     A group is a key's documents, or two parts (i, j) of a large one's.  A
     pair is left to the group of a lower key where the keys that both rows
     carry (``lowest``) show that it meets there; the group of its lowest
-    common key always emits it, so none is lost.
+    common key always takes it, so none is lost.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -310,16 +336,17 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
             sizes, parts = np.array(sizes, np.int64), np.array(parts)
             points = np.frombuffer(b"".join(map(zstandard.decompress, points)), "<u2")
             points = points.reshape(len(held), GROUPS).astype(np.int32)
-            comp = np.unique(np.array(comps), return_inverse=True)[1]
+            comp = np.array(comps)
             a, b = RTree(points, sizes).search(points, sizes)
             keep = (a < b) & (comp[a] != comp[b])
             if held[0][1] != held[0][2]:
                 keep &= parts[a] != parts[b]
             a, b = a[keep], b[keep]
             keep = ~_met_before(held[0][0], lowest, a, b)
-            found = {tuple(sorted((names[x], names[y]))) for x, y in zip(a[keep], b[keep])}
-            return pa.RecordBatch.from_arrays(
-                [pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            own, a, b, score, left_out = _strongest(a[keep], b[keep], comp, points, sizes, most)
+            x, y = np.array(names)[a], np.array(names)[b]
+            found = (own, np.minimum(x, y), np.maximum(x, y), score, left_out)
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in found], schema=_FOUND_ARROW)
 
         for batch in batches:
             columns = rows_of(batch, "key", "i", "j", "id", "component", "n", "point", "part",
@@ -334,7 +361,12 @@ def tree_pairs(groups: DataFrame) -> DataFrame:
             yield emit()
 
     return (groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-            .mapInArrow(run, "a long, b long").distinct())
+            .mapInArrow(run, _FOUND))
+
+
+def tree_pairs(groups: DataFrame) -> DataFrame:
+    """All candidate pairs (a, b) of ``strong_pairs``."""
+    return strong_pairs(groups, 1 << 62).select("a", "b").distinct()
 
 
 def _star_pairs(entries: DataFrame, seeds: range) -> DataFrame:
@@ -373,6 +405,49 @@ def _alive(entries: DataFrame, whole: DataFrame | None) -> DataFrame:
 
 #: Seeds of the rounds that verify few pairs per class, before the trees.
 ROUNDS = (range(0, 1), range(1, 4), range(4, 7))
+#: Pairs of a component that the trees' first round verifies, and how many
+#: times as many each further one: in a large group of near copies almost all
+#: pairs are links, and a few for each component join them.
+FIRST_PAIRS = 4
+MORE_PAIRS = 15
+
+
+def _tree_groups(entries: DataFrame, reps: DataFrame) -> DataFrame:
+    """The groups of ``strong_pairs``: a key's classes; a large key is cut into
+    parts, and every pair of parts is a group."""
+    parts = F.ceil(F.col("k") / PART).cast("int")
+    other = F.col("other")
+    # no more than the class's own keys are collected
+    lowest = entries.groupBy("id").agg(
+        F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("lowest"))
+    return (entries.join(reps.select("id", "point"), "id").join(lowest, "id")
+            .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            .select("key", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
+                    "id", "component", "n", "point", "part", "lowest"))
+
+
+def _tree_links(entries: DataFrame, reps: DataFrame, whole: DataFrame | None) -> DataFrame:
+    """``whole`` with the links that the trees find.
+
+    A round verifies the strongest pairs of each component.  A pair that it
+    leaves out is left out of both its components' pairs, so those that had
+    more go on, as what they are joined to by now, to a round with more pairs,
+    until none is left out.
+    """
+    most = FIRST_PAIRS
+    while True:
+        strongest = Window.partitionBy("component").orderBy(F.desc("score"), "a", "b")
+        found = stored(strong_pairs(_tree_groups(entries, reps), most)
+                       .withColumn("rank", F.row_number().over(strongest))
+                       .where(F.col("rank") <= most + 1), "candidates")
+        whole = merged(whole, verify(found.where(F.col("rank") <= most).select("a", "b").distinct(), reps))
+        more = stored(found.where(F.col("left_out") | (F.col("rank") > most)).select("component")
+                      .distinct(), "more")
+        if more.isEmpty():
+            return whole
+        entries = _alive(entries.join(more, "component", "left_semi"), whole)
+        most *= MORE_PAIRS
 
 
 def class_components(sets: DataFrame) -> DataFrame:
@@ -390,19 +465,7 @@ def class_components(sets: DataFrame) -> DataFrame:
         whole = merged(whole, found) if new else whole
         if new or "k" not in entries.columns:
             entries = _alive(entries, whole)
-    # a large key is cut into parts, and every pair of parts is a group
-    parts = F.ceil(F.col("k") / PART).cast("int")
-    other = F.col("other")
-    # no more than the class's own keys are collected
-    lowest = entries.groupBy("id").agg(
-        F.slice(F.sort_array(F.collect_list("key")), 1, CARRIED).alias("lowest"))
-    groups = (entries.join(reps.select("id", "point"), "id").join(lowest, "id")
-              .withColumn("part", F.pmod(F.xxhash64("id"), parts).cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-              .select("key", F.least("part", other).alias("i"), F.greatest("part", other).alias("j"),
-                      "id", "component", "n", "point", "part", "lowest"))
-    more = verify(stored(tree_pairs(groups), "candidates"), reps)
-    whole = merged(whole, more)
+    whole = _tree_links(entries, reps, whole)
     names = reps.select("id", "class")
     return (whole.join(names.withColumnRenamed("id", "node"), "node")
             .join(names.select(F.col("id").alias("component"), F.col("class").alias("whole")),

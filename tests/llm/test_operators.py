@@ -200,6 +200,46 @@ def test_tree_search_keeps_every_possible_link():
     assert set(zip(a.tolist(), b.tolist())) == set(zip(*map(np.ndarray.tolist, np.nonzero(want))))
 
 
+def test_a_group_of_near_copies_needs_few_checks(spark, monkeypatch):
+    """300 texts that almost all link, in 300 components: some checks for each,
+    not all 44850 pairs.  Of two far groups no pair is lost or made."""
+    rng = np.random.default_rng(5)
+    sets = [np.sort(np.concatenate([np.arange(100 * g, 100 * g + 95), 1000 + 5 * d + np.arange(5)]))
+            .astype(np.uint64) for d, g in enumerate(rng.integers(0, 2, 300).tolist())]
+    points = [zstandard.compress(jaccard_join.point_of(s).astype("<u2").tobytes()) for s in sets]
+    reps = spark.createDataFrame([(d, bytearray(p)) for d, p in enumerate(points)], "id long, point binary")
+    entries = spark.createDataFrame([(k, d, 100, d, 300) for d in range(300) for k in (1, 2)],
+                                    "key long, id long, n int, component long, k long")
+    asked = []
+
+    def verify(pairs, _):
+        rows = [tuple(p) for p in pairs.collect()]
+        asked.extend(rows)
+        links = [(a, b) for a, b in rows if jaccard_join.linked(sets[a], sets[b])]
+        return spark.createDataFrame(links, "a long, b long")
+
+    monkeypatch.setattr(jaccard_join, "verify", verify)
+    whole = {r["node"]: r["component"] for r in jaccard_join._tree_links(entries, reps, None).collect()}
+    group = [int(s[0]) for s in sets]
+    assert whole == {d: group.index(g) for d, g in enumerate(group)}
+    assert len(asked) < 10 * 300
+
+
+def test_a_component_whose_strongest_pairs_fail_goes_on(spark, monkeypatch):
+    """Only the weakest of a component's pairs is a link."""
+    size = jaccard_join.GROUPS
+    rows = {0: np.ones(size)} | {d: np.ones(size) for d in range(1, 40)}
+    rows[39] = np.where(np.arange(size) < 10, 0, 1)
+    reps = spark.createDataFrame([(d, bytearray(zstandard.compress(p.astype("<u2").tobytes())))
+                                  for d, p in rows.items()], "id long, point binary")
+    entries = spark.createDataFrame([(7, d, int(p.sum()), d, 40) for d, p in rows.items()],
+                                    "key long, id long, n int, component long, k long")
+    monkeypatch.setattr(jaccard_join, "verify",
+                        lambda pairs, _: pairs.where("a = 3 AND b = 39"))
+    got = jaccard_join._tree_links(entries, reps, None).collect()
+    assert sorted(map(tuple, got)) == [(3, 3), (39, 3)]
+
+
 def test_a_pair_is_left_to_its_lowest_common_key(spark):
     rng = np.random.default_rng(11)
     keys = {d: sorted(int(k) for k in rng.choice(60, rng.integers(1, 50), replace=False) - 30)
