@@ -16,6 +16,8 @@ def spark(tmp_path_factory):
          .config("spark.sql.shuffle.partitions", "8")
          .config("spark.ui.enabled", "false")
          .config("spark.sql.session.timeZone", "UTC")
+         # plan tests look for the path of a scan, which Spark else cuts at 100 characters
+         .config("spark.sql.maxMetadataStringLength", "2000")
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     # tests own their checkpoint folder (a cluster names a shared one)
