@@ -14,9 +14,14 @@ def write_processed(df: DataFrame, path: str, fmt: str = "parquet",
                     partition_by: Sequence[str] = ("session_date",),
                     mode: str = "overwrite") -> str:
     """Write the cleaned log.  Parquet partitioned by ``session_date`` so a
-    date filter prunes files; ``fmt="csv"`` writes a header CSV."""
-    w = df.write.mode(mode)
+    date filter prunes files; ``fmt="csv"`` writes a header CSV.
+
+    Rows are brought together by date first, else every task would write a
+    file for every date; the adaptive plan splits a date that holds much."""
     parts = [p for p in partition_by if p in df.columns]
+    if parts:
+        df = df.hint("rebalance", *parts)
+    w = df.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts)
     if fmt == "csv":
