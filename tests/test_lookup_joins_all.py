@@ -25,6 +25,7 @@ def _lookup_broadcasts(node, below=False):
     "activity_summary_by_role",
     "clean_log",
     "clean_log_from_tables",
+    "clean_log_salted",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
