@@ -30,6 +30,7 @@ def _lookup_broadcasts(node, below=False):
     "clerk_clean_log",
     "dataset_overview",
     "headcount_by_role",
+    "headcount_by_role_sessions",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
