@@ -31,6 +31,7 @@ def _lookup_broadcasts(node, below=False):
     "dataset_overview",
     "headcount_by_role",
     "headcount_by_role_sessions",
+    "location_long",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
