@@ -33,6 +33,7 @@ def _lookup_broadcasts(node, below=False):
     "headcount_by_role_sessions",
     "location_long",
     "location_matrix",
+    "location_matrix_by_role",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
