@@ -37,6 +37,7 @@ def _lookup_broadcasts(node, below=False):
     "location_matrix_shown",
     "location_summary",
     "location_summary_by_role",
+    "location_summary_first",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
