@@ -38,6 +38,7 @@ def _lookup_broadcasts(node, below=False):
     "location_summary",
     "location_summary_by_role",
     "location_summary_first",
+    "location_summary_first_two_exports",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
