@@ -40,6 +40,7 @@ def _lookup_broadcasts(node, below=False):
     "location_summary_first",
     "location_summary_first_two_exports",
     "notebook_clean_log",
+    "observer_summary",
 ])
 def test_no_customer_lookup_is_broadcast_itself(spark, name):
     assert not _lookup_broadcasts(_planned(E.queries()[name](spark, SF)))
