@@ -10,7 +10,8 @@ Where that cannot help (a join side that ends in an aggregate on the same keys,
 adaptive execution off) keys holding more than ``HOT_ROWS`` rows ("hot": at most
 rows / ``HOT_ROWS`` of them) can be salted: their rows get a salt
 (:func:`add_salt`), and shuffle joins are keyed on (key, salt) with the other
-side's hot rows copied per salt (:func:`salt_side`).
+side's hot rows copied per salt (:func:`salt_side`).  Which keys are hot reaches
+the rows as a broadcast of at most ``MARK_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -84,17 +85,27 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> Da
             .where(F.col("__rows") > hot_rows).select(*keys))
 
 
+# Hot keys are marked by a bit of their hash, in this many words of 64 bits: what
+# passes through the driver does not grow with the number of hot keys.
+MARK_WORDS = 131_072
+
+
 def _mark_hot(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds ``__is_hot``: the row's key is hot, or NULL (NULL keys match
     nothing in an equi-join, so spreading them is free and keeps a mass of
-    NULL keys out of one task)."""
-    marked = df.join(F.broadcast(hot.select(*keys, F.lit(True).alias("__hot"))),
-                     list(keys), "left")
-    any_null = F.lit(False)
+    NULL keys out of one task).  A key whose hash shares its bit with a hot
+    key's counts as hot: the mark is a function of the key, the same on both
+    sides of a salted join, so such a key is spread as well and loses nothing."""
+    kinds = dict(hot.dtypes)            # a lookup's int hashes as the log's bigint
+    at = F.pmod(F.xxhash64(*[F.col(k).try_cast(kinds[k]) for k in keys]), F.lit(64 * MARK_WORDS))
+    word, bit = F.shiftright(at, 6), F.pmod(at, F.lit(64)).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+    marks = hot.groupBy(word.alias("__word")).agg(F.bit_or(one).alias("__marks"))
+    marked = df.withColumn("__word", word).join(F.broadcast(marks), "__word", "left")
+    is_hot = F.coalesce(F.getbit("__marks", bit) == 1, F.lit(False))
     for k in keys:
-        any_null = any_null | F.col(k).isNull()
-    return marked.withColumn("__is_hot", F.coalesce(F.col("__hot"), F.lit(False)) | any_null) \
-                 .drop("__hot")
+        is_hot = is_hot | F.col(k).isNull()
+    return marked.withColumn("__is_hot", is_hot).drop("__word", "__marks")
 
 
 def _row_salt(df: DataFrame, salts: int) -> Column:
@@ -107,7 +118,8 @@ def _row_salt(df: DataFrame, salts: int) -> Column:
 
 def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str],
              salts: int = HOT_SALTS) -> DataFrame:
-    """Rows of hot keys get ``__salt`` 1..``salts``; all other rows get 0."""
+    """Rows of hot keys (as :func:`_mark_hot` marks them) get ``__salt``
+    1..``salts``; all other rows get 0."""
     salt = _row_salt(df, salts)
     return (_mark_hot(df, hot, keys)
             .withColumn(SALT, F.when(F.col("__is_hot"), salt)
@@ -118,9 +130,14 @@ def add_salt(df: DataFrame, hot: DataFrame, keys: Sequence[str],
 def salt_side(side: DataFrame, hot: DataFrame, keys: Sequence[str],
               salts: int = HOT_SALTS) -> DataFrame:
     """The other side of a salted join: each row once with salt 0, and rows
-    of hot keys once more for every salt 1..``salts``."""
+    of hot keys once more for every salt 1..``salts``.  A join compares text
+    with other types as these ('007' is 7), which the text's hash does not
+    show, so a side of another type than the text of ``hot`` has all its rows
+    copied; copies of keys that are not hot match nothing."""
     zero = F.lit(0).cast("bigint")
-    copies = F.when(F.col("__is_hot"), F.sequence(zero, F.lit(salts).cast("bigint"))) \
+    own, kinds = dict(side.dtypes), dict(hot.dtypes)
+    untold = any(kinds[k] == "string" and own[k] != "string" for k in keys)
+    copies = F.when(F.col("__is_hot") | F.lit(untold), F.sequence(zero, F.lit(salts).cast("bigint"))) \
         .otherwise(F.array(zero))
     return (_mark_hot(side, hot, keys)
             .select(*side.columns, F.explode(copies).alias(SALT)))
